@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.operators import drift
+from skein.operators import drift, shred, snapshots
 from skein.session import read
 
 
@@ -23,5 +23,18 @@ def p1_casts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file_id", "record_key", F.explode("failed").alias("x")).select("file_id", "record_key", "x.*")
 
 
-QUERIES = {"p1_found": p1_found, "p1_table": p1_table, "p1_casts": p1_casts}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    entries = read(spark, d, "lock_entries", "report_id", "entry_key", "entry_version", "content_hash", "skill_files", "tools", "capability_labels", "received_at")
+    return snapshots.changes(entries, read(spark, d, "reports", "report_id", "locator", "lock_path", "scanned_at"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return shred.schema_nodes(read(spark, d, "tools", "tool_id", "input_schema", "output_schema"))
+
+
+def p5_adjacency(spark: SparkSession, d: str) -> DataFrame:
+    return shred.adjacency(read(spark, d, "tools", "tool_id", "input_schema", "output_schema")).drop("doc")
+
+
+QUERIES = {"p1_found": p1_found, "p1_table": p1_table, "p1_casts": p1_casts, "p4_found": p4_found, "p5_found": p5_found, "p5_adjacency": p5_adjacency}
 SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import lookalike
+from skein.llm import leaks, lookalike, packing, tokens
 from skein.session import read
 
 
@@ -32,5 +32,30 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return one(tools, "description", "tool_id", "form").unionByName(one(runs, "text", "run_id", "text_form")).unionByName(one(runs, "kind", "run_id", "kind_form"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms}
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(tokens.count_tokens(read(spark, d, "documents", "doc_id", "text"), "text"), "doc_id", "n_tokens").withColumnRenamed("doc", "doc_id")
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    per = p6_pack(spark, d).filter("container is not null").groupBy("container").agg(F.sum("length").alias("used"))
+    return per.agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.ceil(F.sum("used") / 2048).alias("least"), F.max("used").alias("fullest"))
+
+
+def _p7(spark: SparkSession, d: str) -> DataFrame:
+    items = read(spark, d, "bench_items", "item_id", "split", "text").filter("split = 'heldout'")
+    return leaks.leaked(read(spark, d, "documents", "doc_id", "text"), "doc_id", "text", items, "item_id", "text")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p7(spark, d).select(F.col("doc").alias("doc_id"), F.col("q").alias("item_id")).distinct()
+
+
+def p7_passages(spark: SparkSession, d: str) -> DataFrame:
+    """The longest passage of each leaked item: its first word in the document and its length in words."""
+    best = F.max_by(F.struct((F.col("first") + F.col("shift")).alias("doc_word"), F.col("first").alias("item_word"), "length"), F.struct("length", -F.col("first"), -F.col("shift")))
+    return _p7(spark, d).groupBy(F.col("doc").alias("doc_id"), F.col("q").alias("item_id")).agg(best.alias("x")).select("doc_id", "item_id", "x.*")
+
+
+QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_found": p7_found, "p7_passages": p7_passages}
 SQL: dict[str, str] = {}

@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import leaks, lookalike, packing, tokens
+from skein.llm import leaks, lookalike, packing, secrets, tokens
 from skein.session import read
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    blobs = secrets.in_blobs(read(spark, d, "file_blobs", "blob_id", "data"), "blob_id", "data").select(F.lit("file_blobs").alias("origin"), "row_id", F.col("line").alias("pos"))
+    names = secrets.in_elements(read(spark, d, "server_specs", "spec_id", "env_names"), "spec_id", "env_names").select(F.lit("server_specs").alias("origin"), "row_id", "pos")
+    return blobs.unionByName(names).distinct()
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every file with its secrets blanked."""
+    return secrets.redact_blobs(read(spark, d, "file_blobs", "blob_id", "data"), "blob_id", "data")
+
+
 def _p3(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     tools, runs = read(spark, d, "tools", "tool_id", "description"), read(spark, d, "text_runs", "run_id", "tool_id", "text", "kind")
     rep = lookalike.learn([tools.select("description"), runs.select("text"), runs.select("kind")])
@@ -57,5 +68,5 @@ def p7_passages(spark: SparkSession, d: str) -> DataFrame:
     return _p7(spark, d).groupBy(F.col("doc").alias("doc_id"), F.col("q").alias("item_id")).agg(best.alias("x")).select("doc_id", "item_id", "x.*")
 
 
-QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_found": p7_found, "p7_passages": p7_passages}
+QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_forms": p3_forms, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_found": p7_found, "p7_passages": p7_passages}
 SQL: dict[str, str] = {}

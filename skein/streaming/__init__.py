@@ -1 +1 @@
-"""Part of skein."""
+"""Structured Streaming twins of the service's operators."""

@@ -38,3 +38,56 @@ def p5_adjacency(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_table": p1_table, "p1_casts": p1_casts, "p4_found": p4_found, "p5_found": p5_found, "p5_adjacency": p5_adjacency}
 SQL: dict[str, str] = {}
+SQL["p4_found"] = """
+with rep as (select distinct report_id, locator, lock_path, scanned_at from reports),
+pairs as (select report_id, lag(report_id) over (partition by locator, lock_path order by scanned_at, report_id) as prev from rep),
+tool as (select report_id, entry_key, received_at, t.key as name, regexp_replace(lower(trim(t.value.hash)), '^(?:[a-z][a-z0-9_\\-]*[:=]|sha-?[0-9]+-|md5-)\\s*', '') as hash, t.value.definition as d, row_id from (select rowid as row_id, * from (select row_number() over () as rowid, * from lock_entries)) , unnest(map_entries(tools)) u(t)),
+canon as (select d, list_sort(list(j.fullkey || '=' || j.type || ':' || coalesce(j.atom::varchar, ''))) as c from (select distinct d from tool) x, json_tree(x.d) j group by d),
+tools1 as (select row_id, list_sort(list(struct_pack(n := name, h := hash, c := c))) as ts from tool join canon using (d) group by row_id),
+numbered as (select row_number() over () as row_id, * from lock_entries),
+e as (select n.report_id, n.entry_key, n.received_at, struct_pack(v := entry_version, h := regexp_replace(lower(trim(content_hash)), '^(?:[a-z][a-z0-9_\\-]*[:=]|sha-?[0-9]+-|md5-)\\s*', ''),
+  f := list_sort(list_transform(coalesce(map_entries(skill_files), []), lambda x: struct_pack(k := x.key, v := regexp_replace(lower(trim(x.value)), '^(?:[a-z][a-z0-9_\\-]*[:=]|sha-?[0-9]+-|md5-)\\s*', '')))),
+  t := coalesce(ts, []), l := list_sort(list_distinct(coalesce(capability_labels, []))))::varchar as content from numbered n left join tools1 using (row_id)),
+once as (select report_id, entry_key, arg_max(content, received_at) as content from e group by 1, 2),
+cur as (select p.report_id, o.entry_key, o.content from pairs p join once o using (report_id)), old as (select p.report_id, o.entry_key, o.content from pairs p join once o on o.report_id = p.prev)
+select coalesce(c.report_id, o.report_id) as report_id, coalesce(c.entry_key, o.entry_key) as entry_key, case when o.entry_key is null then 'added' when c.entry_key is null then 'removed' else 'changed' end as change_kind
+from cur c full join old o on c.report_id = o.report_id and c.entry_key = o.entry_key where c.content is distinct from o.content"""
+SQL["p5_found"] = """
+with recursive raw as (select tool_id, 'input' as side, input_schema as s from tools union all select tool_id, 'output', output_schema from tools),
+one as (select tool_id, side, case when json_valid(s) then case when json_type(s) = 'VARCHAR' then s::json->>'$' else s end end as s from raw),
+base as (select distinct tool_id, side, s::json as j from one where json_valid(s)),
+node(tool_id, side, node_path, parent_path, j) as (
+  select tool_id, side, '#', '', j from base
+  union all
+  select tool_id, side, node_path || '/' || step, node_path, j->('/' || step) from (
+    select n.tool_id, n.side, n.node_path, n.j, unnest(list_concat(
+      list_concat(list_concat(
+        case when json_type(n.j, '/properties') = 'OBJECT' then list_transform(json_keys(n.j, '/properties'), lambda k: 'properties/' || replace(replace(k, '~', '~0'), '/', '~1')) else [] end,
+        case when json_type(n.j, '/$defs') = 'OBJECT' then list_transform(json_keys(n.j, '/$defs'), lambda k: '$defs/' || replace(replace(k, '~', '~0'), '/', '~1')) else [] end),
+        case when json_type(n.j, '/definitions') = 'OBJECT' then list_transform(json_keys(n.j, '/definitions'), lambda k: 'definitions/' || replace(replace(k, '~', '~0'), '/', '~1')) else [] end),
+      list_concat(list_concat(
+        case when json_type(n.j, '/items') = 'ARRAY' then list_transform(range(json_array_length(n.j, '/items')::bigint), lambda i: 'items/' || i::varchar) when json_type(n.j, '/items') is not null then ['items'] else [] end,
+        case when json_type(n.j, '/additionalProperties') = 'OBJECT' then ['additionalProperties'] else [] end),
+        list_concat(list_concat(case when json_type(n.j, '/anyOf') = 'ARRAY' then list_transform(range(json_array_length(n.j, '/anyOf')::bigint), lambda i: 'anyOf/' || i::varchar) else [] end, case when json_type(n.j, '/oneOf') = 'ARRAY' then list_transform(range(json_array_length(n.j, '/oneOf')::bigint), lambda i: 'oneOf/' || i::varchar) else [] end),
+          case when json_type(n.j, '/allOf') = 'ARRAY' then list_transform(range(json_array_length(n.j, '/allOf')::bigint), lambda i: 'allOf/' || i::varchar) else [] end)))) as step
+    from node n where json_type(n.j) = 'OBJECT'))
+select distinct tool_id, side, node_path, parent_path, case json_type(j, '/type') when 'VARCHAR' then j->>'/type' when 'ARRAY' then array_to_string(list_transform(list_filter(range(json_array_length(j, '/type')::bigint), lambda i: json_type(j, '/type/' || i::varchar) = 'VARCHAR'), lambda i: j->>('/type/' || i::varchar)), '|') else '' end as node_type from node"""
+SQL["p1_found"] = """
+with kept as (select feed, seq_no, min(file_id) as file_id from feed_files where feed is not null and seq_no is not null group by 1, 2),
+idx as (select *, lag(file_id) over (partition by feed order by seq_no) as prev_id from kept),
+rec as (select k.file_id, unnest(case when f.fmt = 'jsonl' then list_filter(string_split(f.body, chr(10)), lambda x: trim(x) <> '') else from_json(f.body, '["JSON"]')::varchar[] end) as r from kept k join (select distinct file_id, fmt, body from feed_files) f using (file_id)),
+pv as (select file_id, r->'$.key' as rk, e.key as path, e.value as value, case when e.type in ('UBIGINT', 'BIGINT', 'HUGEINT') then 'integer' when e.type = 'DOUBLE' then 'fraction' when e.type = 'VARCHAR' then 'string' when e.type = 'BOOLEAN' then 'boolean' when e.type = 'OBJECT' then 'object' when e.type = 'ARRAY' then 'array' end as t from rec, json_each(rec.r::json) e),
+st as (select i.feed, i.seq_no, i.file_id, p.path, string_agg(distinct p.t, '|' order by p.t) as t from pv p join idx i using (file_id) group by all),
+gone as (select i.file_id, i.prev_id, s.path from idx i join st s on s.file_id = i.prev_id where not exists (select 1 from st x where x.file_id = i.file_id and x.path = s.path)),
+fresh as (select i.file_id, i.prev_id, s.path from idx i join st s on s.file_id = i.file_id where i.prev_id is not null and not exists (select 1 from st x where x.file_id = i.prev_id and x.path = s.path)),
+common as (select distinct i.file_id, a.rk::varchar as rk from idx i join pv a on a.file_id = i.file_id and a.path = 'key' join pv b on b.file_id = i.prev_id and b.path = 'key' and a.rk::varchar = b.rk::varchar),
+gv as (select distinct g.file_id, g.path, p.rk::varchar as rk, p.value::varchar as v from gone g join pv p on p.file_id = g.prev_id and p.path = g.path join common c on c.file_id = g.file_id and c.rk = p.rk::varchar),
+fv as (select distinct g.file_id, g.path, p.rk::varchar as rk, p.value::varchar as v from fresh g join pv p on p.file_id = g.file_id and p.path = g.path join common c on c.file_id = g.file_id and c.rk = p.rk::varchar),
+gs as (select file_id, path, list_sort(list(struct_pack(rk := rk, v := v)))::varchar as sig, count(*) filter (v <> 'null') as held from gv group by 1, 2), fs as (select file_id, path, list_sort(list(struct_pack(rk := rk, v := v)))::varchar as sig, count(*) filter (v <> 'null') as held from fv group by 1, 2),
+ren as (select g.file_id, g.path as old, f.path as new from (select *, row_number() over (partition by file_id, sig order by path) as n from gs where held > 0) g join (select *, row_number() over (partition by file_id, sig order by path) as n from fs where held > 0) f using (file_id, sig, n)),
+hist as (select *, last_value(t ignore nulls) over (partition by feed, path order by seq_no) as known from st),
+moves as (select feed, seq_no, 1 as step, file_id, path, t from st union all select i.feed, i.seq_no, 0, null, r.new, h.known from ren r join idx i using (file_id) join hist h on h.file_id = i.prev_id and h.path = r.old),
+ret as (select *, last_value(t ignore nulls) over (partition by feed, path order by seq_no, step rows between unbounded preceding and 1 preceding) as before from moves)
+select file_id, path as field, 'removed' as change_kind, '' as new_field from gone g where not exists (select 1 from ren r where r.file_id = g.file_id and r.old = g.path)
+union all select file_id, path, 'added', '' from fresh g where not exists (select 1 from ren r where r.file_id = g.file_id and r.new = g.path)
+union all select file_id, old, 'renamed', new from ren union all select file_id, path, 'retyped', '' from ret where file_id is not null and t is not null and before is not null and t <> before"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import drift, shred, snapshots
-from skein.session import read
+from skein.session import read, spread
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -29,11 +29,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return shred.schema_nodes(read(spark, d, "tools", "tool_id", "input_schema", "output_schema"))
+    return shred.schema_nodes(spread(read(spark, d, "tools", "tool_id", "input_schema", "output_schema")))
 
 
 def p5_adjacency(spark: SparkSession, d: str) -> DataFrame:
-    return shred.adjacency(read(spark, d, "tools", "tool_id", "input_schema", "output_schema")).drop("doc")
+    return shred.adjacency(spread(read(spark, d, "tools", "tool_id", "input_schema", "output_schema"))).drop("doc")
 
 
 QUERIES = {"p1_found": p1_found, "p1_table": p1_table, "p1_casts": p1_casts, "p4_found": p4_found, "p5_found": p5_found, "p5_adjacency": p5_adjacency}

@@ -11,7 +11,7 @@ from skein.functions import text as X
 from skein.functions import units as U
 from skein.operators import findings as FI
 from skein.operators import flows, inventory, lock, metrics, relate, rules, taint
-from skein.session import read
+from skein.session import read, spread
 from skein.sources import configs, files
 from skein.streaming import service
 
@@ -88,7 +88,7 @@ def running_totals(spark: SparkSession, d: str) -> DataFrame:
 
 def _scan(spark: SparkSession, d: str) -> DataFrame:
     """Decoded files: one scan per report."""
-    b = read(spark, d, "file_blobs", "report_id", "file_path", "blob_id", "data").dropDuplicates(["blob_id"])
+    b = spread(read(spark, d, "file_blobs", "report_id", "file_path", "blob_id", "data").dropDuplicates(["blob_id"]))
     return b.select(F.col("report_id").cast("string").alias("scan_id"), F.col("file_path").alias("path"), "blob_id", X.decode_text(F.col("data"))["text"].alias("text"), X.language(F.col("file_path")).alias("language"))
 
 
@@ -475,7 +475,7 @@ def rule_hits(spark: SparkSession, d: str) -> DataFrame:
 def rule_pack(spark: SparkSession, d: str) -> DataFrame:
     """A pack of rules with conditions, evaluated with all positions; lines longer than 300 characters are left to the other query."""
     r, p = configs.rule_tables(spark, _PACK)
-    t = read(spark, d, "documents", "doc_id", "text").filter("text is not null")
+    t = spread(read(spark, d, "documents", "doc_id", "text").filter("text is not null"))
     short = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.when(F.length(x) <= 300, x).otherwise("")), "\n")
     units = t.select("doc_id", F.lit("body").alias("scope"), F.lit("document").alias("role"), short.alias("unit"))
     return rules.evaluate(units, r, p, ["doc_id"]).select("doc_id", "rule_id", "line", "snippet")

@@ -65,3 +65,12 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     """A table of a data folder, pruned to the named columns."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many tasks as there are cores, for Python stages over a few small files.
+
+    Large inputs have more partitions than cores already and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import leaks, lookalike, packing, pii, secrets, tokens
-from skein.session import read
+from skein.session import read as read_table
+from skein.session import spread
+
+
+def read(spark: SparkSession, d: str, table: str, *columns: str) -> DataFrame:
+    """A table over all cores: the stages behind it are in Python."""
+    return spread(read_table(spark, d, table, *columns))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -78,4 +84,12 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_forms": p3_forms, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_found": p7_found, "p7_passages": p7_passages, "p8_found": p8_found, "p8_redacted": p8_redacted}
-SQL: dict[str, str] = {}
+#: Words as the operator reads them, for texts without comments and with the usual entities only.
+_WORDS_SQL = """regexp_extract_all(lower(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace({}, '(?i)</?(?:a|abbr|b|code|del|em|font|i|ins|kbd|mark|s|small|span|strong|sub|sup|u)\\b[^<>]*>', '', 'g'), '</?[A-Za-z!?][^<>]*>', ' ', 'g'), '\\]\\([^()\\s]*\\)', '] ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', chr(160)), '(?m)^[ \\t]*(?:(?:[>#*+|\\-–•]+|\\d{{1,3}}[.)])[ \\t]+)+', '', 'g')), '[\\p{{L}}\\p{{N}}]+')"""
+SQL: dict[str, str] = {
+    "p7_found": f"""
+with d as (select doc_id, {_WORDS_SQL.format("text")} as w from documents where text is not null), i as (select item_id, {_WORDS_SQL.format("text")} as w from bench_items where split = 'heldout'),
+dg as (select distinct doc_id, array_to_string(list_slice(w, k, k + 12), ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as k from d)),
+ig as (select distinct item_id, array_to_string(list_slice(w, k, k + 12), ' ') as g from (select item_id, w, unnest(range(1, len(w) - 11)) as k from i))
+select distinct doc_id, item_id from dg join ig using (g)""",
+}

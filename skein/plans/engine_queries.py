@@ -858,3 +858,70 @@ def drift_counts(spark: SparkSession, d: str) -> DataFrame:
     first = flat.groupBy("entry_key").agg(F.min_by("content_hash", F.struct("scanned_at", "received_at", "content_hash")).alias("content_hash"))
     changed = service.drift_stream(flat.select("entry_key", "content_hash"), first).agg(F.count("*").alias("changed")).withColumn("k", F.lit(1))
     return flat.agg(F.count("*").alias("n")).withColumn("k", F.lit(1)).join(changed, "k").select("n", "changed")
+
+
+# ---------------------------------------------------------------- predicates and whole scans
+
+
+@query("r12_server_settings", """
+with s as (select spec_id, regexp_replace(lower(regexp_extract(coalesce(command, ''), '[^/]*$')), '\\.(?:exe|cmd|bat)$', '') as exe, list_filter(args, lambda x: not starts_with(x, '-'))[1] as first, url, transport, config_scope, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/@\\s]*@)?([^/:?#\\s]+)', 1)) as host from (select distinct spec_id, command, args, url, transport, config_scope from server_specs)),
+p as (select *, regexp_extract(first, '^@?[^@]*@(.+)$', 1) as v from s)
+select spec_id, 'unpinned_package' as rule from p where exe in ('npx', 'uvx', 'bunx', 'pipx', 'pnpx') and not (regexp_matches(first, '^[\\w.\\-\\[\\]]+==[\\w.!+\\-]+$') or regexp_matches(v, '^v?\\d+\\.\\d+\\.\\d+[\\w.+\\-]*$'))
+union all select spec_id, 'old_transport' from p where transport = 'sse_deprecated' union all select spec_id, 'project_stdio' from p where config_scope = 'project' and transport = 'stdio' union all select spec_id, 'plain_http' from p where lower(url) like 'http://%' and host <> 'localhost'""")
+def server_settings(spark: SparkSession, d: str) -> DataFrame:
+    from skein.operators import predicates
+
+    s = read(spark, d, "server_specs", "spec_id", "command", "args", "url", "transport", "config_scope").dropDuplicates(["spec_id"]).withColumn("env_names", F.array().cast("array<string>"))
+    return predicates.servers(s, ["spec_id"]).filter(F.col("rule").isin("unpinned_package", "old_transport", "project_stdio", "plain_http")).select("spec_id", "rule")
+
+
+@query("r13_tool_metadata", """
+select tool_id, 'contradicting_hints' as rule from tools where (annotations::json->>'$.readOnlyHint')::boolean and (annotations::json->>'$.destructiveHint')::boolean
+union all select tool_id, 'no_description' from tools where trim(coalesce(description, '')) = ''
+union all select tool_id, 'dangerous_tool' from tools where regexp_matches(lower(tool_name), '(?:^|_)(?:delete|remove|drop|destroy|exec|execute|shell|eval|kill|write|overwrite)(?:_|$)') and not coalesce((annotations::json->>'$.destructiveHint')::boolean, false)""")
+def tool_metadata(spark: SparkSession, d: str) -> DataFrame:
+    from skein.operators import predicates
+
+    t = read(spark, d, "tools", "tool_id", "tool_name", "description", "input_schema", "annotations")
+    return predicates.tools(t, ["tool_id"]).filter(F.col("rule").isin("contradicting_hints", "no_description", "dangerous_tool")).select("tool_id", "rule")
+
+
+@query("r08_r10_skills")
+def skill_format(spark: SparkSession, d: str) -> DataFrame:
+    from skein.operators import predicates
+
+    front = frontmatters(spark, d).withColumn("keys", F.array(F.lit("name"), F.lit("description"), F.lit("allowed-tools")))
+    return predicates.skills(front, ["doc_id"], ["name", "description", "allowed-tools"])
+
+
+@query("r17_g12_code_capabilities")
+def code_capabilities(spark: SparkSession, d: str) -> DataFrame:
+    from skein.operators import predicates
+
+    return predicates.code_capabilities(_scan(spark, d).filter("text is not null"), ["scan_id", "blob_id"])
+
+
+@query("r20_limit_events")
+def limit_rules(spark: SparkSession, d: str) -> DataFrame:
+    from skein.operators import predicates
+
+    return predicates.limit_events(admission(spark, d), {"too_large": "L-1", "too_many_files": "L-1", "total_bytes_exceeded": "L-2"})
+
+
+@query("r26_policy", "select distinct server_name, case when regexp_matches(server_name, '^umbra-') then 'denied' when not pinned or pinned is null then 'not_pinned' end as rule from server_specs where regexp_matches(server_name, '^umbra-') or (transport = 'stdio' and coalesce(pinned, false) = false)")
+def policy(spark: SparkSession, d: str) -> DataFrame:
+    from skein.operators import predicates
+
+    return predicates.policy(read(spark, d, "server_specs", "server_name", "pinned", "transport"), ["umbra-*"], None, True)
+
+
+@query("x01_scan")
+def whole_scan(spark: SparkSession, d: str) -> DataFrame:
+    """All stored files as scans, against the pack of this module and the bundle predicates."""
+    from skein.plans import scan
+
+    b = spread(read(spark, d, "file_blobs", "report_id", "file_path", "blob_id", "data").dropDuplicates(["blob_id"]))
+    f = b.select(F.col("report_id").cast("string").alias("scan_id"), F.col("file_path").alias("path"), F.col("data").alias("content")).dropDuplicates(["scan_id", "path"])
+    pack = [{**r, "match": {**r["match"], "scopes": ["body", "hidden", "decoded", "frontmatter", "code"]}} for r in _PACK]
+    found, _ = scan.report(scan.prepare(f, *configs.rule_tables(spark, pack)))
+    return found.select("scan_id", "fingerprint", "rule_id", "path", "line", "severity", "confidence", "n")

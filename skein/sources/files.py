@@ -42,7 +42,7 @@ def scan_folder(spark: SparkSession, folder: str, scan_id: str, limits: Limits |
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.regexp_replace("path", r"^[a-z]+:/*(?=/)", "")
     rel = F.substring(base, F.length(F.lit(root.removeprefix("file://"))) + 2, F.lit(1 << 20))
-    steps = F.split(rel, "/")
+    steps = F.split("path", "/")
     named = raw.select(F.lit(scan_id).alias("scan_id"), rel.alias("path"), "content", "length").filter(~F.arrays_overlap(F.slice(steps, F.lit(1), F.size(steps) - 1), F.array(*[F.lit(x) for x in EXCLUDED])))
     small = named.filter(F.col("length") <= limits.file_bytes)
     big = named.drop("content").filter(F.col("length") > limits.file_bytes)

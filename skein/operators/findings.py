@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as X
 
+#: Parts into which the rows of one fingerprint are cut.
+SALT = 32
 SEVERITIES = ["critical", "high", "medium", "low", "info"]
 # Score of a severity whose rule names none, weight of a threat's status.
 BASE = {"critical": 9.3, "high": 7.7, "medium": 5.3, "low": 2.1, "info": 0.0}
@@ -56,17 +58,23 @@ def finalize(raw: DataFrame, related: int = 20, evidence: int = 10) -> DataFrame
     """One row per scan and fingerprint. The first emission gives message, confidence and place, the highest severity
     counts, tags are united; further places and snippets are kept in order up to a bound (the total is kept too)."""
     fp = raw.withColumn("fingerprint", fingerprint(F.col("rule_id"), F.col("components"), F.col("path"), F.col("match_key")))
-    order = Window.partitionBy("scan_id", "fingerprint").orderBy("seq")
-    # Rows beyond both bounds only count and give tags and severity, so no group is collected whole.
-    fp = fp.withColumn("__n", F.row_number().over(order))
-    first = lambda c: F.min_by(c, "seq").alias(c)
+    key = ["scan_id", "fingerprint"]
+    # Totals combine before the shuffle. Of the rest only the first rows per fingerprint are needed: they are picked
+    # in salted parts first, so that a fingerprint that holds most rows is not sorted in one task.
+    totals = fp.groupBy(*key).agg(severity_of(F.max(rank(F.col("severity")))).alias("severity"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"), F.count("*").alias("n"))
+    most = max(related + 1, evidence)
+    cols = ["seq", "rule_id", "components", "path", "line", "message", "confidence", "source", "snippet"]
+    few = fp.select(*key, *cols, F.pmod(F.xxhash64("seq"), F.lit(SALT)).alias("__s"))
+    few = few.withColumn("__n", F.row_number().over(Window.partitionBy(*key, "__s").orderBy("seq"))).filter(F.col("__n") <= most)
+    few = few.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy("seq"))).filter(F.col("__n") <= most)
+    first = lambda c: F.min_by(c, "__n").alias(c)
     place = F.struct("path", "line")
-    return fp.groupBy("scan_id", "fingerprint").agg(
-        first("rule_id"), first("components"), first("path"), first("line"), first("message"), first("confidence"), first("source"),
-        severity_of(F.max(rank(F.col("severity")))).alias("severity"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"), F.count("*").alias("n"),
-        F.array_sort(F.collect_list(F.when((F.col("__n") > 1) & (F.col("__n") <= related + 1), F.struct("seq", place.alias("at"))))).alias("related"),
-        F.array_sort(F.collect_list(F.when(F.col("__n") <= evidence, F.struct("seq", "snippet")))).alias("evidence"),
-    ).withColumn("related", F.transform("related", lambda x: x["at"])).withColumn("evidence", F.transform("evidence", lambda x: x["snippet"]))
+    heads = few.groupBy(*key).agg(
+        *[first(c) for c in cols if c not in ("seq", "snippet")],
+        F.array_sort(F.collect_list(F.when((F.col("__n") > 1) & (F.col("__n") <= related + 1), F.struct("__n", place.alias("at"))))).alias("related"),
+        F.array_sort(F.collect_list(F.when(F.col("__n") <= evidence, F.struct("__n", "snippet")))).alias("evidence"),
+    )
+    return totals.join(heads, key).withColumn("related", F.transform("related", lambda x: x["at"])).withColumn("evidence", F.transform("evidence", lambda x: x["snippet"]))
 
 
 def in_order(findings: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ class Compiled:
         self.sections = [regex.compile(p, regex.IGNORECASE) for p in row["sections"]]
         self.downgrade = []
         for d in json.loads(row["downgrade"]):
-            self.downgrade.append({**d, "rx": [regex.compile(p, flags) for p in d.get("patterns") or []]})
+            self.downgrade.append({**d, "rx": [regex.compile(p, flags) for p in d.get("patterns") or []], "told": [regex.compile(p, regex.IGNORECASE) for p in d.get("declared") or []]})
 
 
 def _search(rx: regex.Pattern, text: str) -> bool:
@@ -50,8 +50,11 @@ def _search(rx: regex.Pattern, text: str) -> bool:
         return False
 
 
-def hits(rule: Compiled, text: str, role: str) -> Iterator[tuple]:
-    """Every match of a rule that its conditions let through, in order of pattern and place."""
+def hits(rule: Compiled, text: str, role: str, description: str | None = None) -> Iterator[tuple]:
+    """Every match of a rule that its conditions let through, in order of pattern and place.
+
+    `description` is what the component says of itself; downgrades for declared behaviour look at it.
+    """
     starts = [0, *(i + 1 for i, c in enumerate(text) if c == "\n")]
 
     def around(s: int, e: int, n: int) -> str:
@@ -86,8 +89,8 @@ def hits(rule: Compiled, text: str, role: str) -> Iterator[tuple]:
                     continue
                 if d.get("rx") and not any(_search(x, around(s, e, r["window"] if d.get("window") is None else d["window"])) for x in d["rx"]):
                     continue
-                if d.get("declared"):
-                    continue  # needs the component's description: `downgrade_declared`
+                if d["told"] and not (description and any(_search(x, description) for x in d["told"])):
+                    continue
                 if RANK[d["severity"]] < RANK[severity]:
                     severity, confidence = d["severity"], LOWER[confidence]
                 break
@@ -95,7 +98,7 @@ def hits(rule: Compiled, text: str, role: str) -> Iterator[tuple]:
 
 
 def match(units: DataFrame, rules: DataFrame, patterns: DataFrame) -> DataFrame:
-    """All hits of the enabled regex rules on units (…, scope, role, unit), before they are thinned."""
+    """All hits of the enabled regex rules on units (…, scope, role, unit and perhaps description), before they are thinned."""
     rows = rules.filter("enabled and kind = 'regex'").limit(MOST_RULES + 1).collect()
     if len(rows) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
@@ -105,6 +108,7 @@ def match(units: DataFrame, rules: DataFrame, patterns: DataFrame) -> DataFrame:
         by_rule.setdefault(p["rule_id"], []).append((p["p_ord"], p["pattern"]))
     pack = [(r.asDict(), by_rule.get(r["rule_id"], [])) for r in sorted(rows, key=lambda r: r["rule_id"])]
     shared = units.sparkSession.sparkContext.broadcast(pack)
+    told = "description" in units.columns
     keep = [f for f in units.schema.fields if f.name != "unit"]
     names = [x.split()[0] for x in HITS.split(", ")]
     types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
@@ -117,12 +121,13 @@ def match(units: DataFrame, rules: DataFrame, patterns: DataFrame) -> DataFrame:
                 by_scope.setdefault(s, []).append(c)
         for b in batches:
             scope, role, text = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("scope", "role", "unit"))
+            about = b.column(b.schema.get_field_index("description")).to_pylist() if told else [None] * len(text)
             idx, out = [], []
-            for i, (s, r, t) in enumerate(zip(scope, role, text, strict=True)):
+            for i, (s, r, t, says) in enumerate(zip(scope, role, text, about, strict=True)):
                 if t and t.strip():
                     for rule in by_scope.get(s, ()):
                         if not rule.row["applies_to"] or r in rule.row["applies_to"]:
-                            for h in hits(rule, t, r):
+                            for h in hits(rule, t, r, says):
                                 idx.append(i)
                                 out.append(h)
             take = pa.array(idx, pa.int64())

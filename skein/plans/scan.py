@@ -50,7 +50,15 @@ def prepare(files: DataFrame, rule_table: DataFrame, patterns: DataFrame, **extr
     full = decoded.join(owned.withColumnRenamed("root", "skill_root"), ["scan_id", "path"], "left")
     full = full.withColumn("role", inventory.file_role(F.col("path"), F.col("skill_root").isNotNull())).withColumn("component", F.coalesce("skill_root", X.dir_name(F.col("path")))).withColumn("language", X.language(F.col("path")))
     texts = full.filter("binary is null").select("scan_id", "component", "path", "role", "text")
-    return Context(full, U.text_units(texts), rule_table, patterns, extra)
+    told = U.explode_with(texts.filter("role = 'skill_md'").select("scan_id", "component", "text"), "text", _description, "description string")
+    told = told.groupBy("scan_id", "component").agg(F.min("description").alias("description"))
+    return Context(full, U.text_units(texts).join(told, ["scan_id", "component"], "left"), rule_table, patterns, extra)
+
+
+def _description(text: str) -> list[tuple[str]]:
+    raw = U.frontmatter(text)[0]
+    value = U.load_yaml(raw)[0] if raw else None
+    return [(str(value["description"]),)] if isinstance(value, dict) and value.get("description") else []
 
 
 def regex_rules(c: Context) -> DataFrame:

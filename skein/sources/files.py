@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import io
+import os
+import re
+import stat
 import tarfile
 import zipfile
 import zlib
@@ -35,19 +38,80 @@ class Limits:
 EXCLUDED = (".git", "node_modules", "__pycache__", ".venv", "venv", ".tox", "dist", "build", ".mypy_cache", ".pytest_cache")
 
 
+def read_paths(paths: DataFrame) -> DataFrame:
+    """The rows of paths (file, …) with `content`, read by the tasks from a folder that all of them see; null if unreadable.
+
+    Spark's own file sources pass over names that begin with a dot, which are the ones that matter here.
+    """
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in paths.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, f in enumerate(b.column(b.schema.get_field_index("file")).to_pylist()):
+                try:
+                    with open(f, "rb") as h:
+                        data = h.read()
+                except OSError:
+                    data = None
+                row = b.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([data], pa.binary())], names=[*row.schema.names, "content"])
+
+    return paths.mapInArrow(run, f"{head}, content binary")
+
+
 def scan_folder(spark: SparkSession, folder: str, scan_id: str, limits: Limits | None = None) -> tuple[DataFrame, DataFrame]:
-    """(files, events) of a folder, recursively; excluded directories are pruned, oversized files become events unread."""
+    """(files, events) of a folder, recursively: regular files only, links are not followed, excluded directories are
+    pruned, oversized files become events unread. Folders with a scheme (s3a:, hdfs:, …) are read by Spark's binary
+    file source, which leaves out names that begin with a dot."""
     limits = limits or Limits()
-    root = folder.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.regexp_replace("path", r"^[a-z]+:/*(?=/)", "")
-    rel = F.substring(base, F.length(F.lit(root.removeprefix("file://"))) + 2, F.lit(1 << 20))
-    steps = F.split("path", "/")
-    named = raw.select(F.lit(scan_id).alias("scan_id"), rel.alias("path"), "content", "length").filter(~F.arrays_overlap(F.slice(steps, F.lit(1), F.size(steps) - 1), F.array(*[F.lit(x) for x in EXCLUDED])))
-    small = named.filter(F.col("length") <= limits.file_bytes)
-    big = named.drop("content").filter(F.col("length") > limits.file_bytes)
-    files, events = admit(small, limits)
-    return files, events.unionByName(big.select("scan_id", F.lit("too_large").alias("kind"), "path", F.concat(F.col("length").cast("string"), F.lit(" bytes")).alias("detail")))
+    if ":" in folder and not folder.startswith("file:"):
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+        rel = F.regexp_replace("path", "^.*?" + re.escape(folder.rstrip("/").split(":", 1)[1].lstrip("/")) + "/", "")
+        got = raw.select(F.lit(scan_id).alias("scan_id"), rel.alias("path"), "content", "length").filter(F.col("length") <= limits.file_bytes)
+        files, events = admit(got, limits)
+        return files, events
+    root = folder.removeprefix("file://").rstrip("/")
+    rows, odd = [], []
+    for d, dirs, names in os.walk(root):
+        links = [x for x in dirs if os.path.islink(os.path.join(d, x))]
+        dirs[:] = sorted(x for x in dirs if x not in EXCLUDED and x not in links)
+        for n in sorted([*names, *links]):
+            full = os.path.join(d, n)
+            rel = os.path.relpath(full, root).replace(os.sep, "/")
+            mode = os.lstat(full).st_mode
+            if stat.S_ISLNK(mode):
+                odd.append((scan_id, "symlink", rel, ""))
+            elif not stat.S_ISREG(mode):
+                odd.append((scan_id, "special_file", rel, ""))
+            elif os.path.getsize(full) > limits.file_bytes:
+                odd.append((scan_id, "too_large", rel, f"{os.path.getsize(full)} bytes"))
+            else:
+                rows.append((scan_id, rel, os.path.getsize(full), full))
+    listed = spark.createDataFrame(rows, "scan_id string, path string, length bigint, file string")
+    fit, events = admit(listed, limits)
+    files = read_paths(fit.repartition(max(1, min(len(rows) // 64, 10_000)))).select("scan_id", "path", "content", "length")
+    return files, events.unionByName(spark.createDataFrame(odd, EVENTS))
+
+
+# Where clients keep their configuration, below the home directory and below a project.
+HOME_FILES = (".claude.json", ".claude/settings.json", ".cursor/mcp.json", ".codeium/windsurf/mcp_config.json", ".gemini/settings.json", ".codex/config.toml", ".config/zed/settings.json", ".config/Code/User/mcp.json", ".config/Claude/claude_desktop_config.json", "Library/Application Support/Claude/claude_desktop_config.json", "Library/Application Support/Code/User/mcp.json", "AppData/Roaming/Claude/claude_desktop_config.json", "AppData/Roaming/Code/User/mcp.json")
+PROJECT_FILES = (".mcp.json", ".claude/settings.json", ".claude/settings.local.json", ".cursor/mcp.json", ".vscode/mcp.json", ".gemini/settings.json", ".codex/config.toml", ".zed/settings.json", "server.json", "mcp.json")
+
+
+def discover(spark: SparkSession, home: str | None = None, project: str | None = None) -> DataFrame:
+    """(path, content, length, client, scope): client configurations that exist at their known places, and every
+    SKILL.md of a project. Paths are looked up by the driver; contents are read by the tasks."""
+    from skein.sources.configs import client_of
+
+    found = [os.path.join(base, f) for base, names in ((home, HOME_FILES), (project, PROJECT_FILES)) if base for f in names if os.path.isfile(os.path.join(base, f))]
+    for d, dirs, names in os.walk(project) if project else ():
+        dirs[:] = sorted(x for x in dirs if x not in EXCLUDED)
+        found += [os.path.join(d, n) for n in names if n.lower() == "skill.md"]
+    if not found:
+        return spark.createDataFrame([], "path string, content binary, length bigint, client string, scope string")
+    df = read_paths(spark.createDataFrame([(p, os.path.getsize(p), p) for p in found], "path string, length bigint, file string")).select("path", "content", "length")
+    c = client_of(F.col("path"))
+    return df.select("path", "content", "length", c["client"].alias("client"), c["scope"].alias("scope"))
 
 
 def from_mapping(spark: SparkSession, files: Mapping[str, bytes], scan_id: str = "scan") -> DataFrame:

@@ -27,12 +27,22 @@ def rows(df):
 
 
 def test_folder_and_limits(spark, tmp_path):
-    for p, b in {"a/x.py": b"1", "node_modules/y.js": b"2", "big.bin": b"0" * 100, "b.md": b"3"}.items():
+    for p, b in {"a/x.py": b"1", "node_modules/y.js": b"2", "big.bin": b"0" * 100, "b.md": b"3", ".mcp.json": b"{}"}.items():
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_bytes(b)
+    (tmp_path / "link").symlink_to("/etc/passwd")
+    (tmp_path / "ring").symlink_to(tmp_path)
     got, events = files.scan_folder(spark, str(tmp_path), "s", files.Limits(file_bytes=50))
-    assert [r[1] for r in rows(got.select("scan_id", "path"))] == ["a/x.py", "b.md"]
-    assert rows(events.select("kind", "path")) == [("too_large", "big.bin")]
+    assert rows(got.select("path", "content")) == [(".mcp.json", b"{}"), ("a/x.py", b"1"), ("b.md", b"3")]
+    assert rows(events.select("kind", "path")) == [("symlink", "link"), ("symlink", "ring"), ("too_large", "big.bin")]
+
+
+def test_discovery(spark, tmp_path):
+    for p in (".cursor/mcp.json", "proj/.mcp.json", "proj/skills/x/SKILL.md", "proj/other.txt"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("{}")
+    got = files.discover(spark, home=str(tmp_path), project=str(tmp_path / "proj"))
+    assert {(r["path"].split(tmp_path.name + "/")[1], r["client"]) for r in got.collect()} == {(".cursor/mcp.json", "cursor"), ("proj/.mcp.json", "claude-code"), ("proj/skills/x/SKILL.md", "unknown")}
 
 
 def test_admission_passes_over_what_does_not_fit(spark):
@@ -186,6 +196,12 @@ def test_rule_conditions(spark):
     assert got == [(1, "R1", 1, "high", "high"), (1, "R1", 3, "low", "medium"), (1, "R2", 10, "low", "medium")]
 
 
+def test_declared_behaviour_is_downgraded(spark):
+    pack = [{"id": "D", "severity": "high", "confidence": "high", "match": {"type": "regex", "patterns": ["curl"], "scopes": ["body"], "downgrade": [{"severity": "low", "declared": ["download"]}]}}]
+    df = spark.createDataFrame([(1, "body", "doc", "curl x", "Downloads files"), (2, "body", "doc", "curl x", "Formats"), (3, "body", "doc", "curl x", None)], "id int, scope string, role string, unit string, description string")
+    assert rows(rules.evaluate(df, *configs.rule_tables(spark, pack), ["id"]).select("id", "severity")) == [(1, "low"), (2, "high"), (3, "high")]
+
+
 def raw(spark, *rs):
     base = {"scan_id": "s", "components": ["c"], "path": "p", "line": 1, "match_key": "m", "message": "x", "severity": "high", "confidence": "high", "hidden": False, "source": "static", "tags": [], "snippet": "z"}
     return spark.createDataFrame([{**base, "seq": f"{i:03d}", "rule_id": "R", **r} for i, r in enumerate(rs)], scan.RAW)

@@ -19,6 +19,8 @@ from skein.session import stage
 
 #: Positions of a feed that one task looks through at once.
 BLOCK = 1024
+#: Up to so many files to be read again are sent as ids to the tasks that read.
+SENT_FILES = 500_000
 #: Columns of the consistent table and their types; every other field is kept in `extras`.
 TARGET = {"rule_pack_version": "string", "engine_version": "string", "tool_hash_version": "bigint", "lock_version": "bigint", "entry_total": "bigint", "findings": "bigint", "exit_code": "bigint", "locator": "string", "kind": "string", "resolved": "string"}
 
@@ -65,7 +67,7 @@ def path_values(recs: DataFrame, depth: int = 1) -> DataFrame:
 
 def field_stats(values: DataFrame) -> DataFrame:
     """Per file and path: records that have it, nulls, and its raw types."""
-    return values.groupBy("file_id", "feed", "seq_no", "path").agg(
+    return values.groupBy("file_id", "path").agg(
         F.count("*").alias("n"), F.count_if(F.col("raw_type").isNull()).alias("n_null"), F.concat_ws("|", F.array_sort(F.collect_set("raw_type"))).alias("types")
     )
 
@@ -85,7 +87,8 @@ def changes(files: DataFrame) -> DataFrame:
     """
     kept = stage(kept_files(files), "drift-files")
     whole = files.select("file_id", "fmt", "body")
-    stats = stage(field_stats(path_values(records(whole.join(kept, "file_id")))), "drift-stats")
+    # Statistics combine where the bodies are read: one narrow row per file and field is all that is shuffled.
+    stats = stage(field_stats(path_values(records(whole))).join(kept.drop("prev_id"), "file_id"), "drift-stats")
     here = stats.select("file_id", "path")
     with_prev = kept.filter(F.col("prev_id").isNotNull())
     before = with_prev.select(F.col("file_id").alias("at"), F.col("prev_id").alias("file_id")).join(here, "file_id").select(F.col("at").alias("file_id"), "path")
@@ -96,7 +99,10 @@ def changes(files: DataFrame) -> DataFrame:
     sides = both.groupBy("file_id").agg(F.count_if("gone").alias("g"), F.count_if(~F.col("gone")).alias("n")).filter("g > 0 and n > 0").select("file_id")
     cand = stage(with_prev.join(sides, "file_id").select("file_id", "prev_id"), "drift-candidates")
     ids = cand.select(F.col("file_id").alias("file_id"), F.col("file_id").alias("at")).unionByName(cand.select(F.col("prev_id").alias("file_id"), F.col("file_id").alias("at")))
-    again = stage(path_values(records(whole.join(ids.select("file_id").distinct(), "file_id", "left_semi"))).filter(F.col("key").isNotNull()).select("file_id", "key", "path", "value"), "drift-again")
+    wanted = ids.select("file_id").distinct()
+    if cand.count() <= SENT_FILES:
+        wanted = F.broadcast(wanted)  # at most twice SENT_FILES ids; beyond that the bodies are joined by a shuffle
+    again = stage(path_values(records(whole.join(wanted, "file_id", "left_semi"))).filter(F.col("key").isNotNull()).select("file_id", "key", "path", "value"), "drift-again")
     cur = cand.select(F.col("file_id").alias("at"), "file_id").join(again, "file_id")
     prev = cand.select(F.col("file_id").alias("at"), F.col("prev_id").alias("file_id")).join(again, "file_id")
     moved = both.select(F.col("file_id").alias("at"), "path", "gone")
@@ -146,29 +152,37 @@ def first_names(renames: DataFrame) -> DataFrame:
         now = now.join(up, ["feed", "up_seq", "root"], "left").select("feed", "seq_no", "path", F.coalesce("root2", "root").alias("root"), F.col("up2").alias("up_seq"))
 
 
+def _member(by: str, value: str) -> Column:
+    """The first member of the column f whose `by` is the value."""
+    return F.try_element_at(F.filter("f", lambda e: e[by] == value), F.lit(1))
+
+
 def consistent(files: DataFrame, target: dict[str, str] | None = None, found: DataFrame | None = None) -> DataFrame:
-    """One row per record of the kept files: typed columns under each field's first name, `extras`, and `failed` casts."""
+    """One row per record of the kept files: typed columns under each field's first name, `extras`, and `failed` casts.
+
+    Each file gets a map from its fields' names to their first names; records are then projected row by row.
+    """
     target = target or TARGET
-    found = changes(files) if found is None else found
+    found = stage(changes(files), "drift-changes") if found is None else found
     roots = first_names(found.filter("change_kind = 'renamed'"))
     kept = kept_files(files).drop("prev_id")
-    values = path_values(records(files.select("file_id", "fmt", "body").dropDuplicates(["file_id"]).join(kept, "file_id")))
-    # Names are resolved on one row per file and field, then joined to the values.
-    names = values.select("feed", "seq_no", "path").distinct().withColumn("root", F.lit(None).cast("string")).withColumn("ask", F.lit(1))
-    asked = carry_last(names.unionByName(roots.withColumn("ask", F.lit(0))), ["feed", "path"], ["seq_no", "ask"], "root", "name", F.floor(F.col("seq_no") / BLOCK))
-    asked = asked.filter("ask = 1 and name is not null").select("feed", "seq_no", "path", "name")
-    named = values.join(asked, ["feed", "seq_no", "path"], "left").withColumn("name", F.coalesce("name", "path"))
-    plain = F.when(F.col("raw_type") == "string", F.try_variant_get(F.try_parse_json("value"), "$", "string")).otherwise(F.when(F.col("raw_type").isNotNull(), F.col("value")))
-    named = named.withColumn("plain", plain).withColumn("nested", F.col("raw_type").isin("object", "array"))
-    wanted = F.col("name").isin(*target, "key")
-    aggs, fails = [], []
+    # Which name a field has in a file: asked per file of a feed and renamed field, answered by the last rename before.
+    renamed = roots.select("feed", "path").distinct()
+    asked = kept.join(renamed, "feed").select("feed", "seq_no", "path", F.lit(None).cast("string").alias("root"), F.lit(1).alias("ask"))
+    names = carry_last(asked.unionByName(roots.withColumn("ask", F.lit(0))), ["feed", "path"], ["seq_no", "ask"], "root", "name", F.floor(F.col("seq_no") / BLOCK))
+    names = names.filter("ask = 1 and name is not null").groupBy("feed", "seq_no").agg(F.map_from_entries(F.collect_list(F.struct("path", "name"))).alias("names"))
+    per_file = kept.join(names, ["feed", "seq_no"], "left")
+    whole = files.select("file_id", "fmt", "body").join(per_file, "file_id").dropDuplicates(["file_id"])
+    fields = F.map_entries(F.from_json("rec", "map<string,variant>"))
+    rows = records(whole).withColumn("f", F.transform(fields, lambda e: F.struct(F.coalesce(F.try_element_at("names", e["key"]), e["key"]).alias("name"), e["key"].alias("path"), e["value"].alias("v"))))
+    columns, fails = [], []
     for c, t in target.items():
-        is_c = F.col("name") == c
-        cast = F.when(~F.col("nested"), F.col("plain").try_cast(t))
-        aggs.append(F.max(F.when(is_c, cast)).alias(c))
-        fails.append(F.when(is_c & F.col("raw_type").isNotNull() & cast.isNull(), F.struct(F.lit(c).alias("field"), F.col("path").alias("source_field"), "raw_type", "value", F.lit(t).alias("target"))))
-    return named.groupBy("file_id", "feed", "seq_no", "rec_no").agg(
-        F.max("key").alias("record_key"), *aggs,
-        F.array_sort(F.collect_list(F.when(~wanted, F.struct("name", "value")))).alias("extras"),
-        F.array_sort(F.collect_list(F.coalesce(*fails))).alias("failed"),
-    )
+        x = _member("name", c)
+        kind = json_type(x["v"])
+        plain = F.when(kind == "string", F.try_variant_get(x["v"], "$", "string")).when(~kind.isin("object", "array"), F.to_json(x["v"]))
+        cast = plain.try_cast(t)
+        columns.append(cast.alias(c))
+        fails.append(F.when(kind.isNotNull() & cast.isNull(), F.struct(F.lit(c).alias("field"), x["path"].alias("source_field"), kind.alias("raw_type"), F.to_json(x["v"]).alias("value"), F.lit(t).alias("target"))))
+    key = F.to_json(_member("path", "key")["v"])
+    extras = F.transform(F.filter("f", lambda e: ~e["name"].isin(*target, "key")), lambda e: F.struct(e["name"].alias("name"), F.to_json(e["v"]).alias("value")))
+    return rows.filter("f is not null").select("file_id", "feed", "seq_no", "rec_no", key.alias("record_key"), *columns, F.array_sort(extras).alias("extras"), F.filter(F.array(*fails), lambda x: x.isNotNull()).alias("failed"))

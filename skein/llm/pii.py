@@ -152,6 +152,8 @@ _ADDRESSES = [
 
 _UP = "A-ZÀ-ÖØ-ÞĀ-ŽŁŚŻ"
 _LOW = "a-zß-öø-ÿā-žłśż"
+#: What a text must hold in lower case before an address pattern is tried on it.
+_ADDRESS_MARKS = [("str", "road", "rd", "ave", "boulevard", "blvd", "lane", "ln", "close", "dr", "way", "court", "ct", "place", "square", "terrace", "crescent", "row", "gardens"), ("rue", "avenue", "av.", "boulevard", "bd", "allée", "place", "chemin", "impasse", "quai", "cours", "route", "square", "passage"), ("calle", "c/", "aven", "avda", "plaza", "paseo", "carrera", "camino", "ronda", "traves"), ("str", "weg", "platz", "gasse", "allee", "ring", "damm", "ufer", "hof", "steig", "am ", "im ", "an der", "zum", "zur", "auf dem", "am\n", "im\n"), ("ул", "пр", "пер.", "площадь"), ("via", "viale", "piazza", "corso")]
 _NAMEWORD = rf"[{_UP}][{_LOW}]+(?:['’][{_UP}]?[{_LOW}]+)?|[{_UP}]['’][{_UP}][{_LOW}]+|[{_UP}][{_UP}]+|(?:Mc|Mac|De|Di|Van|Le|La|O['’])[{_UP}][{_LOW}]+"
 _SURNAME = rf"(?:(?:van|von|de|der|den|del|della|di|da|dos|la|le|bin|al|el|zu|VAN|VON|DE){_S}){{0,2}}(?:{_NAMEWORD})(?:[\-‐‑](?:{_NAMEWORD}))*"
 _GIVENNAME = rf"(?:{_NAMEWORD})(?:[\-‐‑](?:{_NAMEWORD}))?"
@@ -161,12 +163,28 @@ _NAME = re.compile(rf"(?<![\w@.\-/])(?P<g>{_GIVENNAME}){_INITIAL}{_S}(?P<s>{_SUR
 _REVERSE = re.compile(rf"(?<![\w@.\-/])(?P<s>{_SURNAME}),{_S}(?P<g>{_GIVENNAME})(?:{_S}[{_UP}]\.)?(?![\w@/]|[\-]\w)")
 _TITLED = re.compile(rf"(?<!\w)(?:Dr|Mr|Mrs|Ms|Mx|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Sir|Dame|Mlle|Dipl)\.?{_S}(?P<n>(?P<g>{_GIVENNAME}){_INITIAL}{_S}(?P<s>{_SURNAME}))(?![\w@/]|[\-.]\w)")
 _INTRO = re.compile(rf"(?i:\b(?:my[ \t\n]+name[ \t\n]+is|this[ \t\n]+is|i[ \t\n]+am|i['’]m|signed(?:[ \t\n]+by)?|signed[ \t\n]+form[ \t\n]+of|maintainer:|maintained[ \t\n]+by|author:|written[ \t\n]+by|reported[ \t\n]+by|contact[ \t]*:|ansprechpartner(?:in)?:|responsable[ \t]*:|owner:|attn\.|\"name\":[ \t]*\"|reviewer:|regards,|we[ \t\n]+called|assigned[ \t\n]+to)){_S}?\"?(?P<n>(?P<g>{_GIVENNAME}){_INITIAL}{_S}(?P<s>{_SURNAME}))(?![\w@/]|[\-.]\w)")
+_TITLE_MARKS = ("dr", "mr", "ms", "mx", "prof", "herr", "frau", "mons", "mad", "mme", "señor", "sr", "sir", "dame", "mlle", "dipl")
 _INTRO_MARKS = ("name is", "name\nis", "this is", "this\nis", "i am", "i\nam", "i'm", "i’m", "signed", "maintain", "author", "written", "reported", "contact", "ansprech", "responsable", "owner", "attn", "name", "reviewer", "regards", "called", "assigned")
 #: Words that stand with a capital but are no surname.
 _NO_SURNAME = frozenset("the and of to in is at on for from with by or an as it its this that was were will has have had can may must should do does did not no but if when who which what where lantern ledger runner bridge compass harvester loom relay shelf beacon street road lane avenue close blvd server version agent client tool skill team security dr mr mrs ms api http https json owns said".split())
 _NO_GIVEN = frozenset("the a an this that these those it its our my your his her their we i you he she they no not nothing do does did if when while before after once every each any some many most other and or but so as at by for from in into of on to with without since between under over above order build batch digest commit version step line issue clone install use run read keep first then next placeholders send please flint amber tundra maple harbor cedar basalt quarry copper willow saffron violet".split())
 
 
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+@lru_cache(200_000)
+def _given_word(word: str) -> bool:
+    return (word if word.isascii() else plain_letters(word)) in GIVEN_NAMES
+
+
+def _has_given(low: str) -> bool:
+    """Does a text in lower case hold a given name?"""
+    if low.isascii():
+        return not GIVEN_NAMES.isdisjoint(_WORD.findall(low))
+    return any(map(_given_word, set(_WORD.findall(low))))
+
+
 def _is_given(word: str) -> bool:
     return all(plain_letters(x) in GIVEN_NAMES for x in re.split(r"[\-‐‑]", word))
 
@@ -188,8 +206,8 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         if re.search(r"(?i)[A-Za-z]{2,}$", m[0]):
             hits.append((m.start(), m.end(), "email"))
     if _DIGITS.search(text):
-        for rx in _PHONES:
-            for m in rx.finditer(text):
+        for rx, mark in zip(_PHONES, ("+", "", "", "00"), strict=True):
+            for m in rx.finditer(text) if mark in text else ():
                 n = sum(c.isdigit() for c in m[0])
                 if 9 <= n <= 15 and not _NOT_PHONE.search(text[max(0, m.start() - 40) : m.start()]):
                     end = _cut(m[0], m.start())
@@ -202,21 +220,22 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             for m in rx.finditer(text) if not marks or any(k in low for k in marks) else ():
                 if not _NOT_ID.search(text[max(0, m.start("v") - 40) : m.start("v")]):
                     hits.append((m.start("v"), m.end("v"), "id_number"))
-    for rx in _ADDRESSES:
-        for m in rx.finditer(text):
+    for rx, marks in zip(_ADDRESSES, _ADDRESS_MARKS, strict=True):
+        for m in rx.finditer(text) if any(k in low for k in marks) else ():
             hits.append((m.start(), m.end(), "address"))
-    for m in _finditer_overlapping(_NAME, text):
+    someone = _has_given(low)
+    for m in _finditer_overlapping(_NAME, text) if someone else ():
         if _is_given(m["g"]) and _surname_ok(m["s"]) and not (m["s"].isupper() and not m["g"].isupper() and len(m["s"]) < 4):
             hits.append((m.start(), m.end(), "name"))
     forward = sorted((h[0], h[1]) for h in hits if h[2] == "name")
-    for m in _finditer_overlapping(_REVERSE, text):
+    for m in _finditer_overlapping(_REVERSE, text) if someone else ():
         i = bisect_left(forward, (m.start("s"), 0))
         if i and forward[i - 1][1] > m.start("s"):
             continue  # a surname that belongs to the name before it
         if _is_given(m["g"]) and _surname_ok(m["s"]) and not _is_given(m["s"].split("-")[0]):
             hits.append((m.start(), m.end(), "name"))
-    for rx in (_TITLED, _INTRO):
-        for m in rx.finditer(text) if rx is _TITLED or any(k in low for k in _INTRO_MARKS) else ():
+    for rx, marks in ((_TITLED, _TITLE_MARKS), (_INTRO, _INTRO_MARKS)):
+        for m in rx.finditer(text) if any(k in low for k in marks) else ():
             if _surname_ok(m["s"]) and plain_letters(m["g"]) not in _NO_GIVEN and m["g"].isupper() == m["s"].isupper():
                 hits.append((m.start("n"), m.end("n"), "name"))
     hits.sort(key=lambda h: (-(h[1] - h[0]), h[0]))

@@ -28,19 +28,22 @@ from skein.session import stage
 PARTS = 64
 
 
-def nnls(a: np.ndarray, b: np.ndarray, passes: int = 400) -> np.ndarray:
-    """x >= 0 with least |ax - b|, by cyclic coordinate descent over the columns of a (as dense float array)."""
-    x = np.zeros(a.shape[1])
-    r = b.astype(float).copy()
-    norm = (a * a).sum(0)
+def nnls(columns: list[tuple[tuple[int, int], ...]], b: list[float], passes: int = 60) -> list[float]:
+    """x >= 0 with least |ax - b| by cyclic coordinate descent; a column of a is its (row, value) entries."""
+    x, r = [0.0] * len(columns), list(b)
+    norm = [sum(k * k for _, k in c) for c in columns]
     for _ in range(passes):
         most = 0.0
-        for j in range(a.shape[1]):
-            step = max(-x[j], a[:, j] @ r / norm[j])
+        for j, c in enumerate(columns):
+            step = sum(k * r[i] for i, k in c) / norm[j]
+            if step < -x[j]:
+                step = -x[j]
             if step:
                 x[j] += step
-                r -= step * a[:, j]
-                most = max(most, abs(step))
+                for i, k in c:
+                    r[i] -= step * k
+                if step > most or -step > most:
+                    most = abs(step)
         if most < 0.01:
             break
     return x
@@ -88,24 +91,16 @@ def fit(hist: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]
     if left:
         pats = patterns(left, capacity)
         rows = {n: i for i, n in enumerate(sorted(left))}
-        a = np.zeros((len(rows), len(pats)))
-        for j, p in enumerate(pats):
-            for n in p:
-                a[rows[n], j] += 1
-        b = np.array([left[n] for n in sorted(left)], float)
-        # Patterns with room to spare are tried last: fitted first with the tight ones only, then with all on the rest.
-        tight = [j for j, p in enumerate(pats) if sum(p) >= capacity - max(1, capacity // 512)]
-        for cols in (tight, list(range(len(pats)))):
-            if not cols:
-                continue
-            now = np.array([left[n] for n in sorted(rows)], float) if out else b
-            x = np.floor(nnls(a[:, cols], now, passes=60) + 1e-9).astype(int)
-            for j, times in sorted(zip(cols, x, strict=True), key=lambda t: capacity - sum(pats[t[0]])):
-                need = Counter(pats[j])
-                room = capacity - sum(pats[j])
-                times = min([int(times), *(left[n] // k for n, k in need.items())])  # noqa: PLW2901
-                if times > 0 and room <= max(1, capacity // 512):
-                    out.append((pats[j], times))
+        # Only patterns that leave next to no room are fitted; on the second round to what the first left.
+        tight = [p for p in pats if sum(p) >= capacity - max(1, capacity // 512)]
+        columns = [tuple((rows[n], k) for n, k in Counter(p).items()) for p in tight]
+        for _ in range(2 if tight else 0):
+            x = nnls(columns, [float(left[n]) for n in rows])
+            for j in sorted(range(len(tight)), key=lambda j: capacity - sum(tight[j])):
+                need = Counter(tight[j])
+                times = min([int(x[j] + 1e-9), *(left[n] // k for n, k in need.items())])
+                if times > 0:
+                    out.append((tight[j], times))
                     for n, k in need.items():
                         left[n] -= k * times
     rests = (fill_up(left, capacity), best_fit(left, capacity))

@@ -47,11 +47,13 @@ GIVEN_NAMES = frozenset(plain_letters(x) for x in GIVEN.split())
 
 # ---------------------------------------------------------------- transducers
 
+_WORD = re.compile(r"[^\W\d_]+")
 _SHAPES = shape_table()
 _SHAPE_SET = frozenset(_SHAPES)
 _MIXED = re.compile(r"[^\W\d_]*[A-Za-z][^\W\d_]*")
 _DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9", "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9", "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9"}
 _SPELLED = re.compile(r"(?i)\b(?:" + "|".join(_DIGIT_WORDS) + r")(?:[ \n,.\-]+(?:" + "|".join(_DIGIT_WORDS) + r")){5,}\b")
+_DIGIT_SET = frozenset(_DIGIT_WORDS)
 _SPELLED_START = re.compile(r"\b(?:" + "|".join(_DIGIT_WORDS) + r")[ \n,.\-]+(?:" + "|".join(_DIGIT_WORDS) + r")[ \n,.\-]+(?:" + "|".join(_DIGIT_WORDS) + r")\b")
 _DIGIT_WORD = re.compile("(?i)" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)))
 
@@ -67,8 +69,15 @@ def _plain(c: str) -> str | None:
     return None
 
 
-def normalise(text: str) -> tuple[str, list[int] | None, dict[int, int]]:
-    """(text, source offset of each character; None if they are the same, source ends of digits that were words)."""
+def words_of(text: str) -> set[str]:
+    return set(_WORD.findall(text.lower()))
+
+
+def normalise(text: str, tokens: set[str]) -> tuple[str, list[int] | None, dict[int, int]]:
+    """(text, source offset of each character; None if they are the same, source ends of digits that were words).
+
+    `tokens` are the words of the text in lower case.
+    """
     out, at = text, None
     ends: dict[int, int] = {}
     if not text.isascii():
@@ -82,7 +91,7 @@ def normalise(text: str) -> tuple[str, list[int] | None, dict[int, int]]:
                 parts.append(p)
                 at += [i] * len(p)
             out = "".join(parts)
-    if _SPELLED_START.search(out.lower()):
+    if not _DIGIT_SET.isdisjoint(tokens if out is text else words_of(out)) and _SPELLED_START.search(out.lower()):
         at = at or list(range(len(out)))
         parts, new, i = [], [], 0
         for m in _SPELLED.finditer(out):
@@ -137,7 +146,9 @@ _IDS = [
 ]
 #: What a text must hold in lower case before a pattern with an introducing word is tried on it.
 _ID_MARKS = [(), ("ssn", "social", "tax", "tin", "row"), (), ("dni", "nif", "nie", "documento"), ("pass", "pasa", "паспорт", "パスポート", "旅券"), ("steuer", "idnr"), ("curit", "fiscal", "nir", "insee", "spi"), ("снилс", "инн", "national", "identity", "id card")]
-_DOT_MARK = re.compile(r"\b(?:dot|punto|punkt|point|точка|ドット)\b|[\[({<](?:dot|\.)[\])}>]|_dot_|-dot-|[\[({](?:at|a|@)[\])}]")
+#: What a text must hold before mailboxes in words are sought in it.
+_SPOKEN_DOTS = frozenset(("dot", "punto", "punkt", "point", "точка", "ドット"))
+_SPOKEN_MARKS = ("[at", "(at", "{at", "<at", "[@", "(@", "{@", "<@", "[a]", "(a)", "{a}", "_dot_", "-dot-", "_at_", "-at-", "(.)", "[.]", "{.}", "(arroba", "[arroba")
 _NOT_ID = re.compile(r"(?i)(?:batch|order|build|lot|version|commit|issue|part|serial|digest|ticket|release)[ \t\n]*(?:no\.?|nr\.?|number|#)?[ \t\n:]*$")
 
 _CAP = r"[A-ZÀ-ÖØ-ÞŁŚŻ][\w'’\-]*"
@@ -152,8 +163,15 @@ _ADDRESSES = [
 
 _UP = "A-ZÀ-ÖØ-ÞĀ-ŽŁŚŻ"
 _LOW = "a-zß-öø-ÿā-žłśż"
-#: What a text must hold in lower case before an address pattern is tried on it.
-_ADDRESS_MARKS = [("str", "road", "rd", "ave", "boulevard", "blvd", "lane", "ln", "close", "dr", "way", "court", "ct", "place", "square", "terrace", "crescent", "row", "gardens"), ("rue", "avenue", "av.", "boulevard", "bd", "allée", "place", "chemin", "impasse", "quai", "cours", "route", "square", "passage"), ("calle", "c/", "aven", "avda", "plaza", "paseo", "carrera", "camino", "ronda", "traves"), ("str", "weg", "platz", "gasse", "allee", "ring", "damm", "ufer", "hof", "steig", "am ", "im ", "an der", "zum", "zur", "auf dem", "am\n", "im\n"), ("ул", "пр", "пер.", "площадь"), ("via", "viale", "piazza", "corso")]
+#: Words (or endings of words) of which a text must hold one before an address pattern is tried on it.
+_ADDRESS_WORDS = [
+    (frozenset("street st road rd avenue ave boulevard blvd lane ln close drive dr way court ct place square terrace crescent row gardens".split()), ()),
+    (frozenset("rue avenue av boulevard bd allée place chemin impasse quai cours route square passage".split()), ()),
+    (frozenset("calle c avenida avda plaza paseo carrera camino ronda travesía".split()), ()),
+    (frozenset("am an im zum zur auf straße strasse weg platz allee".split()), ("straße", "strasse", "str", "weg", "platz", "gasse", "allee", "ring", "damm", "ufer", "hof", "steig")),
+    (frozenset("ул улица проспект пр пер площадь".split()), ()),
+    (frozenset("via viale piazza corso".split()), ()),
+]
 _NAMEWORD = rf"[{_UP}][{_LOW}]+(?:['’][{_UP}]?[{_LOW}]+)?|[{_UP}]['’][{_UP}][{_LOW}]+|[{_UP}][{_UP}]+|(?:Mc|Mac|De|Di|Van|Le|La|O['’])[{_UP}][{_LOW}]+"
 _SURNAME = rf"(?:(?:van|von|de|der|den|del|della|di|da|dos|la|le|bin|al|el|zu|VAN|VON|DE){_S}){{0,2}}(?:{_NAMEWORD})(?:[\-‐‑](?:{_NAMEWORD}))*"
 _GIVENNAME = rf"(?:{_NAMEWORD})(?:[\-‐‑](?:{_NAMEWORD}))?"
@@ -162,27 +180,22 @@ _INITIAL = rf"(?:{_S}[{_UP}]\.?(?=[ \t\n])){{0,2}}"
 _NAME = re.compile(rf"(?<![\w@.\-/])(?P<g>{_GIVENNAME}){_INITIAL}{_S}(?P<s>{_SURNAME})(?![\w@/]|[\-.]\w)")
 _REVERSE = re.compile(rf"(?<![\w@.\-/])(?P<s>{_SURNAME}),{_S}(?P<g>{_GIVENNAME})(?:{_S}[{_UP}]\.)?(?![\w@/]|[\-]\w)")
 _TITLED = re.compile(rf"(?<!\w)(?:Dr|Mr|Mrs|Ms|Mx|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Sir|Dame|Mlle|Dipl)\.?{_S}(?P<n>(?P<g>{_GIVENNAME}){_INITIAL}{_S}(?P<s>{_SURNAME}))(?![\w@/]|[\-.]\w)")
-_INTRO = re.compile(rf"(?i:\b(?:my[ \t\n]+name[ \t\n]+is|this[ \t\n]+is|i[ \t\n]+am|i['’]m|signed(?:[ \t\n]+by)?|signed[ \t\n]+form[ \t\n]+of|maintainer:|maintained[ \t\n]+by|author:|written[ \t\n]+by|reported[ \t\n]+by|contact[ \t]*:|ansprechpartner(?:in)?:|responsable[ \t]*:|owner:|attn\.|\"name\":[ \t]*\"|reviewer:|regards,|we[ \t\n]+called|assigned[ \t\n]+to)){_S}?\"?(?P<n>(?P<g>{_GIVENNAME}){_INITIAL}{_S}(?P<s>{_SURNAME}))(?![\w@/]|[\-.]\w)")
-_TITLE_MARKS = ("dr", "mr", "ms", "mx", "prof", "herr", "frau", "mons", "mad", "mme", "señor", "sr", "sir", "dame", "mlle", "dipl")
-_INTRO_MARKS = ("name is", "name\nis", "this is", "this\nis", "i am", "i\nam", "i'm", "i’m", "signed", "maintain", "author", "written", "reported", "contact", "ansprech", "responsable", "owner", "attn", "name", "reviewer", "regards", "called", "assigned")
+_INTRO = re.compile(rf"(?i:\b(?:my[ \t\n]+name[ \t\n]+is|this[ \t\n]+is|i[ \t\n]+am|i['’]m|signed[ \t\n]+by|signed[ \t\n]+form[ \t\n]+of|maintainer:|maintained[ \t\n]+by|author:|written[ \t\n]+by|reported[ \t\n]+by|contact[ \t]*:|ansprechpartner(?:in)?:|responsable[ \t]*:|owner:|attn\.|\"name\":[ \t]*\"|reviewer:|regards,|we[ \t\n]+called|assigned[ \t\n]+to)){_S}?\"?(?P<n>(?P<g>{_GIVENNAME}){_INITIAL}{_S}(?P<s>{_SURNAME}))(?![\w@/]|[\-.]\w)")
+_TITLES = frozenset("dr mr mrs ms mx prof herr frau monsieur madame mme señor señora sr sra sir dame mlle dipl".split())
+_INTRO_MARKS = ("name is", "name\nis", "name\tis", "this is", "this\nis", "i am", "i\nam", "i'm", "i’m", "signed by", "signed\nby", "signed form", "signed\nform", "maintain", "author", "written", "reported", "contact", "ansprech", "responsable", "owner:", "attn", '"name"', "reviewer:", "regards", "called", "assigned")
 #: Words that stand with a capital but are no surname.
 _NO_SURNAME = frozenset("the and of to in is at on for from with by or an as it its this that was were will has have had can may must should do does did not no but if when who which what where lantern ledger runner bridge compass harvester loom relay shelf beacon street road lane avenue close blvd server version agent client tool skill team security dr mr mrs ms api http https json owns said".split())
 _NO_GIVEN = frozenset("the a an this that these those it its our my your his her their we i you he she they no not nothing do does did if when while before after once every each any some many most other and or but so as at by for from in into of on to with without since between under over above order build batch digest commit version step line issue clone install use run read keep first then next placeholders send please flint amber tundra maple harbor cedar basalt quarry copper willow saffron violet".split())
 
 
-_WORD = re.compile(r"[^\W\d_]+")
-
-
 @lru_cache(200_000)
 def _given_word(word: str) -> bool:
     return (word if word.isascii() else plain_letters(word)) in GIVEN_NAMES
 
 
-def _has_given(low: str) -> bool:
-    """Does a text in lower case hold a given name?"""
-    if low.isascii():
-        return not GIVEN_NAMES.isdisjoint(_WORD.findall(low))
-    return any(map(_given_word, set(_WORD.findall(low))))
+def _has_given(tokens: set[str]) -> bool:
+    """Is one of the words of a text in lower case a given name?"""
+    return not GIVEN_NAMES.isdisjoint(tokens) or any(_given_word(t) for t in tokens if not t.isascii())
 
 
 def _is_given(word: str) -> bool:
@@ -194,15 +207,16 @@ def _surname_ok(s: str) -> bool:
     return bool(words) and not any(w in _NO_SURNAME for w in words) and len(words[-1]) > 1
 
 
-def detect(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, type) of the mentions in normalised text, in order, not overlapping."""
+def detect(text: str, tokens: set[str]) -> list[tuple[int, int, str]]:
+    """(start, end, type) of the mentions in normalised text with these words, in order, not overlapping."""
     hits: list[tuple[int, int, str]] = []
     if "@" in text:
         for m in _EMAIL.finditer(text):
             if text[max(0, m.start() - 3) : m.start()] != "://" and not text.startswith("git@", m.start()):
                 hits.append((m.start(), m.end(), "email"))
     low = text.lower()
-    for m in _SPOKEN.finditer(text) if _DOT_MARK.search(low) else ():
+    spoken = not _SPOKEN_DOTS.isdisjoint(tokens) or any(k in low for k in _SPOKEN_MARKS)
+    for m in _SPOKEN.finditer(text) if spoken else ():
         if re.search(r"(?i)[A-Za-z]{2,}$", m[0]):
             hits.append((m.start(), m.end(), "email"))
     if _DIGITS.search(text):
@@ -220,10 +234,11 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             for m in rx.finditer(text) if not marks or any(k in low for k in marks) else ():
                 if not _NOT_ID.search(text[max(0, m.start("v") - 40) : m.start("v")]):
                     hits.append((m.start("v"), m.end("v"), "id_number"))
-    for rx, marks in zip(_ADDRESSES, _ADDRESS_MARKS, strict=True):
-        for m in rx.finditer(text) if any(k in low for k in marks) else ():
+    for rx, (whole, ends) in zip(_ADDRESSES, _ADDRESS_WORDS, strict=True):
+        near = not whole.isdisjoint(tokens) or (ends and any(t.endswith(ends) for t in tokens))
+        for m in rx.finditer(text) if near else ():
             hits.append((m.start(), m.end(), "address"))
-    someone = _has_given(low)
+    someone = _has_given(tokens)
     for m in _finditer_overlapping(_NAME, text) if someone else ():
         if _is_given(m["g"]) and _surname_ok(m["s"]) and not (m["s"].isupper() and not m["g"].isupper() and len(m["s"]) < 4):
             hits.append((m.start(), m.end(), "name"))
@@ -234,8 +249,9 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             continue  # a surname that belongs to the name before it
         if _is_given(m["g"]) and _surname_ok(m["s"]) and not _is_given(m["s"].split("-")[0]):
             hits.append((m.start(), m.end(), "name"))
-    for rx, marks in ((_TITLED, _TITLE_MARKS), (_INTRO, _INTRO_MARKS)):
-        for m in rx.finditer(text) if any(k in low for k in marks) else ():
+    titled, introduced = not _TITLES.isdisjoint(tokens), any(k in low for k in _INTRO_MARKS)
+    for rx, near in ((_TITLED, titled), (_INTRO, introduced)):
+        for m in rx.finditer(text) if near else ():
             if _surname_ok(m["s"]) and plain_letters(m["g"]) not in _NO_GIVEN and m["g"].isupper() == m["s"].isupper():
                 hits.append((m.start("n"), m.end("n"), "name"))
     hits.sort(key=lambda h: (-(h[1] - h[0]), h[0]))
@@ -279,8 +295,9 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, type) of the mentions in the source text."""
     if not text:
         return []
-    plain, at, ends = normalise(text)
-    spans = detect(plain)
+    tokens = words_of(text)
+    plain, at, ends = normalise(text, tokens)
+    spans = detect(plain, tokens if plain is text else words_of(plain))
     if at is None:
         return spans
     return [(at[s], ends.get(e - 1, at[e - 1] + 1), kind) for s, e, kind in spans]

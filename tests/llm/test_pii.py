@@ -14,7 +14,7 @@ CASES = [
     ("17 rue des Lilas, 82440 Paris / Calle Mayor 7, 34753 Madrid / Birkenweg 9a, 12345 Bonn", [("address", "17 rue des Lilas, 82440 Paris"), ("address", "Calle Mayor 7, 34753 Madrid"), ("address", "Birkenweg 9a, 12345 Bonn")]),
     ("Ask Dr. Hrafn Ottesen, José A. Pell-Dray; Pellson, Renée and MARTA KÖRN", [("name", "Hrafn Ottesen"), ("name", "José A. Pell-Dray"), ("name", "Pellson, Renée"), ("name", "MARTA KÖRN")]),
     ("ｊo＠foo.example Jo​sé Pellson, Jоsé Pellson", [("email", "ｊo＠foo.example"), ("name", "Jo​sé Pellson"), ("name", "Jоsé Pellson")]),
-    ("call two one two, five five five, zero one zero one now; phone 2125550101", [("phone", "2125550101")]),
+    ("call two-one-two, five five five, zero one zero one now; phone 2125550101", [("phone", "2125550101")]),
 ]
 NONE = ["", "Install @a/b@1.2.3 first.", "git@forge.example:a/b.git", "user@<host> or <name>", "@pkg.tool() at line 4 of server.py", "Batch no. 923-45-6789 holds 7 archives", "Order 6064 3814 of the queue at 14:05:16", "Digest 09108787322 is wrong", "Build 2026-11-16 took 854-93 s", "192.0.2.55 v1.2.3", "Step 3, lane 32, Harbor Bridge", "sha 531254771b45f5bb1d515bcc1032861e1fa7ab62", "Marbury and Vernoise", "Version 2.10.1 of Quarry Lantern"]
 
@@ -22,8 +22,8 @@ NONE = ["", "Install @a/b@1.2.3 first.", "git@forge.example:a/b.git", "user@<hos
 @pytest.mark.parametrize("text,want", CASES)
 def test_cases(text, want):
     got = [(k, text[s:e]) for s, e, k in pii.find(text)]
-    if "two one two" in text:
-        assert got[0][0] == "phone" and got[0][1].startswith("two one two") and got[0][1].endswith("one")
+    if "two-one-two" in text:
+        assert got[0][0] == "phone" and got[0][1].startswith("two-one-two") and got[0][1].endswith("one")
         got = got[1:]
     assert got == want
     assert all(t not in pii.replace(text) for _, t in want)

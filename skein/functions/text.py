@@ -246,3 +246,40 @@ def key_locator(text: Column, *needles: Column) -> Column:
         at = F.call_function("locate", n, text, pos + 1)
         pos = F.when(pos < 0, pos).when(at > 0, at).otherwise(-1)
     return F.when(pos > 0, line_of(text, pos)).otherwise(0)
+
+
+# Public forms of tokens that are redacted wherever a snippet is shown.
+TOKEN_FORMS = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{10,}"
+
+
+def redact_snippet(c: Column, most: int = 240) -> Column:
+    """Tokens as their first four characters and a short hash, then at most `most` characters."""
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(f"({TOKEN_FORMS})"), 1))
+    masked = F.aggregate(found, c, lambda acc, m: F.replace(acc, m, F.concat(F.substring(m, 1, 4), F.lit("…["), short_hash(m, 8), F.lit("]"))))
+    return F.substring(masked, 1, most)
+
+
+def window_lines(text: Column, line: Column, n: int) -> Column:
+    """The lines around line `line` (from 1), `n` on each side."""
+    lines = F.split(text, "\n")
+    first = F.greatest(line - n, F.lit(1))
+    return F.array_join(F.slice(lines, first, line + n - first + 1), "\n")
+
+
+def in_double_quotes(line: Column, pos: Column) -> Column:
+    """Does the character at `pos` (from 1) lie between double quotes or back quotes of its line?"""
+    before, after = F.substring(line, F.lit(1), pos - 1), F.substring(line, pos, F.length(line))
+    odd = lambda q: (F.regexp_count(before, F.lit(q)) % 2 == 1) & F.contains(after, F.lit(q))
+    return odd('"') | odd("`")
+
+
+# What texts that speak to an agent or do something with a machine look like.
+HEURISTICS = {
+    "agent_directed": r"(?i)\b(?:you (?:must|should|will)|the agent|ask the user|do not)\b", "network_fetch": r"(?i)\b(?:curl|wget|fetch|download)\b", "credential_path": r"(?:~/|/home/\w+/)\.(?:ssh|aws|netrc|npmrc)|\.env\b", "read_verb": r"(?i)\b(?:reads?|loads?|opens?|collects?)\b",
+    "env_dump": r"\bprintenv\b|\bos\.environ\b(?!\[)|process\.env\b(?!\.)", "persistence": r"(?i)\b(?:crontab|systemctl|launchctl|startup)\b", "instruction_file": r"\b(?:AGENTS|CLAUDE|GEMINI|SKILL)\.md\b", "destructive": r"(?i)\b(?:rm -rf|destructive|drop table|truncates?)\b",
+}
+
+
+def heuristics(c: Column) -> Column:
+    """Names of the shared predicates that hold for a text."""
+    return F.filter(F.array(*[F.when(c.rlike(rx), F.lit(k)) for k, rx in HEURISTICS.items()]), lambda x: x.isNotNull())

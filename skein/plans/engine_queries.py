@@ -159,9 +159,9 @@ def client_servers(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s22_manifests")
 def manifests(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "tools", "server_name", "tool_name", "description").distinct()
+    t = read(spark, d, "tools", "report_id", "server_name", "tool_name", "description").distinct()
     body = F.to_json(F.struct(F.struct(F.array_sort(F.collect_list(F.struct(F.col("tool_name").alias("name"), "description"))).alias("tools")).alias("result")))
-    return configs.manifests(t.groupBy("server_name").agg(body.alias("text")))
+    return configs.manifests(t.groupBy("report_id", "server_name").agg(body.alias("text")))
 
 
 @query("s23_s24_source_tools")
@@ -564,9 +564,10 @@ def listing(spark: SparkSession, d: str) -> DataFrame:
 
 @query("fp06_reports")
 def reports_json(spark: SparkSession, d: str) -> DataFrame:
+    """One report per scan of stored files; the limits of a scan bound what a report holds."""
     from skein import sinks
 
-    return sinks.to_json(_final(spark, d))
+    return sinks.to_json(_scan_findings(spark, d))
 
 
 # ---------------------------------------------------------------- joins
@@ -918,10 +919,225 @@ def policy(spark: SparkSession, d: str) -> DataFrame:
 @query("x01_scan")
 def whole_scan(spark: SparkSession, d: str) -> DataFrame:
     """All stored files as scans, against the pack of this module and the bundle predicates."""
+    return _scan_findings(spark, d).select("scan_id", "fingerprint", "rule_id", "path", "line", "severity", "confidence", "n")
+
+
+def _scan_findings(spark: SparkSession, d: str) -> DataFrame:
     from skein.plans import scan
 
     b = spread(read(spark, d, "file_blobs", "report_id", "file_path", "blob_id", "data").dropDuplicates(["blob_id"]))
     f = b.select(F.col("report_id").cast("string").alias("scan_id"), F.col("file_path").alias("path"), F.col("data").alias("content")).dropDuplicates(["scan_id", "path"])
     pack = [{**r, "match": {**r["match"], "scopes": ["body", "hidden", "decoded", "frontmatter", "code"]}} for r in _PACK]
-    found, _ = scan.report(scan.prepare(f, *configs.rule_tables(spark, pack)))
-    return found.select("scan_id", "fingerprint", "rule_id", "path", "line", "severity", "confidence", "n")
+    return scan.report(scan.prepare(f, *configs.rule_tables(spark, pack)))[0]
+
+
+# ---------------------------------------------------------------- further operators
+
+
+@query("s19_key_lines", """
+select tool_id, case when a > 0 and b > 0 then (1 + length(left(s, a + b + length('"properties"') - 2)) - length(replace(left(s, a + b + length('"properties"') - 2), chr(10), '')))::int else 0 end as line
+from (select tool_id, input_schema as s, strpos(input_schema, '"properties"') as a, strpos(substr(input_schema, strpos(input_schema, '"properties"') + length('"properties"')), '"type"') as b from tools where input_schema is not null)""")
+def key_lines(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "tools", "tool_id", "input_schema").filter("input_schema is not null")
+    return t.select("tool_id", X.key_locator(F.col("input_schema"), F.lit('"properties"'), F.lit('"type"')).alias("line"))
+
+
+@query("s21_clients", """
+select spec_id, case client when 'cursor' then 'cursor' when 'vscode' then 'vscode' when 'claude-desktop' then 'claude-desktop' when 'gemini-cli' then 'gemini-cli' else 'unknown' end as client, case client when 'cursor' then 'project' when 'vscode' then 'project' when 'claude-desktop' then 'user' when 'gemini-cli' then 'user' else 'unknown' end as scope from (select distinct spec_id, client from server_specs)""")
+def clients(spark: SparkSession, d: str) -> DataFrame:
+    """Paths written for each stored client are read as that client's again."""
+    s = read(spark, d, "server_specs", "spec_id", "client").distinct()
+    c = F.col("client")
+    path = F.when(c == "cursor", "x/.cursor/mcp.json").when(c == "vscode", "x/.vscode/mcp.json").when(c == "claude-desktop", "a/claude_desktop_config.json").when(c == "gemini-cli", ".gemini/settings.json").otherwise("config/x.json")
+    return s.select("spec_id", configs.client_of(path)["client"].alias("client"), configs.client_of(path)["scope"].alias("scope"))
+
+
+@query("s32_digests", "select blob_id, sha256(data) = sha256 as matches from (select distinct blob_id, data, sha256 from file_blobs)")
+def digests(spark: SparkSession, d: str) -> DataFrame:
+    from skein.sources import records
+
+    b = read(spark, d, "file_blobs", "blob_id", "data", "sha256").distinct()
+    return b.select("blob_id", records.digest_matches(F.col("data"), F.concat(F.lit("sha256-"), F.base64(F.unhex("sha256")))).alias("matches"))
+
+
+@query("s33_responses", "select distinct report_key, trim(json_extract_string(report_json, '$.summary')) as body, false as removed from reports where report_id % 2 = 0")
+def maintainer_responses(spark: SparkSession, d: str) -> DataFrame:
+    from skein.sources import records
+
+    r = read(spark, d, "reports", "report_id", "report_key", "report_json").distinct()
+    text = F.concat(F.when(F.col("report_id") % 2 == 0, F.col("report_key")).otherwise(""), F.lit("\n"), F.get_json_object("report_json", "$.summary"))
+    return records.responses(r.select("report_key", text.alias("text")))
+
+
+@query("s31_file_choice", """
+select entry_name as package, arg_min(entry_version, (kind <> 'package', not starts_with(entry_version, '1.'), entry_version)) as filename from lock_entries where entry_version is not null group by 1""")
+def file_choice(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "lock_entries", "entry_name", "kind", "entry_version").filter("entry_version is not null")
+    best = F.min(F.struct((F.col("kind") != "package").alias("a"), (~F.startswith("entry_version", F.lit("1."))).alias("b"), "entry_version"))
+    return e.groupBy(F.col("entry_name").alias("package")).agg(best["entry_version"].alias("filename"))
+
+
+@query("t14_redacted_names", f"""
+with e as (select spec_id, unnest(env_names) as t from server_specs where env_names is not null)
+select spec_id, substr(list_reduce(list_distinct(regexp_extract_all(t, '{X.TOKEN_FORMS}')), lambda acc, m: replace(acc, m, left(m, 4) || '…[' || left(sha256(m), 8) || ']'), t), 1, 240) as t from e where regexp_matches(t, '{X.TOKEN_FORMS}')""")
+def redacted_names(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "server_specs", "spec_id", "env_names").select("spec_id", F.explode("env_names").alias("t")).filter(F.col("t").rlike(X.TOKEN_FORMS))
+    return e.select("spec_id", X.redact_snippet(F.col("t")).alias("t"))
+
+
+@query("t16_visible")
+def visible(spark: SparkSession, d: str) -> DataFrame:
+    return U.explode_with(read(spark, d, "text_runs", "run_id", "text"), "text", lambda t: [(U.visible(t),)], "text string")
+
+
+@query("t20_quoted", """
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents), p as (select doc_id, line, strpos(line, 'SKILL.md') as p from l)
+select doc_id, count(*) as n, count(*) filter ((length(left(line, p - 1)) - length(replace(left(line, p - 1), '"', ''))) % 2 = 1 and contains(substr(line, p), '"') or (length(left(line, p - 1)) - length(replace(left(line, p - 1), '`', ''))) % 2 = 1 and contains(substr(line, p), '`')) as quoted from p where p > 0 group by 1""")
+def quoted(spark: SparkSession, d: str) -> DataFrame:
+    lines = read(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("p", F.instr("line", "SKILL.md")).filter("p > 0")
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(X.in_double_quotes(F.col("line"), F.col("p"))).alias("quoted"))
+
+
+@query("t23_heuristics", """
+select kind, count(*) as n from (select unnest([case when regexp_matches(text, '(?i)\\b(?:you (?:must|should|will)|the agent|ask the user|do not)\\b') then 'agent_directed' end, case when regexp_matches(text, '(?i)\\b(?:curl|wget|fetch|download)\\b') then 'network_fetch' end, case when regexp_matches(text, '(?:~/|/home/\\w+/)\\.(?:ssh|aws|netrc|npmrc)|\\.env\\b') then 'credential_path' end,
+ case when regexp_matches(text, '(?i)\\b(?:reads?|loads?|opens?|collects?)\\b') then 'read_verb' end, case when regexp_matches(text, '(?i)\\b(?:crontab|systemctl|launchctl|startup)\\b') then 'persistence' end, case when regexp_matches(text, '\\b(?:AGENTS|CLAUDE|GEMINI|SKILL)\\.md\\b') then 'instruction_file' end, case when regexp_matches(text, '(?i)\\b(?:rm -rf|destructive|drop table|truncates?)\\b') then 'destructive' end]) as kind from documents) where kind is not null group by 1""")
+def heuristic_counts(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "documents", "text").filter("text is not null")
+    return t.select(F.explode(X.heuristics(F.col("text"))).alias("kind")).filter("kind <> 'env_dump'").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("t26_canonical_paths")
+def canonical_paths(spark: SparkSession, d: str) -> DataFrame:
+    odd = F.concat(F.element_at(F.array(F.lit("$HOME/"), F.lit("./a/../"), F.lit("%TEMP%\\"), F.lit("/home/me//")), (F.col("doc_id") % 4 + 1).cast("int")), "file_path")
+    return U.explode_with(read(spark, d, "documents", "doc_id", "file_path").select("doc_id", odd.alias("t")), "t", lambda t: [(U.canonical_path(t),)], "path string")
+
+
+@query("t33_pointers", "select tool_id, json_type(input_schema::json, '/properties') as kind, len(json_keys(input_schema::json, '/properties'))::int as n from tools where json_valid(input_schema) and json_type(input_schema::json) = 'OBJECT' and json_type(input_schema::json, '/properties') = 'OBJECT'")
+def pointers(spark: SparkSession, d: str) -> DataFrame:
+    v = F.try_variant_get(F.try_parse_json("input_schema"), "$.properties", "map<string,variant>")
+    return read(spark, d, "tools", "tool_id", "input_schema").select("tool_id", F.lit("OBJECT").alias("kind"), F.when(v.isNotNull(), F.size(v)).alias("n")).filter("n is not null")
+
+
+@query("t40_definition_diffs")
+def definition_diffs(spark: SparkSession, d: str) -> DataFrame:
+    """Definitions of one tool name that differ between its first and its last lock entry."""
+    e = read(spark, d, "lock_entries", "locator", "lock_path", "entry_key", "scanned_at", "tools").select("locator", "lock_path", "entry_key", "scanned_at", F.explode("tools").alias("tool", "v"))
+    g = e.groupBy("locator", "lock_path", "entry_key", "tool").agg(F.min_by("v.definition", "scanned_at").alias("a"), F.max_by("v.definition", "scanned_at").alias("b")).filter("a <> b")
+    packed = g.select("locator", "lock_path", "entry_key", "tool", F.concat("a", F.lit("\x00"), "b").alias("t"))
+    return U.explode_with(packed, "t", lambda t: [(U.definition_diff(*t.split("\x00", 1)),)], "lines array<string>")
+
+
+@query("r02_windows", """
+with l as (select doc_id, line, snippet, coalesce(lag(snippet) over w, '') || chr(10) || snippet || chr(10) || coalesce(lead(snippet) over w, '') as win from (select doc_id, unnest(range(1, len(s) + 1)) as line, unnest(s) as snippet from (select doc_id, string_split(text, chr(10)) as s from documents where text is not null)) window w as (partition by doc_id order by line))
+select doc_id, line::int as line from l where contains(snippet, 'private_data') and contains(win, 'external_egress')""")
+def windows(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "documents", "doc_id", "text").filter("text is not null")
+    near = X.window_lines(F.col("text"), F.col("line"), 1)
+    hits = t.select("doc_id", "text", F.posexplode(F.split("text", "\n")).alias("p", "s")).filter(F.contains("s", F.lit("private_data"))).withColumn("line", F.col("p") + 1)
+    return hits.filter(F.contains(near, F.lit("external_egress"))).select("doc_id", "line")
+
+
+@query("r23_package_facts", """
+with p as (select distinct entry_name as component, entry_name as package from lock_entries where kind = 'package'), f as (select entry_name as package, min(scanned_at)::date as created from lock_entries where kind = 'package' group by 1)
+select component, package, 'young_package' as rule, (date '2026-05-01' - created)::varchar as detail from p join f using (package) where date '2026-05-01' - created < 30""")
+def facts(spark: SparkSession, d: str) -> DataFrame:
+    from skein.operators import predicates
+
+    e = read(spark, d, "lock_entries", "entry_name", "kind", "scanned_at").filter("kind = 'package'")
+    p = e.select(F.col("entry_name").alias("component"), F.col("entry_name").alias("package")).distinct()
+    f = e.groupBy(F.col("entry_name").alias("package")).agg(F.min("scanned_at").cast("date").alias("created")).withColumn("provenance", F.lit(True)).withColumn("vulns", F.lit(None).cast("array<struct<id:string,severity:string>>"))
+    return predicates.package_facts(p, f, F.lit(dt.date(2026, 5, 1)))
+
+
+@query("r25_namespaces", """
+with r as (select distinct locator, split_part(regexp_replace(locator, '^[a-z]+:', ''), '/', 2) as owner, split_part(regexp_replace(locator, '^[a-z]+:', ''), '/', 3) as repo from reports)
+select a.owner || '/' || a.repo as name, a.owner as namespace, b.owner from r a join r b on a.repo = b.repo and a.owner <> b.owner""")
+def namespaces(spark: SparkSession, d: str) -> DataFrame:
+    from skein.operators import predicates
+
+    bare = F.split(F.regexp_replace("locator", "^[a-z]+:", ""), "/")
+    r = read(spark, d, "reports", "locator").distinct().select(bare[1].alias("owner"), bare[2].alias("repo"))
+    j = r.alias("a").join(r.alias("b"), "repo").select(F.concat_ws("/", "a.owner", "repo").alias("name"), F.concat(F.lit("https://github.com/"), F.col("b.owner"), F.lit("/"), "repo").alias("repository"))
+    return predicates.namespace_mismatch(j)
+
+
+@query("j06_same_source", """
+with a as (select distinct coalesce(source, '') as component, file_path as path from documents where contains(text, 'private_data')), b as (select distinct coalesce(source, '') as component, file_path as path from documents where contains(text, 'external_egress')), i as (select * from a intersect select * from b)
+select component, path from (select *, row_number() over (partition by component order by path nulls first) as n from i) where n <= 3""")
+def same_source(spark: SparkSession, d: str) -> DataFrame:
+    """Up to three examples per source, as the report shows them."""
+    from pyspark.sql import Window
+
+    t = read(spark, d, "documents", "source", "file_path", "text").select(F.coalesce("source", F.lit("")).alias("component"), F.col("file_path").alias("path"), "text")
+    part = lambda w: t.filter(F.contains("text", F.lit(w))).select("component", "path")
+    w = Window.partitionBy("component").orderBy("path")
+    return part("private_data").intersect(part("external_egress")).withColumn("n", F.row_number().over(w)).filter("n <= 3").drop("n")
+
+
+@query("j16_judge_items")
+def judge_items(spark: SparkSession, d: str) -> DataFrame:
+    """The hundred items that a budget of a hundred calls would ask for."""
+    from skein.operators import select
+
+    e = read(spark, d, "lock_entries", "entry_key", "kind", "content_hash", "report_id")
+    c = e.groupBy(F.col("entry_key").alias("component")).agg(F.max_by("kind", "report_id").alias("kind"), F.max_by("content_hash", "report_id").alias("content_hash"))
+    t = e.select(F.col("entry_key").alias("component"), F.concat("kind", F.lit("/"), "entry_key").alias("path"))
+    return select.judge_items(c, t, c.filter(F.col("component").rlike("a$")).select("component", "content_hash"), 100)
+
+
+@query("j18_probes", "select a.spec_id, b.spec_id as probe from (select distinct spec_id, server_name, config_path from server_specs) a join (select distinct spec_id, server_name, case when spec_id % 2 = 0 then '' else config_path end as config_path from server_specs) b on a.server_name = b.server_name and (b.config_path = '' or b.config_path = a.config_path)")
+def probe_join(spark: SparkSession, d: str) -> DataFrame:
+    from skein.operators import select
+
+    s = read(spark, d, "server_specs", "spec_id", "server_name", "config_path").distinct()
+    p = s.select(F.col("spec_id").alias("probe"), "server_name", F.when(F.col("spec_id") % 2 == 0, "").otherwise(F.col("config_path")).alias("config_path"))
+    return select.probe_of(s, p).select("spec_id", "probe")
+
+
+@query("j21_known_servers", "select distinct server_name as name, case when lower(server_name) glob 'umbra-*' then 'private' when lower(server_name) glob '*-calendar' then 'untrusted' when contains(lower(server_name), 'queue') then 'egress' end as label from server_specs where label is not null")
+def known_servers(spark: SparkSession, d: str) -> DataFrame:
+    from skein.operators import select
+
+    n = read(spark, d, "server_specs", "server_name").distinct().withColumnRenamed("server_name", "name")
+    return select.known_servers(n, [("umbra-*", "private"), ("*-calendar", "untrusted")], [("queue", "egress")]).select("name", "label")
+
+
+@query("j22_sessions", """
+with n as (select distinct (report_id % 5)::varchar as scan_id, case when client = 'unknown' then '*' else client end as session, server_name as component from server_specs), s as (select distinct scan_id, session from n where session <> '*')
+select scan_id, session, component from n where session <> '*' union all select n.scan_id, coalesce(s.session, '*'), n.component from n left join s using (scan_id) where n.session = '*'""")
+def sessions(spark: SparkSession, d: str) -> DataFrame:
+    s = read(spark, d, "server_specs", "report_id", "client", "server_name")
+    n = s.select((F.col("report_id") % 5).cast("string").alias("scan_id"), F.when(F.col("client") == "unknown", "*").otherwise(F.col("client")).alias("session"), F.col("server_name").alias("component")).distinct()
+    return flows.spread(n).select("scan_id", "session", "component")
+
+
+@query("j30_crosswalk", "select distinct b.category as rule_id, 'split' as framework, b.split as ref, case when b.split = 'heldout' then 'held out' end as title, case when b.split <> 'heldout' then 'unknown reference' end as error from bench_items b")
+def crosswalk(spark: SparkSession, d: str) -> DataFrame:
+    b = read(spark, d, "bench_items", "category", "split").distinct()
+    m = b.select(F.col("category").alias("rule_id"), F.lit("split").alias("framework"), F.col("split").alias("ref"))
+    ok, bad = configs.crosswalk(m, spark.createDataFrame([("split", "heldout", "held out")], "framework string, ref string, title string"), m.select("rule_id").distinct())
+    return ok.select("rule_id", "framework", "ref", "title").unionByName(bad, allowMissingColumns=True)
+
+
+@query("a07_tree_digest", "select report_id::varchar as scan_id, sha256(string_agg(file_path || chr(0) || sha256, chr(10) order by file_path || chr(0) || sha256)) as digest from (select distinct report_id, file_path, sha256 from file_blobs) group by 1")
+def tree_digest(spark: SparkSession, d: str) -> DataFrame:
+    b = read(spark, d, "file_blobs", "report_id", "file_path", "data").distinct()
+    return files.tree_digest(b.select(F.col("report_id").cast("string").alias("scan_id"), F.col("file_path").alias("path"), F.col("data").alias("content")))
+
+
+@query("fp05_report_keys", """select report_id, sha256('{"kind":"' || kind || '","locator":"' || locator || '","resolved":"' || coalesce(resolved, '') || '"}') as cache_key from (select distinct report_id, kind, locator, resolved from reports)""")
+def report_keys(spark: SparkSession, d: str) -> DataFrame:
+    r = read(spark, d, "reports", "report_id", "kind", "locator", "resolved").distinct()
+    return r.select("report_id", FI.report_key(F.col("kind"), F.col("locator"), F.coalesce("resolved", F.lit("")).alias("resolved")).alias("cache_key"))
+
+
+@query("fp07_sarif")
+def sarif(spark: SparkSession, d: str) -> DataFrame:
+    """One SARIF log per scan of stored files, made by the tasks."""
+    f = _scan_findings(spark, d)
+    level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warning").otherwise("note")
+    result = F.struct(F.col("rule_id").alias("ruleId"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine")).alias("region")).alias("physicalLocation"))).alias("locations"), F.struct(F.col("fingerprint").alias("primary/v1")).alias("partialFingerprints"))
+    key = F.struct((-FI.rank(F.col("severity"))).alias("r"), "rule_id", "path", "line", "fingerprint")
+    g = f.groupBy("scan_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), result.alias("x")))), lambda x: x["x"]).alias("results"))
+    log = F.struct(F.lit("2.1.0").alias("version"), F.array(F.struct(F.struct(F.struct(F.lit("skein").alias("name")).alias("driver")).alias("tool"), "results")).alias("runs"))
+    return g.select("scan_id", F.to_json(log).alias("log"))

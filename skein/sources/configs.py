@@ -121,8 +121,8 @@ def manifests(files: DataFrame) -> DataFrame:
 
 
 def malformed_summary(rows: DataFrame, *keys: str) -> DataFrame:
-    """Per list: how many entries were odd, the first three problems, and how many more there are."""
-    bad = rows.filter("problem is not null").groupBy(*keys, "list").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("problem")).alias("p"))
+    """Per list: how many entries were odd, the first three kinds of problem, and how many entries there are beyond three."""
+    bad = rows.filter("problem is not null").groupBy(*keys, "list").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("problem")).alias("p"))
     return bad.select(*keys, "list", "n", F.slice("p", 1, 3).alias("first"), F.greatest(F.col("n") - 3, F.lit(0)).alias("more"))
 
 

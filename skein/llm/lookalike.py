@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from skein.session import stage
+
 # Letters of other scripts that have the shape of a Latin letter, as "Latin: others".
 SHAPES = """
 a: а α ɑ ⍺
@@ -229,11 +231,11 @@ def rewrite(df: DataFrame, column: str, out: str, rep: dict[str, str]) -> DataFr
 def same_look(rows: DataFrame, key: list[str], exact: str, form: str, row_id: str) -> DataFrame:
     """(id_a, id_b): pairs of rows of one `key` with equal `form` but different `exact` text.
 
-    Forms with one spelling only are dropped before the join; the join runs on hashes and is checked on nothing else
-    than them (two 64-bit hashes each).
+    The rewritten texts are read once, into a staged table of hashes (two of 64 bits for a form and for a spelling);
+    forms with one spelling only are dropped before the join.
     """
     h = lambda c: F.struct(F.xxhash64(c), F.xxhash64(F.reverse(c)))
-    slim = rows.filter(F.col(exact).isNotNull()).select(*key, row_id, h(form).alias("f"), h(exact).alias("x"))
+    slim = stage(rows.filter(F.col(exact).isNotNull()).select(*key, row_id, h(form).alias("f"), h(exact).alias("x")), "lookalike-hashes")
     several = slim.groupBy(*key, "f").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).filter("lo <> hi").select(*key, "f")
     slim = slim.join(several, [*key, "f"], "left_semi")
     a, b = slim.withColumnsRenamed({row_id: "id_a", "x": "xa"}), slim.withColumnsRenamed({row_id: "id_b", "x": "xb"})

@@ -48,9 +48,9 @@ GIVEN_NAMES = frozenset(plain_letters(x) for x in GIVEN.split())
 # ---------------------------------------------------------------- transducers
 
 _WORD = re.compile(r"[^\W\d_]+")
+_LATIN = re.compile("[A-Za-z]")
 _SHAPES = shape_table()
 _SHAPE_SET = frozenset(_SHAPES)
-_MIXED = re.compile(r"[^\W\d_]*[A-Za-z][^\W\d_]*")
 _DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9", "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9", "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9"}
 _SPELLED = re.compile(r"(?i)\b(?:" + "|".join(_DIGIT_WORDS) + r")(?:[ \n,.\-]+(?:" + "|".join(_DIGIT_WORDS) + r")){5,}\b")
 _DIGIT_SET = frozenset(_DIGIT_WORDS)
@@ -82,7 +82,7 @@ def normalise(text: str, tokens: set[str]) -> tuple[str, list[int] | None, dict[
     ends: dict[int, int] = {}
     if not text.isascii():
         change = {c: p for c in set(text) if not c.isascii() and (p := _plain(c)) is not None}
-        mixed = [] if _SHAPE_SET.isdisjoint(text) else [m for m in _MIXED.finditer(text) if not m[0].isascii() and any(c in _SHAPES for c in m[0])]
+        mixed = [] if _SHAPE_SET.isdisjoint(text) else [m for m in _WORD.finditer(text) if not m[0].isascii() and not _SHAPE_SET.isdisjoint(m[0]) and _LATIN.search(m[0])]
         if change or mixed:
             swap = {i: _SHAPES[text[i]] for m in mixed for i in range(m.start(), m.end()) if text[i] in _SHAPES}
             parts, at = [], []
@@ -120,14 +120,14 @@ _WAT = rf"(?:{_S}(?:at|arroba|chez|bei|at sign|kukac|собака|アット){_S}
 _BDOT = rf"(?:{_S}?(?:\((?:dot|\.|punto|point|punkt)\)|\[(?:dot|\.|punto|point|punkt)\]|\{{(?:dot|\.)\}}|<dot>|_dot_|-dot-){_S}?)"
 _WDOT = rf"(?:{_S}(?:dot|punto|point|punkt|точка|ドット){_S})"
 _JOIN = rf"(?:{_S}(?:dot|punto|point|punkt|plus|underscore|dash|hyphen|minus){_S}|{_BDOT})"
-_SPOKEN = re.compile(rf"(?i)(?<![A-Za-z0-9_.+%@/\-]){_LOCAL}(?:{_JOIN}{_LOCAL})*(?:{_BAT}{_LABEL}(?:(?:\.|{_BDOT}|{_WDOT}){_LABEL})+|{_WAT}{_LABEL}(?:(?:{_BDOT}|{_WDOT}){_LABEL})+)(?![A-Za-z0-9@])")
+_SPOKEN = re.compile(rf"(?i)(?<![A-Za-z0-9_.+%@/\-]){_LOCAL}(?:{_JOIN}{_LOCAL}){{0,4}}(?:{_BAT}{_LABEL}(?:(?:\.|{_BDOT}|{_WDOT}){_LABEL}){{1,6}}|{_WAT}{_LABEL}(?:(?:{_BDOT}|{_WDOT}){_LABEL}){{1,6}})(?![A-Za-z0-9@])")
 
 _D = r"[ .\-/\xa0\n]"
 _PHONES = [
-    re.compile(r"(?<![\w+])\+\d{1,3}(?:(?:[ .\-/\xa0]|[ \t]?\n[ \t]*(?:[>#*|]+[ \t]+)*)?\(?\d{1,8}\)?){2,6}(?!\d)"),
+    re.compile(r"(?<![\w+])\+\d{1,3}(?:(?:[ .\-/\xa0]|[ \t]?\n[ \t]*(?:[>#*|]+[ \t]+)*)?\(?\d{1,8}+\)?){2,6}(?!\d)"),
     re.compile(r"(?<![\w.\-+/(])(?:1[ .\-])?(?:\([2-9]\d{2}\)[ \t]?\n?|[2-9]\d{2}[ .\-\n])[2-9]\d{2}[ .\-\n]\d{4}(?![\w]|[.\-]\d)"),
     re.compile(r"(?<![\w.\-+/(:])(?:\(0\d{1,4}\)|0\d{1,4})(?:[ .\-/\xa0\n]\d{2,8}){1,4}(?!\d|[.\-]\d)"),
-    re.compile(r"(?<![\w.\-+/(:])00[1-9]\d{0,2}(?:[ .\-/]?\d{2,8}){2,5}(?!\d)"),
+    re.compile(r"(?<![\w.\-+/(:])00[1-9]\d{0,2}(?:[ .\-/]?\d{2,8}+){2,5}(?!\d)"),
 ]
 _BARE_DIGITS = re.compile(r"(?<![\w.\-+/])\d{9,12}(?![\w]|[.\-]\d)")
 _BARE_LEFT = re.compile(r"(?i)(?:phone|tel\.?|t[ée]l[ée]phone[zr]?|call(?:ed)?|text me|reach\w*|fax|mobile|cell|ring|llame|telefon\w*|tel[ée]fono)(?:[ \t\n]+(?:me|us|him|her|them|at|on|au|al|unter|is|number|no\.?|:))*[ \t\n:]*$")

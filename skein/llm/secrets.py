@@ -92,8 +92,9 @@ _FORMS = [
     r"SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}", r"eyJ[A-Za-z0-9_\-]{10,}\.eyJ[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{10,}", r"[a-z]{2,5}-(?:live|prod)-[A-Za-z0-9]{16,}", r"shp(?:at|ss|ca)_[a-fA-F0-9]{32}", r"key-[0-9a-f]{32}", r"AGE-SECRET-KEY-1[A-Z0-9]{50,}",
 ]
 _KNOWN = re.compile(r"(?<![A-Za-z0-9_])(?:" + "|".join(_FORMS) + r")(?![A-Za-z0-9_])")
-_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>.*?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.S)
-_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://(?P<user>[^\s/:@\"'`<>]*):(?P<pw>[^\s/@\"'`<>]+(?:@[^\s/@\"'`<>.]*(?=@))?)@")
+_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>.{0,100000}?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.S)
+_FRAME = re.compile(r"-----BEGIN [A-Z0-9 ]{1,60}-----.{0,100000}?-----END [A-Z0-9 ]{1,60}-----", re.S)
+_URL = re.compile(r"(?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]*+://(?P<user>[^\s/:@\"'`<>]*):(?P<pw>[^\s/@\"'`<>]+(?:@[^\s/@\"'`<>.]*(?=@))?)@")
 _QUERY = re.compile(r"(?i)[?&;](?P<name>[A-Za-z0-9_.\-]*(?:key|token|secret|sig|signature|password|passwd|pwd|auth|credential|apikey|jwt|code))=(?P<v>[^&#\s\"'`<>\\]+)")
 _SCHEME = re.compile(r"(?i)\b(?:Bearer|Basic|Token|ApiKey)[ \t]+(?P<v>[A-Za-z0-9+/_\-.=~!#$%*?@:&]{6,})")
 _CURL = re.compile(r"(?:\s|[\"'])(?:-u|--user)(?:[ =]|\"\s*,\s*\")[\"']?(?P<user>[^\s:\"']+):(?P<v>[^\s\"']+)")
@@ -104,6 +105,8 @@ MORE = "continued"
 
 # ---------------------------------------------------------------- the lexical pass
 
+#: Longest literal that is read.
+LONGEST = 100_000
 _NAME = re.compile(r"(?:--?)?[A-Za-z_$][A-Za-z0-9_]*(?:(?:[.\-]|\?\.|->|::)[A-Za-z_][A-Za-z0-9_]*)*")
 _CLOSE = re.compile(r"(?:\\?[\"'`\])]|\*\*|\*|__|</?[a-z]+>)*")
 _TYPE = re.compile(r"\s*[:]\s*(?:readonly\s+)?&?(?:'static\s+)?[A-Za-z_][\w.]*(?:\s*[\[<][^\]>=\n]*[\]>])?(?:\s*\|\s*[\w.]+)*\??(?=\s*=\s*[rRbBfFuU]{0,2}[\"'`(])")
@@ -120,17 +123,21 @@ def _literal(text: str, at: int) -> tuple[int, int, bool] | None:
     if m:
         q, i = m["q"], m.end()
         if q[0] == "\\":
-            end = text.find(q, i)
-            return (i, end, True) if 0 <= end - i < 20_000 and "\n" not in text[i:end] else None
+            end = text.find(q, i, i + LONGEST)
+            return (i, end, True) if end >= 0 and "\n" not in text[i:end] else None
+        # An ordinary string ends on its line, the others after LONGEST characters at most.
+        far = i + LONGEST
+        if len(q) == 1 and q != "`" and 0 <= (line := text.find("\n", i, far)):
+            far = line
         j = i
-        while 0 <= (end := text.find(q, j)):
+        while 0 <= (end := text.find(q, j, far)):
             k = end
             while k > i and text[k - 1] == "\\":
                 k -= 1
             if (end - k) % 2 == 0:
                 break
             j = end + 1
-        if end < 0 or (len(q) == 1 and q != "`" and "\n" in text[i:end]):
+        if end < 0:
             return None
         return i, end, True
     m = _BARE.match(text, at)
@@ -161,7 +168,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
         body = re.sub(r"\\[nr]|\s|[\"'+,;>|#*/]|^[A-Za-z-]+: .*$", "", m["body"])
         if len(re.sub(r"[^A-Za-z0-9]", "", body)) >= 24 and not _WORDS.search(body[:200]) and len(set(body)) > 8:
             add(m.start(), m.end(), "private_key")
-    blocked = [(m.start(), m.end()) for m in re.finditer(r"-----BEGIN [A-Z0-9 ]+-----.*?-----END [A-Z0-9 ]+-----", text, re.S)]
+    blocked = [(m.start(), m.end()) for m in _FRAME.finditer(text)]
     inside = lambda i: any(s <= i < e for s, e in blocked)
     for m in _URL.finditer(text):
         pw = m["pw"]

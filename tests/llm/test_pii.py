@@ -39,3 +39,12 @@ def test_tables(spark):
     assert sorted((r.doc, r.pii_type, r.start_pos) for r in pii.mentions(df, "doc_id", "text").collect()) == [(1, "email", 6), (1, "email", 6), (4, "email", 600_001)]
     red = {r.doc: r.text for r in pii.redact(df, "doc_id", "text").collect()}
     assert red[1] == "mail <EMAIL>" and red[2] is None and red[3] == ""
+
+
+@pytest.mark.parametrize("text", ["а" * 300_000 + "o", "x" * 300_000 + "@", "+" + "1" * 100_000, "+123456789 " * 20_000, "1 " * 100_000, "Anna " * 60_000, "a dot " * 20_000 + "b at c", "A" * 200_000, "Dr. " * 50_000, "12 Old " * 40_000, "five " * 50_000, "(0" * 50_000])
+def test_long_texts_take_linear_time(text):
+    import time
+
+    began = time.process_time()
+    pii.find(text)
+    assert time.process_time() - began < 8

@@ -62,3 +62,12 @@ def test_elements(spark):
 
 def test_long_text():
     assert S.find("x = 1\n" * 200_000 + f"token = '{HEX}'")[0][0] > 1_000_000
+
+
+@pytest.mark.parametrize("text", ["A" * 400_000, "a" * 200_000 + "://x", "token = '" * 20_000, "-----BEGIN RSA PRIVATE KEY-----\n" * 3_000, "?" + "x" * 100_000 + "=", "password: `" * 10_000, "=" * 200_000, "{" * 100_000, "a.b-" * 100_000])
+def test_long_texts_take_linear_time(text):
+    import time
+
+    began = time.process_time()
+    S.find(text)
+    assert time.process_time() - began < 6

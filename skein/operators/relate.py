@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
-from skein.functions.units import osa_distance
+from skein.functions.units import explode_with, osa_distance
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: list[str], strict: bool = True) -> DataFrame:
@@ -70,18 +70,17 @@ def typosquats(names: DataFrame, name: str, popular: list[str]) -> DataFrame:
     table = sorted(set(popular))
     fold = F.translate(F.lower(F.col(name)), "0135", "oles")
 
-    @F.udf("struct<popular:string,distance:int>")
-    def closest(x: str):  # noqa: ANN202
+    def closest(x: str) -> list[tuple]:
         best = None
         for p in table:
             cap = 1 if len(p) < 8 else 2
             d = osa_distance(x, p, cap)
             if d <= cap and (best is None or d < best[1]):
                 best = (p, d)
-        return best
+        return [best] if best else []
 
-    one = names.select(F.col(name).alias("name"), fold.alias("f")).distinct()
-    return one.filter(~F.col("name").isin(table)).withColumn("c", closest("f")).filter("c is not null").select("name", "c.popular", "c.distance")
+    one = names.select(F.col(name).alias("name"), fold.alias("f")).distinct().filter(~F.col("name").isin(table))
+    return explode_with(one, "f", closest, "popular string, distance int")
 
 
 def bounded_paths(edges: DataFrame, starts: DataFrame, goals: DataFrame, hops: int = 3, most_runs: int = 1) -> DataFrame:

@@ -15,6 +15,8 @@ from skein.functions import text as X
 
 #: Parts into which the rows of one fingerprint are cut.
 SALT = 32
+#: Suppressions by path alone.
+MOST_SUPPRESSIONS = 1000
 SEVERITIES = ["critical", "high", "medium", "low", "info"]
 # Score of a severity whose rule names none, weight of a threat's status.
 BASE = {"critical": 9.3, "high": 7.7, "medium": 5.3, "low": 2.1, "info": 0.0}
@@ -111,16 +113,24 @@ def score(severity: Column, rule_severity: Column, cvss: Column, threat: Column,
 def suppress(findings: DataFrame, rules: DataFrame, today: dt.date) -> DataFrame:
     """Adds suppression (active, expired or null), reason and expires: the first valid rule (ord) that fits a finding.
 
-    rules: ord, rule_id, fingerprint, path_regex (each null for any), reason (10 characters at least), expires. The
-    rules are written by hand and sent to the tasks; more than 10 000 are refused.
+    rules: ord, rule_id, fingerprint, path_regex (each null for any, but not all), reason (10 characters at least),
+    expires. Rules by path alone are written by hand; more than 1 000 of them are refused.
     """
-    valid = rules.filter((F.length("reason") >= 10) & F.col("expires").isNotNull())
-    if valid.count() > 10_000:
-        raise ValueError("too many suppressions")
-    r = F.broadcast(valid.select(F.col("ord"), F.col("rule_id").alias("s_rule"), F.col("fingerprint").alias("s_fp"), F.col("path_regex").alias("s_path"), "reason", "expires"))
-    fits = (F.col("s_rule").isNull() | (F.col("s_rule") == F.col("rule_id"))) & (F.col("s_fp").isNull() | (F.col("s_fp") == F.col("fingerprint"))) & (F.col("s_path").isNull() | F.rlike(F.coalesce("path", F.lit("")), F.col("s_path")))
-    any_key = F.col("s_rule").isNotNull() | F.col("s_fp").isNotNull() | F.col("s_path").isNotNull()
-    hit = findings.select("scan_id", "fingerprint", "rule_id", "path").join(r, fits & any_key).groupBy("scan_id", "fingerprint").agg(F.min_by(F.struct("reason", "expires"), "ord").alias("s"))
+    valid = rules.filter((F.length("reason") >= 10) & F.col("expires").isNotNull()).select("ord", F.col("rule_id").alias("s_rule"), F.col("fingerprint").alias("s_fp"), F.col("path_regex").alias("s_path"), "reason", "expires")
+    by_path = valid.filter("s_rule is null and s_fp is null and s_path is not null").orderBy("ord").limit(MOST_SUPPRESSIONS + 1).collect()
+    if len(by_path) > MOST_SUPPRESSIONS:
+        raise ValueError("too many suppressions by path alone")
+    slim = findings.select("scan_id", "fingerprint", "rule_id", F.coalesce("path", F.lit("")).alias("path"))
+    fits = (F.col("s_fp").isNull() | (F.col("s_fp") == F.col("fingerprint"))) & (F.col("s_path").isNull() | F.rlike("path", F.col("s_path")))
+    cols = ["scan_id", "fingerprint", "ord", "reason", "expires"]
+    # Rules that name a rule or a fingerprint meet the findings by equality; those by path alone are tried row by row.
+    some = slim.join(valid.filter("s_rule is not null"), F.col("rule_id") == F.col("s_rule")).filter(fits).select(cols)
+    some = some.unionByName(slim.join(valid.filter("s_rule is null and s_fp is not null"), F.col("fingerprint") == F.col("s_fp")).filter(fits).select(cols))
+    if by_path:
+        table = F.array(*[F.struct(F.lit(r["ord"]).alias("ord"), F.lit(r["s_path"]).alias("rx"), F.lit(r["reason"]).alias("reason"), F.lit(r["expires"]).alias("expires")) for r in by_path])
+        first = F.try_element_at(F.filter(table, lambda r: F.rlike(F.col("path"), r["rx"])), F.lit(1))
+        some = some.unionByName(slim.select("scan_id", "fingerprint", first.alias("x")).filter("x is not null").select("scan_id", "fingerprint", "x.ord", "x.reason", "x.expires"))
+    hit = some.groupBy("scan_id", "fingerprint").agg(F.min_by(F.struct("reason", "expires"), "ord").alias("s"))
     out = findings.join(hit, ["scan_id", "fingerprint"], "left")
     state = F.when(F.col("s").isNull(), F.lit(None)).when(F.col("s.expires") < F.lit(today), "expired").otherwise("active")
     return out.withColumn("suppression", state).withColumn("reason", F.col("s.reason")).withColumn("expires", F.col("s.expires")).drop("s")

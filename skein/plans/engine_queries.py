@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
@@ -473,11 +473,21 @@ def rule_hits(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r01_rule_pack", f"with {_HITS_SQL} select doc_id, rule_id, line::int as line, snippet as snippet from hits where length(snippet) <= 300 and not (rule_id = 'T-DELETE-1' and regexp_matches(snippet, '\\bNothing\\b')) qualify row_number() over (partition by doc_id, rule_id order by line) <= 3")
 def rule_pack(spark: SparkSession, d: str) -> DataFrame:
-    """A pack of rules with conditions, evaluated with all positions; lines longer than 300 characters are left to the other query."""
+    """The part of `r01_rule_pack_all` that SQL can repeat: lines over 300 characters are left out, because a hit on them shows only its surroundings."""
+    short = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.when(F.length(x) <= 300, x).otherwise("")), "\n")
+    return _evaluated(spark, d, short)
+
+
+@query("r01_rule_pack_all")
+def rule_pack_all(spark: SparkSession, d: str) -> DataFrame:
+    """A pack of rules with conditions, evaluated over the whole texts with all positions."""
+    return _evaluated(spark, d, F.col("text"))
+
+
+def _evaluated(spark: SparkSession, d: str, unit: Column) -> DataFrame:
     r, p = configs.rule_tables(spark, _PACK)
     t = spread(read(spark, d, "documents", "doc_id", "text").filter("text is not null"))
-    short = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.when(F.length(x) <= 300, x).otherwise("")), "\n")
-    units = t.select("doc_id", F.lit("body").alias("scope"), F.lit("document").alias("role"), short.alias("unit"))
+    units = t.select("doc_id", F.lit("body").alias("scope"), F.lit("document").alias("role"), unit.alias("unit"))
     return rules.evaluate(units, r, p, ["doc_id"]).select("doc_id", "rule_id", "line", "snippet")
 
 

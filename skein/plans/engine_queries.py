@@ -308,6 +308,12 @@ def headings(spark: SparkSession, d: str) -> DataFrame:
     return lines.groupBy("doc_id", F.length(F.regexp_extract("line", r"^(#{1,6})[ \t]", 1)).alias("level")).agg(F.count("*").alias("n"))
 
 
+@query("t10_headings_all")
+def headings_all(spark: SparkSession, d: str) -> DataFrame:
+    """Headings of all documents by level, with fenced code left out; `t10_headings` is the part that SQL can repeat."""
+    return doc_sections(spark, d).groupBy("doc_id", "level").agg(F.count("*").alias("n"))
+
+
 @query("t09_fences")
 def doc_fences(spark: SparkSession, d: str) -> DataFrame:
     return U.explode_with(read(spark, d, "documents", "doc_id", "text"), "text", U.fences, "start int, end int, language string")

@@ -26,3 +26,9 @@ def test_rule_pack_reads_long_lines(spark, tmp_path):
     got = Q.rule_pack_all(spark, d)
     assert rows(got.select("doc_id", "rule_id", "line")) == sorted(want, key=str)
     assert {len(r.snippet) <= 300 and re.search(dict(Q._PATTERNS)[r.rule_id], r.snippet) is not None for r in got.collect()} == {True}
+
+
+def test_headings_of_documents_with_fences(spark, tmp_path):
+    texts = [(1, "# A\n\n```sh\n# no\n```\n## B\n"), (2, "~~~\n## no\n~~~\n\nC\n===\n\nD\n---\n"), (3, "# E\n# F\n"), (4, "say ``` and\n### G"), (5, "```\n# no"), (6, None)]
+    d = stored(spark, tmp_path, "documents", texts, "doc_id bigint, text string")
+    assert rows(Q.headings_all(spark, d)) == sorted([(1, 1, 1), (1, 2, 1), (2, 1, 1), (2, 2, 1), (3, 1, 2), (4, 3, 1)], key=str)

@@ -21,7 +21,7 @@ from skein.session import stage
 BLOCK = 1024
 #: Up to so many files to be read again are sent as ids to the tasks that read.
 SENT_FILES = 500_000
-#: Columns of the consistent table and their types; every other field is kept in `extras`.
+#: Columns of the consistent table and their types; every other field is kept in `extras` with its JSON type.
 TARGET = {"rule_pack_version": "string", "engine_version": "string", "tool_hash_version": "bigint", "lock_version": "bigint", "entry_total": "bigint", "findings": "bigint", "exit_code": "bigint", "locator": "string", "kind": "string", "resolved": "string"}
 
 
@@ -184,5 +184,7 @@ def consistent(files: DataFrame, target: dict[str, str] | None = None, found: Da
         columns.append(cast.alias(c))
         fails.append(F.when(kind.isNotNull() & cast.isNull(), F.struct(F.lit(c).alias("field"), x["path"].alias("source_field"), kind.alias("raw_type"), F.to_json(x["v"]).alias("value"), F.lit(t).alias("target"))))
     key = F.to_json(_member("path", "key")["v"])
-    extras = F.transform(F.filter("f", lambda e: ~e["name"].isin(*target, "key")), lambda e: F.struct(e["name"].alias("name"), F.to_json(e["v"]).alias("value")))
+    # By path, not by name: of several fields with one first name a column takes one, and the others stay here.
+    taken = F.array(F.lit("key"), *[F.coalesce(_member("name", c)["path"], F.lit("key")) for c in target])
+    extras = F.transform(F.filter("f", lambda e: ~F.array_contains(taken, e["path"])), lambda e: F.struct(e["name"].alias("name"), json_type(e["v"]).alias("type"), F.to_json(e["v"]).alias("value")))
     return rows.filter("f is not null").select("file_id", "feed", "seq_no", "rec_no", key.alias("record_key"), *columns, F.array_sort(extras).alias("extras"), F.filter(F.array(*fails), lambda x: x.isNotNull()).alias("failed"))

@@ -14,7 +14,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_table(spark: SparkSession, d: str) -> DataFrame:
-    return drift.consistent(read(spark, d, "feed_files", "file_id", "feed", "seq_no", "fmt", "body")).drop("failed", "extras")
+    return drift.consistent(read(spark, d, "feed_files", "file_id", "feed", "seq_no", "fmt", "body")).drop("failed")
 
 
 def p1_casts(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import json
 
 from skein.operators import drift
+from skein.plans import core_queries
 
 SCHEMA = "file_id bigint, feed string, seq_no int, fmt string, body string, path string, types int"
 
@@ -54,3 +55,15 @@ def test_table(spark):
     assert [rows[i].tool_hash_version for i in (1, 2, 3)] == [2, None, 3]
     assert [(x.field, x.value) for x in rows[2].failed] == [("tool_hash_version", '"x"')]
     assert [(x.name, x.value) for x in rows[3].extras] == [("other", "[1]")]
+
+
+def test_table_keeps_every_field(spark, tmp_path):
+    a = [{"key": "k1", "ENGINE_VERSION": "7", "rule_pack_version": "1", "scanned_at": "2026", "ratio": 0.5, "signed": True}]
+    b = [{"key": "k1", "ENGINE_VERSION": "7", "pack": "1", "scanned_at": None, "limits": {"n": 1}}]
+    c = [{"key": "k1", "pack": "1", "rule_pack_version": "9"}]
+    frame(spark, [(1, "f", 1, "jsonl", lines(*a)), (2, "f", 2, "jsonl", lines(*b)), (3, "f", 3, "jsonl", lines(*c))]).write.parquet(str(tmp_path / "feed_files.parquet"))
+    rows = {r.file_id: r for r in core_queries.p1_table(spark, str(tmp_path)).collect()}
+    assert [rows[i].rule_pack_version for i in (1, 2)] == ["1", "1"]
+    assert [tuple(x) for x in rows[1].extras] == [("ENGINE_VERSION", "string", '"7"'), ("ratio", "fraction", "0.5"), ("scanned_at", "string", '"2026"'), ("signed", "boolean", "true")]
+    assert [tuple(x) for x in rows[2].extras] == [("ENGINE_VERSION", "string", '"7"'), ("limits", "object", '{"n":1}'), ("scanned_at", None, "null")]
+    assert sorted([rows[3].rule_pack_version, *[x.value.strip('"') for x in rows[3].extras]]) == ["1", "9"]

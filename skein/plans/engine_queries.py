@@ -892,6 +892,15 @@ def server_settings(spark: SparkSession, d: str) -> DataFrame:
     return predicates.servers(s, ["spec_id"]).filter(F.col("rule").isin("unpinned_package", "old_transport", "project_stdio", "plain_http")).select("spec_id", "rule")
 
 
+@query("r12_server_settings_all")
+def server_settings_all(spark: SparkSession, d: str) -> DataFrame:
+    """All rules over the stored columns; `r12_server_settings` holds those that SQL can repeat."""
+    from skein.operators import predicates
+
+    s = read(spark, d, "server_specs", "spec_id", "command", "args", "url", "transport", "config_scope", "env_names").distinct()
+    return predicates.servers(s, ["spec_id"]).distinct()
+
+
 @query("r13_tool_metadata", """
 select tool_id, 'contradicting_hints' as rule from tools where (annotations::json->>'$.readOnlyHint')::boolean and (annotations::json->>'$.destructiveHint')::boolean
 union all select tool_id, 'no_description' from tools where trim(coalesce(description, '')) = ''
@@ -903,6 +912,14 @@ def tool_metadata(spark: SparkSession, d: str) -> DataFrame:
     return predicates.tools(t, ["tool_id"]).filter(F.col("rule").isin("contradicting_hints", "no_description", "dangerous_tool")).select("tool_id", "rule")
 
 
+@query("r13_tool_metadata_all")
+def tool_metadata_all(spark: SparkSession, d: str) -> DataFrame:
+    """All rules; `r13_tool_metadata` holds those that SQL can repeat."""
+    from skein.operators import predicates
+
+    return predicates.tools(read(spark, d, "tools", "tool_id", "tool_name", "description", "input_schema", "annotations"), ["tool_id"])
+
+
 @query("r08_r10_skills")
 def skill_format(spark: SparkSession, d: str) -> DataFrame:
     from skein.operators import predicates
@@ -1022,6 +1039,12 @@ def heuristic_counts(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.explode(X.heuristics(F.col("text"))).alias("kind")).filter("kind <> 'env_dump'").groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query("t23_heuristics_all")
+def heuristic_counts_all(spark: SparkSession, d: str) -> DataFrame:
+    """All heuristics; `t23_heuristics` holds those that SQL can repeat."""
+    return read(spark, d, "documents", "text").select(F.explode(X.heuristics(F.col("text"))).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 @query("t26_canonical_paths")
 def canonical_paths(spark: SparkSession, d: str) -> DataFrame:
     odd = F.concat(F.element_at(F.array(F.lit("$HOME/"), F.lit("./a/../"), F.lit("%TEMP%\\"), F.lit("/home/me//")), (F.col("doc_id") % 4 + 1).cast("int")), "file_path")

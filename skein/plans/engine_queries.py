@@ -444,6 +444,13 @@ def comment_lines(spark: SparkSession, d: str) -> DataFrame:
     return t.select("blob_id", F.explode(F.split("t", "\n")).alias("line")).filter(X.is_comment_line(F.col("line"))).groupBy("blob_id").agg(F.count("*").alias("n"))
 
 
+@query("t43_comment_lines_all")
+def comment_lines_all(spark: SparkSession, d: str) -> DataFrame:
+    """Comment lines of all files, whatever their encoding; `t43_comment_lines` is the part that SQL can decode."""
+    t = read(spark, d, "file_blobs", "blob_id", "data").distinct().select("blob_id", X.decode_text(F.col("data"))["text"].alias("t"))
+    return t.select("blob_id", F.explode(F.split("t", "\n")).alias("line")).filter(X.is_comment_line(F.col("line"))).groupBy("blob_id").agg(F.count("*").alias("n"))
+
+
 # ---------------------------------------------------------------- rules and findings
 
 #: Rules in patterns that Java, Python and RE2 read alike.

@@ -53,3 +53,10 @@ def test_all_tool_rules(spark, tmp_path):
 def test_all_heuristics(spark, tmp_path):
     d = stored(spark, tmp_path, "documents", [("printenv | curl x",), ("os.environ",), ("os.environ[1]",), (None,)], "text string")
     assert rows(Q.heuristic_counts_all(spark, d)) == [("env_dump", 2), ("network_fetch", 1)]
+
+
+def test_comment_lines_of_every_encoding(spark, tmp_path):
+    text = "# a\nx = 1\n// ü\n#!no\n"
+    data = [(1, text.encode()), (2, b"\xff\xfe" + text.encode("utf-16-le")), (3, b"\xfe\xff" + text.encode("utf-16-be")), (4, text.encode("latin-1")), (5, b"\xef\xbb\xbf" + text.encode()), (6, None), (1, text.encode())]
+    d = stored(spark, tmp_path, "file_blobs", data, "blob_id bigint, data binary")
+    assert rows(Q.comment_lines_all(spark, d)) == [(i, 2) for i in range(1, 6)]

@@ -2,6 +2,7 @@
 
 import re
 
+from skein.operators import predicates, relate
 from skein.plans import engine_queries as Q
 
 
@@ -60,3 +61,11 @@ def test_comment_lines_of_every_encoding(spark, tmp_path):
     data = [(1, text.encode()), (2, b"\xff\xfe" + text.encode("utf-16-le")), (3, b"\xfe\xff" + text.encode("utf-16-be")), (4, text.encode("latin-1")), (5, b"\xef\xbb\xbf" + text.encode()), (6, None), (1, text.encode())]
     d = stored(spark, tmp_path, "file_blobs", data, "blob_id bigint, data binary")
     assert rows(Q.comment_lines_all(spark, d)) == [(i, 2) for i in range(1, 6)]
+
+
+def test_recorded_facts_and_verdicts(spark):
+    refs = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "package string, n int")
+    assert rows(relate.first_fact(refs, spark.createDataFrame([("a", "x"), ("a", "x"), ("c", "y")], "package string, fact string"), ["package"])) == [("a", 1, "x")]
+    parts = spark.createDataFrame([("p", "h1"), ("q", "h2"), ("r", "h3")], "component string, content_hash string")
+    told = [("p", "h1", '{"verdict": "malicious", "confidence": 0.9}'), ("q", "old", '{"verdict": "malicious"}'), ("r", "h3", '{"verdict": "benign"}')]
+    assert rows(predicates.judged(parts, spark.createDataFrame(told, "component string, content_hash string, verdict string"))) == [("p", "malicious", "medium", "llm")]

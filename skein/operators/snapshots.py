@@ -9,7 +9,8 @@ not reproduce its digest, is enlarged and built again; recovered hashes are join
 
 Defined cases: a repeated entry_key counts in its row with the latest received_at (nulls first, ties by content); rows
 without report_id or entry_key and entries whose report is unknown are left out; a report repeated as a row counts
-once; reports without scanned_at come first; equal times are ordered by report_id; null and empty collections are the same, null and ''
+once; reports without scanned_at come first; equal times are ordered by report_id; the first snapshot of a lock file
+gives no rows (or all its entries as added, a parameter); null and empty collections are the same, null and ''
 versions are not; text that is no JSON is compared as text; extra columns are ignored.
 """
 
@@ -29,6 +30,8 @@ from skein.session import stage
 BUCKET = 64
 #: Differences per bucket that the first table allows for, besides those that the counts prove.
 SLACK = 6
+#: Snapshots of more entries than this are joined in SALTS parts.
+SPLIT, SALTS = 1_000_000, 64
 #: Tables are doubled so often; buckets that still fail are compared directly.
 ROUNDS = 6
 
@@ -59,11 +62,13 @@ def entry_hashes(entries: DataFrame, content: Column | None = None) -> DataFrame
     return rows.groupBy("report_id", "entry_key").agg(F.max(F.struct("received_at", "vh"))["vh"].alias("vh")).select("report_id", "entry_key", F.xxhash64("entry_key").alias("kh"), "vh")
 
 
-def consecutive(reports: DataFrame) -> DataFrame:
-    """(report_id, prev_report): each report of a lock file and the one before it."""
+def consecutive(reports: DataFrame, counts: DataFrame) -> DataFrame:
+    """(report_id, n, prev_report, n_prev): each report of a lock file and the one before it, with their numbers of entries (report_id, n)."""
     block = F.coalesce(F.floor(F.unix_seconds(F.col("scanned_at").cast("timestamp")) / (86400 * 30)), F.lit(-(1 << 40)))
     once = reports.filter(F.col("report_id").isNotNull()).groupBy("report_id").agg(F.min(F.struct("scanned_at", "locator", "lock_path")).alias("x")).select("report_id", "x.*")
-    return carry_last(once, ["locator", "lock_path"], ["scanned_at", "report_id"], "report_id", "prev_report", block).select("report_id", "prev_report")
+    once = once.join(counts, "report_id", "left").na.fill(0, ["n"]).withColumn("me", F.struct("report_id", "n"))
+    prev = carry_last(once, ["locator", "lock_path"], ["scanned_at", "report_id"], "me", "before", block)
+    return prev.select("report_id", "n", F.col("before.report_id").alias("prev_report"), F.coalesce("before.n", F.lit(0).cast("bigint")).alias("n_prev"))
 
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -191,25 +196,41 @@ def recovered(sides: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def sides_of(hashes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(pair, bucket, part, side, kh, vh, entry_key): each entry once for its own report and once for the next."""
-    counts = hashes.groupBy("report_id").agg(F.count("*").alias("n"))
-    own = pairs.join(counts, "report_id", "left").join(counts.select(F.col("report_id").alias("prev_report"), F.col("n").alias("n_prev")), "prev_report", "left").na.fill(0, ["n", "n_prev"])
+    """(pair, bucket, part, side, kh, vh): each entry once for its own report and once for the next.
+
+    `pairs` are (report_id, n, prev_report, n_prev). Snapshots of more than SPLIT entries are joined in parts, so that
+    a lock file that holds most of the rows is many tasks.
+    """
     buckets = F.ceil(F.greatest("n", "n_prev", F.lit(1)) / BUCKET)
     proven = F.abs(F.col("n") - F.col("n_prev")) / buckets
     part = F.ceil((proven + 2 * F.sqrt(proven) + SLACK) * 1.5 / 3)
-    own = own.select(F.col("report_id").alias("pair"), "prev_report", buckets.cast("bigint").alias("buckets"), part.cast("bigint").alias("part"))
-    roles = own.select(F.col("pair").alias("report_id"), "pair", F.lit(1).alias("side"), "buckets", "part").unionByName(
-        own.filter("prev_report is not null").select(F.col("prev_report").alias("report_id"), "pair", F.lit(-1).alias("side"), "buckets", "part")
-    )
-    return hashes.join(roles, "report_id").select("pair", F.pmod(F.shiftright("kh", 20), F.col("buckets")).alias("bucket"), "part", "side", "kh", "vh", "entry_key")
-
-
-def changes(entries: DataFrame, reports: DataFrame, content: Column | None = None) -> DataFrame:
-    """(report_id, entry_key, change_kind): what each snapshot adds, removes and changes against the one before."""
+    own = pairs.withColumn("buckets", buckets.cast("bigint")).withColumn("part", part.cast("bigint"))
+    both = F.array(F.struct(F.col("report_id").alias("r"), F.lit(1).alias("side"), F.col("n").alias("size")), F.struct(F.col("prev_report").alias("r"), F.lit(-1).alias("side"), F.col("n_prev").alias("size")))
+    roles = own.select(F.col("report_id").alias("pair"), "buckets", "part", F.explode(both).alias("x")).select("pair", "buckets", "part", F.col("x.r").alias("report_id"), "x.side", "x.size").filter("report_id is not null and size > 0")
+    slim = hashes.select("report_id", "kh", "vh")
+    large = roles.filter(F.col("size") > SPLIT)
+    met = slim.join(roles.filter(F.col("size") <= SPLIT), "report_id")
+    if not large.isEmpty():
+        salt = F.pmod(F.xxhash64("kh"), F.lit(SALTS))
+        salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+        met = met.select("pair", "buckets", "part", "side", "kh", "vh").unionByName(slim.withColumn("salt", salt).join(salted, ["report_id", "salt"]).select("pair", "buckets", "part", "side", "kh", "vh"))
+    return met.select("pair", F.pmod(F.shiftright("kh", 20), F.col("buckets")).alias("bucket"), "part", "side", "kh", "vh")
+
+
+def changes(entries: DataFrame, reports: DataFrame, content: Column | None = None, first: str = "none") -> DataFrame:
+    """(report_id, entry_key, change_kind): what each snapshot adds, removes and changes against the one before.
+
+    `first`: the first snapshot of a lock file has nothing to be compared with and gives no rows (`none`), or counts as
+    compared with an empty one, so that all its entries are `added`.
+    """
+    if first not in ("none", "added"):
+        raise ValueError("first must be none or added")
     hashes = stage(entry_hashes(entries, content), "snapshots-hashes")
-    pairs = stage(consecutive(reports), "snapshots-pairs")
-    sides = sides_of(hashes, pairs)
-    diff = recovered(sides.drop("entry_key"))
-    named = sides.join(diff, ["pair", "kh", "vh", "side"])
+    pairs = consecutive(reports, hashes.groupBy("report_id").agg(F.count("*").alias("n")))
+    pairs = stage(pairs if first == "added" else pairs.filter("prev_report is not null"), "snapshots-pairs")
+    diff = recovered(sides_of(hashes, pairs))
+    # Recovered hashes get their keys back from the snapshot they come from.
+    of = diff.join(pairs.select(F.col("report_id").alias("pair"), "prev_report"), "pair").withColumn("report_id", F.when(F.col("side") == 1, F.col("pair")).otherwise(F.col("prev_report")))
+    named = of.select("pair", "report_id", "kh", "vh", "side").join(hashes, ["report_id", "kh", "vh"])
     kind = F.when(F.min("side") == F.max("side"), F.when(F.max("side") == 1, "added").otherwise("removed")).otherwise("changed")
     return named.groupBy("pair", "entry_key").agg(kind.alias("change_kind")).select(F.col("pair").alias("report_id"), "entry_key", "change_kind")

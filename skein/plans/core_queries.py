@@ -38,20 +38,21 @@ def p5_adjacency(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_table": p1_table, "p1_casts": p1_casts, "p4_found": p4_found, "p5_found": p5_found, "p5_adjacency": p5_adjacency}
 SQL: dict[str, str] = {}
-SQL["p4_found"] = """
+SQL["p4_found"] = r"""
 with rep as (select distinct report_id, locator, lock_path, scanned_at from reports),
-pairs as (select report_id, lag(report_id) over (partition by locator, lock_path order by scanned_at, report_id) as prev from rep),
-tool as (select report_id, entry_key, received_at, t.key as name, regexp_replace(lower(trim(t.value.hash)), '^(?:[a-z][a-z0-9_\\-]*[:=]|sha-?[0-9]+-|md5-)\\s*', '') as hash, t.value.definition as d, row_id from (select rowid as row_id, * from (select row_number() over () as rowid, * from lock_entries)) , unnest(map_entries(tools)) u(t)),
-canon as (select d, list_sort(list(j.fullkey || '=' || j.type || ':' || coalesce(j.atom::varchar, ''))) as c from (select distinct d from tool) x, json_tree(x.d) j group by d),
-tools1 as (select row_id, list_sort(list(struct_pack(n := name, h := hash, c := c))) as ts from tool join canon using (d) group by row_id),
-numbered as (select row_number() over () as row_id, * from lock_entries),
-e as (select n.report_id, n.entry_key, n.received_at, struct_pack(v := entry_version, h := regexp_replace(lower(trim(content_hash)), '^(?:[a-z][a-z0-9_\\-]*[:=]|sha-?[0-9]+-|md5-)\\s*', ''),
-  f := list_sort(list_transform(coalesce(map_entries(skill_files), []), lambda x: struct_pack(k := x.key, v := regexp_replace(lower(trim(x.value)), '^(?:[a-z][a-z0-9_\\-]*[:=]|sha-?[0-9]+-|md5-)\\s*', '')))),
-  t := coalesce(ts, []), l := list_sort(list_distinct(coalesce(capability_labels, []))))::varchar as content from numbered n left join tools1 using (row_id)),
-once as (select report_id, entry_key, arg_max(content, received_at) as content from e group by 1, 2),
-cur as (select p.report_id, o.entry_key, o.content from pairs p join once o using (report_id)), old as (select p.report_id, o.entry_key, o.content from pairs p join once o on o.report_id = p.prev)
-select coalesce(c.report_id, o.report_id) as report_id, coalesce(c.entry_key, o.entry_key) as entry_key, case when o.entry_key is null then 'added' when c.entry_key is null then 'removed' else 'changed' end as change_kind
-from cur c full join old o on c.report_id = o.report_id and c.entry_key = o.entry_key where c.content is distinct from o.content"""
+step as (select report_id as now, lag(report_id) over (partition by locator, lock_path order by scanned_at, report_id) as was from rep qualify was is not null),
+latest as (select report_id, entry_key, arg_max(struct_pack(v := entry_version, h := content_hash, f := skill_files, t := tools, l := capability_labels), received_at) as e from lock_entries group by all),
+plain as (select report_id, entry_key, coalesce(e.v, chr(1)) as v, coalesce(regexp_replace(lower(trim(e.h)), '^(?:[a-z][a-z0-9_\-]*[:=]|sha-?[0-9]+-|md5-)\s*', ''), chr(1)) as h, coalesce(list_sort(list_distinct(e.l)), []) as l, coalesce(map_entries(e.f), []) as f, coalesce(map_entries(e.t), []) as t from latest),
+member as (
+  select report_id, entry_key, 'version' as what, v as value from plain union all select report_id, entry_key, 'hash', h from plain
+  union all select report_id, entry_key, 'label', unnest(l) from plain
+  union all select report_id, entry_key, 'file ' || x.key, coalesce(regexp_replace(lower(trim(x.value)), '^(?:[a-z][a-z0-9_\-]*[:=]|sha-?[0-9]+-|md5-)\s*', ''), chr(1)) from (select report_id, entry_key, unnest(f) as x from plain)
+  union all select report_id, entry_key, 'tool ' || x.key, coalesce(regexp_replace(lower(trim(x.value.hash)), '^(?:[a-z][a-z0-9_\-]*[:=]|sha-?[0-9]+-|md5-)\s*', ''), chr(1)) from (select report_id, entry_key, unnest(t) as x from plain)
+  union all select report_id, entry_key, 'definition ' || x.key || ' ' || j.fullkey || ' ' || j.type, coalesce(j.atom::varchar, '') from (select report_id, entry_key, unnest(t) as x from plain) y, json_tree(y.x.value.definition) j),
+cur as (select now, entry_key, what, value from step join member on report_id = now), old as (select now, entry_key, what, value from step join member on report_id = was),
+differs as (select now, entry_key from (select * from cur except select * from old) union select now, entry_key from (select * from old except select * from cur))
+select d.now as report_id, d.entry_key, case when o.entry_key is null then 'added' when c.entry_key is null then 'removed' else 'changed' end as change_kind
+from differs d join step s using (now) left join latest c on c.report_id = s.now and c.entry_key = d.entry_key left join latest o on o.report_id = s.was and o.entry_key = d.entry_key"""
 SQL["p5_found"] = """
 with recursive raw as (select tool_id, 'input' as side, input_schema as s from tools union all select tool_id, 'output', output_schema from tools),
 one as (select tool_id, side, case when json_valid(s) then case when json_type(s) = 'VARCHAR' then s::json->>'$' else s end end as s from raw),

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from skein.operators import snapshots
@@ -8,11 +9,11 @@ ENTRY = "report_id bigint, entry_key string, entry_version string, content_hash
 REPORT = "report_id bigint, locator string, lock_path string, scanned_at timestamp, side int"
 
 
-def run(spark, entries, reports):
+def run(spark, entries, reports, first="none"):
     e = spark.createDataFrame([(*x, 1, "x") for x in entries], ENTRY)
     r = spark.createDataFrame([(*x, 1) for x in reports], REPORT)
     r = r.withColumn("scanned_at", F.to_timestamp("scanned_at")) if reports else r
-    return sorted(tuple(x) for x in snapshots.changes(e, r).collect())
+    return sorted(tuple(x) for x in snapshots.changes(e, r, first=first).collect())
 
 
 def ts(n):
@@ -35,7 +36,9 @@ def test_normal_forms(spark):
         (None, "a", "1", "1", None, None, None, ts(1)),
         (2, None, "1", "1", None, None, None, ts(1)),
     ]
-    assert run(spark, entries, reports) == [(1, "a", "added"), (1, "b", "added"), (2, "c", "added"), (3, "a", "removed"), (3, "b", "removed"), (3, "c", "removed"), (4, "a", "added")]
+    later = [(2, "c", "added"), (3, "a", "removed"), (3, "b", "removed"), (3, "c", "removed")]
+    assert run(spark, entries, reports) == later
+    assert run(spark, entries, reports, "added") == [(1, "a", "added"), (1, "b", "added"), *later, (4, "a", "added")]
 
 
 def test_empty(spark):
@@ -43,7 +46,9 @@ def test_empty(spark):
     assert run(spark, [], [(1, "l", "p", ts(1))]) == []
 
 
-def test_random_against_brute_force(spark):
+@pytest.mark.parametrize("split", [snapshots.SPLIT, 150])
+def test_random_against_brute_force(spark, monkeypatch, split):
+    monkeypatch.setattr(snapshots, "SPLIT", split)
     rng = random.Random(5)
     reports, entries, want = [], [], []
     rid = 0
@@ -62,7 +67,9 @@ def test_random_against_brute_force(spark):
             want += [(rid, k, "added") for k in new if k not in state] + [(rid, k, "removed") for k in state if k not in new] + [(rid, k, "changed") for k in new if k in state and new[k] != state[k]]
             entries += [(rid, k, v, "h", None, None, None, ts(step)) for k, v in new.items()]
             state = new
-    assert run(spark, entries, reports) == sorted(want)
+    assert run(spark, entries, reports, "added") == sorted(want)
+    begin = {min(r[0] for r in reports if r[2] == str(lock)) for lock in range(6)}
+    assert run(spark, entries, reports) == sorted(w for w in want if w[0] not in begin)
 
 
 def test_small_tables_are_enlarged(spark):

@@ -190,7 +190,7 @@ def recovered(sides: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         failed = peeled.filter("failed").select("pair", "bucket").distinct()
         if failed.isEmpty():
             return found
-        todo = todo.join(failed, ["pair", "bucket"], "left_semi").withColumn("part", F.col("part") * 2 + 2)
+        todo = stage(todo.join(failed, ["pair", "bucket"], "left_semi").withColumn("part", F.col("part") * 2 + 2), f"snapshots-again{salt}")
     rest = todo.groupBy("pair", "kh", "vh").agg(F.sum("side").cast("int").alias("side")).filter("side <> 0")
     return found.unionByName(rest.select("pair", "kh", "vh", "side"))
 
@@ -212,7 +212,7 @@ def sides_of(hashes: DataFrame, pairs: DataFrame) -> DataFrame:
     met = slim.join(roles.filter(F.col("size") <= SPLIT), "report_id")
     if not large.isEmpty():
         salt = F.pmod(F.xxhash64("kh"), F.lit(SALTS))
-        salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+        salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
         met = met.select("pair", "buckets", "part", "side", "kh", "vh").unionByName(slim.withColumn("salt", salt).join(salted, ["report_id", "salt"]).select("pair", "buckets", "part", "side", "kh", "vh"))
     return met.select("pair", F.pmod(F.shiftright("kh", 20), F.col("buckets")).alias("bucket"), "part", "side", "kh", "vh")
 

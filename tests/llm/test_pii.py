@@ -16,6 +16,19 @@ CASES = [
     ("ｊo＠foo.example Jo​sé Pellson, Jоsé Pellson", [("email", "ｊo＠foo.example"), ("name", "Jo​sé Pellson"), ("name", "Jоsé Pellson")]),
     ("call two-one-two, five five five, zero one zero one now; phone 2125550101", [("phone", "2125550101")]),
 ]
+CASES += [
+    ("my SSN is 078-05-1120, passport no. C01X", [("id_number", "078-05-1120")]),
+    ("visit Oxford Street 12 soon", [("address", "Oxford Street 12")]),
+    ("call (five five five) two one two four five six seven", [("phone", "five five five) two one two four five six seven")]),
+    ("ring 555 two one two 4567 now", [("phone", "555 two one two 4567")]),
+    ("mail jo plus x at foo dot example dot com, a (at) b (dot) org or k_at_c_dot_net", [("email", "jo plus x at foo dot example dot com"), ("email", "a (at) b (dot) org"), ("email", "k_at_c_dot_net")]),
+    ("Reported by Grace Baker, +1 212 555 0101", [("name", "Grace Baker"), ("phone", "+1 212 555 0101")]),
+    ("Автор: Иван Петров. 担当者: 田中 太郎です。山田花子さんへ", [("name", "Иван Петров"), ("name", "田中 太郎"), ("name", "山田花子")]),
+    ("983-11\n2233;Hrafn Ottesen;12 Old Mill Road", [("id_number", "983-11\n2233"), ("name", "Hrafn Ottesen"), ("address", "12 Old Mill Road")]),
+]
+# Names that no list of the detector holds, of many languages, in plain sentences.
+PEOPLE = "Priya Raghunathan|Wei Zhang|Kofi Mensah|Hiroshi Tanaka|Tóth Ágnes|Nguyễn Văn Minh|Oluwaseun Adeyemi|Fatoumata Diallo|Siobhán Ní Bhriain|Agnieszka Wiśniewska|Jiří Novák|Ayşe Yılmaz|Mehmet Öztürk|Nikos Papadopoulos|Ludmila Horáková|Björn Þorsteinsson|Aino Virtanen|Marjan de Vries|João Figueiredo|Beatriz Carvalho|Camilo Restrepo|Xiomara Quiñones|Tadeusz Kowalczyk|Anjali Deshpande|Rajesh Venkataraman|Chidi Okonkwo|Thandiwe Nkosi|Lwazi Dlamini|Yuki Nakamura|Haruto Kobayashi|Minjun Gwak|Soyeon Baek|Zofia Mazurek|Lászlo Szabó|Ioana Popescu|Radu Ionescu|Milica Jovanović|Goran Petrović|Dilnoza Karimova|Bekzod Yusupov|Tariq Mahmoud|Layla Haddad|Shirin Rahimi|Davit Gelashvili|Nino Kvaratskhelia|Giorgos Stavrou|Ailsa MacGregor|Niamh O'Sullivan|Gwilym Prydderch|Mateusz Zając"
+FRAMES = ["Yesterday {} and a colleague looked at the logs.", "The patch from {} still fails on the second host.", "We agreed that {} would keep the old key.", "{} wrote this page in May.", "Notes of the meeting; present: {}, two guests."]
 NONE = ["", "Install @a/b@1.2.3 first.", "git@forge.example:a/b.git", "user@<host> or <name>", "@pkg.tool() at line 4 of server.py", "Batch no. 923-45-6789 holds 7 archives", "Order 6064 3814 of the queue at 14:05:16", "Digest 09108787322 is wrong", "Build 2026-11-16 took 854-93 s", "192.0.2.55 v1.2.3", "Step 3, lane 32, Harbor Bridge", "sha 531254771b45f5bb1d515bcc1032861e1fa7ab62", "Marbury and Vernoise", "Version 2.10.1 of Quarry Lantern"]
 
 
@@ -34,6 +47,21 @@ def test_none(text):
     assert pii.find(text) == []
 
 
+def test_names_that_no_list_holds():
+    people = PEOPLE.split("|")
+    got = sum(("name", p) in [(k, t[s:e]) for s, e, k in pii.find(t)] for p in people for f in FRAMES for t in [f.format(p)])
+    assert got >= 0.9 * len(people) * len(FRAMES), got
+
+
+def test_words_that_name_things(spark):
+    rows = [(i, f"See Tundra Loom {i} and the Quill Harvester today.") for i in range(60)] + [(100 + i, f"Signed by Tundra Okonkwo, please. Chidi Nwosu {i} came.") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc bigint, text string")
+    got = {(r.doc, r.start_pos) for r in pii.mentions(df, "doc", "text").collect() if r.pii_type == "name"}
+    assert not [d for d, _ in got if d < 100]
+    assert {(100, 11)} <= got
+    assert "<NAME>" not in {r.doc: r.text for r in pii.redact(df, "doc", "text").collect()}[1]
+
+
 def test_tables(spark):
     df = spark.createDataFrame([(1, "mail a@b.co"), (2, None), (3, ""), (1, "mail a@b.co"), (4, "x " * 300_000 + "a@b.co")], "doc_id bigint, text string")
     assert sorted((r.doc, r.pii_type, r.start_pos) for r in pii.mentions(df, "doc_id", "text").collect()) == [(1, "email", 6), (1, "email", 6), (4, "email", 600_001)]

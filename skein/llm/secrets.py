@@ -1,11 +1,16 @@
 """Credentials embedded in source code: found by a lexical pass over the text, and blanked without breaking it.
 
-The text is tokenised lexically: identifiers, connectors (assignment, colon, arrow, default, argument, flag, heading
-in a sentence) and literals (quoted in any way, split over lines, or bare). A literal that is no placeholder is a
-secret if it is assigned or passed to an identifier named like a credential; literals with the fixed form of a
-provider's token, user information in URLs, secret query parameters, authorization headers and private key blocks are
-secrets wherever they stand. Redaction replaces the characters of the literal only; quotes, prefixes, escapes and line
-ends stay, so the text parses as before.
+The text is lexed in islands: wherever an identifier stands, in code, configuration, prose or a comment, the tokens that
+follow it are read: closing marks, a type, a connector (assignment, colon, arrow, default, argument, flag, heading in a
+sentence) and a literal (quoted in any way, split over lines, or bare). Reading outward from names needs no language
+and is not led astray by an apostrophe in a comment, as lexing from the top of a file is. Slots that a notation names
+are read as literals of that name: the password of a URL or of a user flag, the value of a query parameter, the
+credentials of an authorization header, the body of a private key block. A literal in a slot named like a credential is
+a secret if it is no placeholder. Literals with the fixed public form of a provider's token, plain or in base64, are
+reported under a kind of their own wherever they stand. Redaction replaces the characters of the literal only; quotes,
+prefixes, escapes and line ends stay, so the text parses as before.
+
+Values of names for passwords may be words or short phrases; values of keys and tokens may not, nor may bare words.
 
 Defined cases: null data has no secrets; bytes are read as UTF-16 (by mark, or by their zero bytes), else UTF-8, else
 Latin-1, and written back the same way with the same mark; rows that repeat count once; null elements keep their
@@ -17,6 +22,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -57,6 +63,29 @@ _WORDS = re.compile(
 _NONE = {"", "none", "null", "nil", "undefined", "true", "false", "yes", "no", "on", "off", "n/a", "na", "tbd", "unset", "empty", "default", "string", "str", "test", "foo", "bar", "value", "optional", "required", "bearer", "basic", "password", "secret", "token", "key", "apikey", "passwd", "pass", "credential", "private", "public", "auto", "prompt", "stdin", "unknown", "disabled", "enabled", "bytes", "int", "self", "any", "str | none"}
 
 
+#: Names whose values people choose: words and short phrases count as secrets there.
+_CHOSEN = {"password", "passwords", "passwd", "pwd", "passphrase", "passcode", "pass", "pw", "smtppass", "dbpassword"}
+#: Words of messages, labels and descriptions, of which a password phrase has none.
+_MESSAGE = re.compile(r"(?i)\b(?:the|is|are|be|must|may|should|your|you|please|at|least|for|to|of|in|with|from|and|or|not|no|invalid|wrong|incorrect|required|missing|empty|field|enter|type|reset|forgot|forgotten|confirm|change|new|old|minimum|maximum|length|characters?|words?|hash(?:ed)?|user|login|account|see|use|used|read|prompt(?:ed)?|string|value|passwords?|passphrase|secret|token|key|protected|policy|manager|auth|authentication)\b")
+
+
+@lru_cache(100_000)
+def is_chosen_name(name: str) -> bool:
+    """Does an identifier name something that people choose, like a password?"""
+    w = [x.lower() for x in _SPLIT.findall(name)]
+    return any(x in _CHOSEN for x in w[-2:])
+
+
+def is_chosen_value(v: str) -> bool:
+    """May a quoted literal be a password of words: one word of 6 letters or more, or a short phrase that is no message?"""
+    v = v.strip()
+    if v.lower() in _NONE or _MASK.fullmatch(v) or _WORDS.search(v) or _REFERENCE.match(v) or _DIGEST.match(v) or _MESSAGE.search(v.replace("_", " ").replace("-", " ")):
+        return False
+    if re.fullmatch(r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+", v):
+        return False
+    return bool(re.fullmatch(r"[^\W\d_]{6,}|[^\W\d_]+(?:[-_.][^\W_]+)+|[^\s:;,.?!(){}<>]+(?: [^\s:;,.?!(){}<>]+){2,7}", v))
+
+
 def is_placeholder(v: str, deep: bool = True) -> bool:
     """Is a literal no secret: empty, masked, a stand-in, a reference, a digest or an id?"""
     v = v.strip().strip("\"'`")
@@ -92,8 +121,8 @@ _FORMS = [
     r"SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}", r"eyJ[A-Za-z0-9_\-]{10,}\.eyJ[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{10,}", r"[a-z]{2,5}-(?:live|prod)-[A-Za-z0-9]{16,}", r"shp(?:at|ss|ca)_[a-fA-F0-9]{32}", r"key-[0-9a-f]{32}", r"AGE-SECRET-KEY-1[A-Z0-9]{50,}",
 ]
 _KNOWN = re.compile(r"(?<![A-Za-z0-9_])(?:" + "|".join(_FORMS) + r")(?![A-Za-z0-9_])")
-_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>.{0,100000}?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.S)
-_FRAME = re.compile(r"-----BEGIN [A-Z0-9 ]{1,60}-----.{0,100000}?-----END [A-Z0-9 ]{1,60}-----", re.S)
+_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>.*?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.S)
+_BEGIN, _END = re.compile(r"-----BEGIN [A-Z0-9 ]{1,60}-----"), re.compile(r"-----END [A-Z0-9 ]{1,60}-----")
 _URL = re.compile(r"(?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]*+://(?P<user>[^\s/:@\"'`<>]*):(?P<pw>[^\s/@\"'`<>]+(?:@[^\s/@\"'`<>.]*(?=@))?)@")
 _QUERY = re.compile(r"(?i)[?&;](?P<name>[A-Za-z0-9_.\-]*(?:key|token|secret|sig|signature|password|passwd|pwd|auth|credential|apikey|jwt|code))=(?P<v>[^&#\s\"'`<>\\]+)")
 _SCHEME = re.compile(r"(?i)\b(?:Bearer|Basic|Token|ApiKey)[ \t]+(?P<v>[A-Za-z0-9+/_\-.=~!#$%*?@:&]{6,})")
@@ -105,8 +134,6 @@ MORE = "continued"
 
 # ---------------------------------------------------------------- the lexical pass
 
-#: Longest literal that is read.
-LONGEST = 100_000
 _NAME = re.compile(r"(?:--?)?[A-Za-z_$][A-Za-z0-9_]*(?:(?:[.\-]|\?\.|->|::)[A-Za-z_][A-Za-z0-9_]*)*")
 _CLOSE = re.compile(r"(?:\\?[\"'`\])]|\*\*|\*|__|</?[a-z]+>)*")
 _TYPE = re.compile(r"\s*[:]\s*(?:readonly\s+)?&?(?:'static\s+)?[A-Za-z_][\w.]*(?:\s*[\[<][^\]>=\n]*[\]>])?(?:\s*\|\s*[\w.]+)*\??(?=\s*=\s*[rRbBfFuU]{0,2}[\"'`(])")
@@ -114,23 +141,39 @@ _LINK = re.compile(r"[ \t]*(?:===?|!==?|=>|:=|\?=|\|\|=?|\?\?=?|\?:|[=:]|\bor\b|
 _OPEN = re.compile(r"(?:[(\[{]|[|>][-+]?\d?|\\)?[ \t]*(?:(?:#|//)[^\n]*)?\r?\n[ \t]*(?:[+>][ \t]*)?|[(\[][ \t]*|String\(|Buffer\.from\(|b64decode\(|atob\(|SecretStr\(|str\(")
 _QUOTE = re.compile(r"(?:[rRbBfFuU]{1,2}|@|\$|[lL])?(?P<q>\"\"\"|'''|\\\"|\\'|[\"'`])")
 _BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>]+(?:[^\s\"'`,;<>]*[^\s\"'`,;<>)\]}])?")
-_FALLBACK = re.compile(r"[^\"'`\n]{0,80}?(?:\|\||\?\?|\bor\b|\belse\b|,|\?:)[ \t]*(?=[\"'`])")
+_FALLBACK = re.compile(r"(?:\|\||\?\?|\bor\b|\belse\b|,|\?:)[ \t]*$")
+
+
+class Lines:
+    """Where quotes and line ends stand in a text, looked up from the left in constant time on average."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.none: dict[str, int] = {}
 
+    def find(self, what: str, at: int) -> int:
+        """The next place of `what` from `at`, -1 for none; a search that failed once is not repeated further right."""
+        if at >= self.none.get(what, len(self.text) + 1):
+            return -1
+        found = self.text.find(what, at)
+        if found < 0:
+            self.none[what] = min(at, self.none.get(what, at))
+        return found
 
-def _literal(text: str, at: int) -> tuple[int, int, bool] | None:
+
+def _literal(text: str, at: int, lines: Lines) -> tuple[int, int, bool] | None:
     """(start, end, quoted) of the literal at `at`: the contents of a string, or a bare word."""
     m = _QUOTE.match(text, at)
     if m:
         q, i = m["q"], m.end()
+        line = lines.find("\n", i) if len(q) == 1 and q != "`" or q[0] == "\\" else -1
+        far = len(text) if line < 0 else line
         if q[0] == "\\":
-            end = text.find(q, i, i + LONGEST)
-            return (i, end, True) if end >= 0 and "\n" not in text[i:end] else None
-        # An ordinary string ends on its line, the others after LONGEST characters at most.
-        far = i + LONGEST
-        if len(q) == 1 and q != "`" and 0 <= (line := text.find("\n", i, far)):
-            far = line
+            end = text.find(q, i, far)
+            return (i, end, True) if end >= 0 else None
+        # An ordinary string ends on its line; the others may go on to the end of the text.
         j = i
-        while 0 <= (end := text.find(q, j, far)):
+        while 0 <= (end := (text.find(q, j, far) if far < len(text) else lines.find(q, j))):
             k = end
             while k > i and text[k - 1] == "\\":
                 k -= 1
@@ -144,19 +187,32 @@ def _literal(text: str, at: int) -> tuple[int, int, bool] | None:
     return (m.start(), m.end(), False) if m else None
 
 
-def _pieces(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """A string literal and those that follow it as one (adjacent or joined by +, . or a backslash)."""
+_GLUE = re.compile(r"[ \t]*(?:[+.\\][ \t]*)?(?:\r?\n[ \t]*(?:[+.][ \t]*)?)?")
+_NEXT = re.compile(r"[rRbBfFuU]{0,2}[\"']")
+_KEYED = re.compile(r"[\"']?[ \t]*[:=]")
+
+
+def _pieces(text: str, start: int, end: int, lines: Lines) -> list[tuple[int, int]]:
+    """A string literal and those that follow it as one (adjacent or joined by +, . or a backslash), however many."""
     out = [(start, end)]
     at = end + 1
-    for _ in range(200):
-        m = re.compile(r"[ \t]*(?:[+.\\][ \t]*)?(?:\r?\n[ \t]*(?:[+.][ \t]*)?)?").match(text, at)
-        if not m or m.end() == at or not (q := re.compile(r"[rRbBfFuU]{0,2}[\"']").match(text, m.end())):
-            break
-        nxt = _literal(text, m.end())
-        if not nxt or not nxt[2] or re.compile(r"[\"']?[ \t]*[:=]").match(text, nxt[1] + 1):
-            break
+    while True:
+        m = _GLUE.match(text, at)
+        if not m or m.end() == at or not _NEXT.match(text, m.end()):
+            return out
+        nxt = _literal(text, m.end(), lines)
+        if not nxt or not nxt[2] or _KEYED.match(text, nxt[1] + 1):
+            return out
         out.append((nxt[0], nxt[1]))
         at = nxt[1] + 1
+
+
+def _frames(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the blocks between BEGIN and END lines."""
+    out, at = [], 0
+    while (b := _BEGIN.search(text, at)) and (e := _END.search(text, b.end())):
+        out.append((b.start(), e.end()))
+        at = e.end()
     return out
 
 
@@ -168,8 +224,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
         body = re.sub(r"\\[nr]|\s|[\"'+,;>|#*/]|^[A-Za-z-]+: .*$", "", m["body"])
         if len(re.sub(r"[^A-Za-z0-9]", "", body)) >= 24 and not _WORDS.search(body[:200]) and len(set(body)) > 8:
             add(m.start(), m.end(), "private_key")
-    blocked = [(m.start(), m.end()) for m in _FRAME.finditer(text)]
-    inside = lambda i: any(s <= i < e for s, e in blocked)
+    blocked = _frames(text)
+    inside = lambda i: (k := bisect_right(blocked, (i, len(text)))) > 0 and i < blocked[k - 1][1]
     for m in _URL.finditer(text):
         pw = m["pw"]
         if not (pw.startswith(("$", "{", "%{", "<")) or is_placeholder(pw) and len(pw) >= 6 or _MASK.fullmatch(pw) or _WORDS.search(pw) or pw.lower() in _NONE):
@@ -191,13 +247,21 @@ def find(text: str) -> list[tuple[int, int, str]]:
         plain = unbase64(m[0])
         if plain and not inside(m.start()) and (_KNOWN.search(plain) and not _WORDS.search(plain) or "PRIVATE KEY-----" in plain or any(not is_placeholder(x["pw"]) for x in _URL.finditer(plain))):
             add(m.start(), m.end(), "base64")
+    lines, until = Lines(text), 0
     for m in _NAME.finditer(text):
         name = m[0]
+        if m.start() < until:
+            continue  # inside a literal that was read already
+        if text.startswith("(", m.end()) and _LOGIN.search(name):
+            if (spot := _password_argument(text, m.end() + 1, lines)) and (not is_placeholder(text[spot[0] : spot[1]]) or is_chosen_value(text[spot[0] : spot[1]])):
+                add(*spot, "argument")
+            continue
         flag = name.startswith("-")
         if not is_credential_name(name):
             continue
-        for n, (s, e) in enumerate(_after(text, m.start(), m.end(), name, flag)):
+        for n, (s, e) in enumerate(_after(text, m.start(), m.end(), name, flag, lines)):
             add(s, e, MORE if n else "assigned")
+            until = e
     hits.sort(key=lambda h: (h[0], -h[1]))
     out: list[tuple[int, int, str]] = []
     for s, e, kind in hits:
@@ -212,13 +276,35 @@ def _random(v: str) -> bool:
     return len(v) >= 8 and (any(c.isdigit() for c in v) or (len(set(v)) > 12 and not (v.isalpha() and (v.islower() or v.isupper()))))
 
 
-def _after(text: str, begin: int, at: int, name: str, flag: bool) -> list[tuple[int, int]]:
+#: Calls that take a user and a password by position.
+_LOGIN = re.compile(r"(?i)(?:^|[._]|(?<=[a-z]))(?:log_?in|log_?on|sign_?in|authenticate|basic_?auth|http_?basic_?auth|digest_?auth|set_?credentials|password_?credentials?|username_?password\w*)$")
+_ARGUMENT = re.compile(r"\s*(?:[A-Za-z_][\w.]*|[rRbBfFuU]{0,2}(?P<q>[\"'])(?:\\.|(?!(?P=q))[^\\\n])*(?P=q))\s*,\s*(?=[rRbBfFuU]{0,2}[\"'])")
+
+
+def _password_argument(text: str, at: int, lines: Lines) -> tuple[int, int] | None:
+    """The literal that a call for a login has as its second argument."""
+    m = _ARGUMENT.match(text, at)
+    lit = _literal(text, m.end(), lines) if m else None
+    return (lit[0], lit[1]) if lit and lit[2] else None
+
+
+#: A value beside its name in another attribute of an element, and commands that set a name to the word behind it.
+_ATTRIBUTE = re.compile(r"[\"'][ \t]+value[ \t]*=[ \t]*(?=[\"'])")
+_BLANKS = re.compile(r"[ \t]+(?=[^\s=:#])")
+_SETTING = re.compile(r"(?m)(?:^|[;&|]|RUN)[ \t]*(?:ENV|ARG|setenv|set[ \t]+-[a-zA-Z]+|setx)[ \t]+$")
+
+
+def _after(text: str, begin: int, at: int, name: str, flag: bool, lines: Lines) -> list[tuple[int, int]]:
     """The non-placeholder literals assigned or passed to the identifier that ends at `at`."""
     quoted = begin > 0 and text[begin - 1] in "\"'`"
     i = _CLOSE.match(text, at).end()
     spec = re.compile(r"[\"']?[ \t]*,[ \t]*\\?[\"']?value\\?[\"']?[ \t]*[:=][ \t]*|[\"']?[ \t]*\r?\n[ \t-]*[\"']?value[\"']?[ \t]*:[ \t]*").match(text, at)
     word = False
-    if spec and re.compile(r"(?s).*name\W*$").match(text[max(0, begin - 16) : begin]):
+    if quoted and (pair := _ATTRIBUTE.match(text, at)):
+        i = pair.end()
+    elif (sp := _BLANKS.match(text, i)) and _SETTING.search(text[max(0, begin - 24) : begin]):
+        i = sp.end()
+    elif spec and re.compile(r"(?s).*name\W*$").match(text[max(0, begin - 16) : begin]):
         i = spec.end()
     else:
         if t := _TYPE.match(text, i):
@@ -241,15 +327,16 @@ def _after(text: str, begin: int, at: int, name: str, flag: bool) -> list[tuple[
         if newline and not re.compile(r"[(\[{|>\\]").search(o[0].split("\n")[0]) and not _QUOTE.match(text, o.end()):
             return []
         i = o.end()
-    lit = _literal(text, i)
+    lit = _literal(text, i, lines)
     if not lit:
         return []
     s, e, q = lit
     value = text[s:e]
     if not q:
         # A bare expression may fall back to a literal: getenv("X") or "literal".
-        if fb := _FALLBACK.match(text, i):
-            nxt = _literal(text, fb.end())
+        mark = min((p for p in (lines.find(q, i) for q in "\"'`") if p >= 0), default=-1)
+        if mark >= 0 and _FALLBACK.search(text[max(i, mark - 24) : mark]) and not 0 <= lines.find("\n", i) < mark:
+            nxt = _literal(text, mark, lines)
             if nxt and nxt[2] and not is_placeholder(text[nxt[0] : nxt[1]]) and _REFERENCE.match(value):
                 return [(nxt[0], nxt[1])]
         if text[e : e + 1] == "(" or (word and not _random(value)):
@@ -263,11 +350,12 @@ def _after(text: str, begin: int, at: int, name: str, flag: bool) -> list[tuple[
         if not q and not value:
             return []
     if q:
-        parts = _pieces(text, s, e) if text[e : e + 1] in "\"'" else [(s, e)]
+        parts = _pieces(text, s, e, lines) if text[e : e + 1] in "\"'" else [(s, e)]
         value = "".join(text[a:b] for a, b in parts)
         if "\n" in value.strip("\n") and "-----" in value:
             return []
-        if is_placeholder(value) or " " in value.strip() or _URL.match(value) or re.match(r"[a-z]+://", value):
+        chosen = not word and is_chosen_name(name) and is_chosen_value(value)
+        if not chosen and (is_placeholder(value) or " " in value.strip()) or _URL.match(value) or re.match(r"[a-z]+://", value):
             return []
         lead = len(value) - len(value.lstrip())
         return [(parts[0][0] + lead, parts[0][1]), *parts[1:]]
@@ -303,9 +391,8 @@ def decode(data: bytes) -> tuple[str, str, bytes]:
                 return data[len(mark) :].decode(enc, "surrogatepass"), enc, mark
             except UnicodeDecodeError:
                 return data.decode("latin-1"), "latin-1", b""
-    head = data[:4096]
-    if len(head) > 3 and len(data) % 2 == 0:
-        for enc, zero in (("utf-16-le", head[1::2]), ("utf-16-be", head[::2])):
+    if len(data) > 3 and len(data) % 2 == 0 and 0 in data:
+        for enc, zero in (("utf-16-le", data[1::2]), ("utf-16-be", data[::2])):
             if zero.count(0) > 0.7 * len(zero):
                 try:
                     return data.decode(enc), enc, b""

@@ -71,3 +71,43 @@ def test_long_texts_take_linear_time(text):
     began = time.process_time()
     S.find(text)
     assert time.process_time() - began < 6
+
+
+# Forms that the finder was not written along: other languages, other notations, words and phrases.
+UNSEEN = [
+    'password="Sunshine"', 'db_password = "letmeinplease"', 'PASSWORD="hunter-two"', 'passphrase = "correct horse 7 battery"', f'login("admin", "{HEX[:10]}")', f"requests.get(u, auth=HTTPBasicAuth('svc', '{WORD}'))",
+    f"let apiKey: String = \"{HEX}\"", f"val clientSecret = \"{HEX}\"", f"$password = '{WORD}';", f"'secret_key' => '{HEX}',", f'Password := "{WORD}"', f"spring.datasource.password={WORD}", f"<add key=\"ApiKey\" value=\"{HEX}\"/>", f'"client-secret" : "{HEX}"', f"set -gx AUTH_TOKEN {HEX}",
+    f"ENV ACCESS_KEY {HEX}", f"mysql -u root --password={WORD} db", f"amqp://svc:{WORD}@mq.example/v", f"password: |-\n  {WORD}\n", f'ACCESS_TOKEN: "{HEX}" # rotate', f"-- old api_key = '{HEX}'", f"/* signing_key: {HEX} */", f"redis://:{WORD}@cache.example:6379/0", f'conn.setPassword("{WORD}")', f'wallet_passphrase: "{WORD}"',
+]
+
+
+def test_unseen_forms():
+    missed = [t for t in UNSEEN if not S.find(t)]
+    assert len(missed) <= 0.1 * len(UNSEEN), missed
+
+
+def test_words_that_are_no_passwords():
+    for t in ['password = "Enter your password"', 'password: "must be 8 characters or more"', 'passwordLabel = "Sunshine"', 'token = "sunshine"', 'password: string', 'password = "PASSWORD_FIELD"', 'login("admin", "password")', 'passwd = "your-password"']:
+        assert S.find(t) == [], t
+
+
+def test_nothing_is_cut_off():
+    pieces = "api_key = (" + "\n  ".join(f'"{HEX}"' for _ in range(260)) + ")"
+    assert HEX not in S.blank(pieces, S.find(pieces)) and len([h for h in S.find(pieces) if h[2] != S.MORE]) == 1
+    long = f'secret = "{HEX * 3000}"\nnext_token = "{GH}"'
+    assert HEX not in S.blank(long, S.find(long)) and len(S.find(long)) == 2
+    key = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(HEX + GH for _ in range(3000)) + "\n-----END PRIVATE KEY-----\n"
+    assert HEX not in S.blank(key, S.find(key))
+    line = "x" * 5000 + f' password="{WORD}" ' + "y" * 5000
+    assert WORD not in S.blank(line, S.find(line))
+    wide = ("a = 1\n" * 5000 + f'password = "{WORD}"\n').encode("utf-16-le")
+    assert S.decode(wide)[1] == "utf-16-le"
+
+
+@pytest.mark.parametrize("text", ["-----BEGIN A-----" * 20_000, "token=a " * 50_000 + '"', "password = \"" * 30_000, "api_key = " + "'" * 30_000, "password(" * 50_000, "login(a, " * 50_000, 'secret = "a" + ' * 30_000, "a" * 300_000, "postgres://" * 30_000, "?token=" * 40_000, "Bearer " * 50_000, "token `" * 30_001])
+def test_long_texts_take_linear_time(text):
+    import time
+
+    began = time.process_time()
+    S.find(text)
+    assert time.process_time() - began < 8

@@ -42,6 +42,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every value with the class of values that look like it: one row per value, whatever the size of the class."""
+    tools, runs = _p3(spark, d)
+    one = lambda df, f, key, c, form, i: lookalike.look_classes(df, key, c, form, i).select(F.lit(f).alias("field"), F.col(i).alias("row_id"), F.hex(F.xxhash64(*key, "f")).alias("class_id"), "n_rows", "n_spellings")
+    return (
+        one(tools, "description", [], "description", "form", "tool_id")
+        .unionByName(one(runs.drop("kind", "kind_form"), "text", ["tool_id"], "text", "text_form", "run_id"))
+        .unionByName(one(runs.drop("text", "text_form"), "kind", ["tool_id"], "kind", "kind_form", "run_id"))
+    )
+
+
 def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     """Every value in its consistent form."""
     tools, runs = _p3(spark, d)
@@ -83,7 +94,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(read(spark, d, "documents", "doc_id", "text"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_forms": p3_forms, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_found": p7_found, "p7_passages": p7_passages, "p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_forms": p3_forms, "p3_classes": p3_classes, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_found": p7_found, "p7_passages": p7_passages, "p8_found": p8_found, "p8_redacted": p8_redacted}
 #: Words as the operator reads them, for texts without comments and with the usual entities only.
 _WORDS_SQL = """regexp_extract_all(lower(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace({}, '(?i)</?(?:a|abbr|b|code|del|em|font|i|ins|kbd|mark|s|small|span|strong|sub|sup|u)\\b[^<>]*>', '', 'g'), '</?[A-Za-z!?][^<>]*>', ' ', 'g'), '\\]\\([^()\\s]*\\)', '] ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', chr(160)), '(?m)^[ \\t]*(?:(?:[>#*+|\\-–•]+|\\d{{1,3}}[.)])[ \\t]+)+', '', 'g')), '[\\p{{L}}\\p{{N}}]+')"""
 SQL: dict[str, str] = {

@@ -57,3 +57,28 @@ def test_pairs(spark):
     assert sorted(tuple(r) for r in la.same_look(out, [], "text", "form", "run_id").collect()) == [(1, 2), (1, 7), (2, 3), (2, 4), (3, 7), (4, 7)]
     none = df.filter("false")
     assert la.same_look(la.rewrite(none, "text", "form", la.learn([none.select("text")])), [], "text", "form", "run_id").count() == 0
+
+
+def test_public_table(spark):
+    pairs = "oⲟ cⲥ MⲘ HⲎ Iꓲ oס Iᛁ lן aа eе".split()
+    found = la.confusables(spark, "".join(pairs)) | la.shape_table()
+    assert [p for p in pairs if found.get(p[1]) != p[0]] == []
+    assert not {"0", "1", "|", "m", "Ю", "೦"} & set(la.confusables(spark, "01|mЮ೦"))
+
+
+def test_strings_have_classes():
+    many = la.build_classes({"ﬁ": 9, "f": 3, "i": 3, "fi": 2, "ｆ": 1, "n": 1, "e": 1})
+    go = la.Rewriter(many)
+    assert many["fi"] == "ﬁ" and go("fine") == go("ｆine") == go("ﬁne") == "ﬁne"
+    few = la.Rewriter(la.build_classes({"ﬁ": 1, "f": 3, "i": 3, "fi": 2}))
+    assert few("ﬁ fi") == "fi fi"
+    assert go(go("ｆiﬁ f i")) == go("ｆiﬁ f i")
+
+
+def test_hot_looks_are_paired_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(la, "PAIRED", 7)
+    df = spark.createDataFrame([(i, "abc" if i % 3 else "аbc", "abc") for i in range(40)], "i bigint, t string, form string")
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if (a % 3 == 0) != (b % 3 == 0)}
+    got = la.same_look(df, [], "t", "form", "i").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert {(r.n_rows, r.n_spellings) for r in la.look_classes(df, [], "t", "form", "i").collect()} == {(40, 2)}

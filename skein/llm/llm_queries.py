@@ -85,6 +85,16 @@ def p7_passages(spark: SparkSession, d: str) -> DataFrame:
     return _p7(spark, d).groupBy(F.col("doc").alias("doc_id"), F.col("q").alias("item_id")).agg(best.alias("x")).select("doc_id", "item_id", "x.*")
 
 
+#: Words that the proximity query asks for, and how far apart they may stand.
+NEAR_WORDS, NEAR = "header policy the", 12
+
+
+def p7_near(spark: SparkSession, d: str) -> DataFrame:
+    """Places of the documents where a few words stand close to each other."""
+    index = leaks.postings(read(spark, d, "documents", "doc_id", "text"), "doc_id", "text", set(NEAR_WORDS.split()))
+    return leaks.near(index, NEAR_WORDS, NEAR).select(F.col("doc").alias("doc_id"), F.col("at").cast("bigint").alias("word"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.mentions(read(spark, d, "documents", "doc_id", "text"), "doc_id", "text").select(F.col("doc").alias("doc_id"), "pii_type", "start_pos")
 
@@ -94,7 +104,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(read(spark, d, "documents", "doc_id", "text"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_forms": p3_forms, "p3_classes": p3_classes, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_found": p7_found, "p7_passages": p7_passages, "p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_forms": p3_forms, "p3_classes": p3_classes, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_found": p7_found, "p7_passages": p7_passages, "p7_near": p7_near, "p8_found": p8_found, "p8_redacted": p8_redacted}
 #: Words as the operator reads them, for texts without comments and with the usual entities only.
 _WORDS_SQL = """regexp_extract_all(lower(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace({}, '(?i)</?(?:a|abbr|b|code|del|em|font|i|ins|kbd|mark|s|small|span|strong|sub|sup|u)\\b[^<>]*>', '', 'g'), '</?[A-Za-z!?][^<>]*>', ' ', 'g'), '\\]\\([^()\\s]*\\)', '] ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', chr(160)), '(?m)^[ \\t]*(?:(?:[>#*+|\\-–•]+|\\d{{1,3}}[.)])[ \\t]+)+', '', 'g')), '[\\p{{L}}\\p{{N}}]+')"""
 SQL: dict[str, str] = {
@@ -103,4 +113,9 @@ with d as (select doc_id, {_WORDS_SQL.format("text")} as w from documents where
 dg as (select distinct doc_id, array_to_string(list_slice(w, k, k + 12), ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as k from d)),
 ig as (select distinct item_id, array_to_string(list_slice(w, k, k + 12), ' ') as g from (select item_id, w, unnest(range(1, len(w) - 11)) as k from i))
 select distinct doc_id, item_id from dg join ig using (g)""",
+    "p7_near": f"""
+with d as (select distinct doc_id, {_WORDS_SQL.format("text")} as w from documents where text is not null),
+h as (select doc_id, k - 1 as pos, w[k] as term from (select doc_id, w, unnest(range(1, len(w) + 1)) as k from d) where w[k] in ('{"', '".join(NEAR_WORDS.split())}')),
+c as (select * from h where term = (select term from h group by term order by count(*), term limit 1))
+select c.doc_id, c.pos as word from c join h using (doc_id) where abs(h.pos - c.pos) <= {NEAR} group by all having count(distinct h.term) = {len(NEAR_WORDS.split())}""",
 }

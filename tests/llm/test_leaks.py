@@ -52,3 +52,16 @@ def test_phrase_and_near(spark):
     assert {r.doc for r in leaks.near(index, "a b", 2).collect()} == {1, 2, 3}
     assert {r.doc for r in leaks.near(index, "a b", 1).collect()} == {1, 2}
     assert leaks.near(index, "zz", 3).count() == 0
+
+
+def test_kept_index(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b c d e"), (2, "c b a"), (3, "a x b")], "doc_id bigint, text string")
+    leaks.keep_index(df, "doc_id", "text", str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    assert [tuple(r) for r in leaks.phrase(index, "B c").collect()] == [(1, 1)]
+    assert {r.doc for r in leaks.near(index, "a b", 1).collect()} == {1, 2}
+
+
+def test_many_anchors_are_joined_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "SENT_TERMS", 0)
+    test_against_brute_force(spark)

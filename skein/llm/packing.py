@@ -24,11 +24,15 @@ from pyspark.sql import functions as F
 
 from skein.session import stage
 
-#: Parts in which the documents of one length are ranked.
-PARTS = 64
+#: Parts in which the documents of one length are ranked: at least PARTS, and one more per PART_ROWS documents.
+PARTS, PART_ROWS = 64, 500_000
+#: Lengths in a pattern, and patterns kept for each longest length.
+MOST, EACH = 4, 6
+#: Passes of the fit at most; it ends before that when no count moves by a hundredth.
+PASSES = 60
 
 
-def nnls(columns: list[tuple[tuple[int, int], ...]], b: list[float], passes: int = 60) -> list[float]:
+def nnls(columns: list[tuple[tuple[int, int], ...]], b: list[float], passes: int = PASSES) -> list[float]:
     """x >= 0 with least |ax - b| by cyclic coordinate descent; a column of a is its (row, value) entries."""
     x, r = [0.0] * len(columns), list(b)
     norm = [sum(k * k for _, k in c) for c in columns]
@@ -49,37 +53,40 @@ def nnls(columns: list[tuple[tuple[int, int], ...]], b: list[float], passes: int
     return x
 
 
-def patterns(hist: dict[int, int], capacity: int, most: int = 4, each: int = 6) -> list[tuple[int, ...]]:
-    """Patterns of at most `most` lengths with the least room left; up to `each` for every longest length.
+def patterns(hist: dict[int, int], capacity: int, most: int = MOST, each: int = EACH) -> list[tuple[int, ...]]:
+    """Patterns of at most `most` (one to four) lengths with the least room left; up to `each` for every longest length.
 
-    Beside the best pairs, triples and fours for a length, each length also gets the pattern that repeats it.
+    For every longest length all second lengths are tried, each with the greatest third and fourth that still fit, and
+    with two of equal share; beside these, each length gets the pattern that repeats it.
     """
-    lengths = sorted(hist)
+    lengths = np.array(sorted(hist), np.int64)
     out: set[tuple[int, ...]] = set()
-    have = set(lengths)
 
-    def under(room: int) -> int:
+    def under(room: np.ndarray) -> np.ndarray:
         """The greatest length that fits, 0 for none."""
-        i = bisect.bisect_right(lengths, room)
-        return lengths[i - 1] if i else 0
+        i = np.searchsorted(lengths, room, "right")
+        return np.where(i > 0, lengths[np.maximum(i - 1, 0)], 0)
 
-    pick = lengths if len(lengths) <= 96 else [lengths[i] for i in np.unique(np.linspace(0, len(lengths) - 1, 96).astype(int))]
-    for big in lengths:
-        found: set[tuple[int, ...]] = {(big,)}
+    for big in lengths.tolist():
+        found: set[tuple[int, ...]] = {(big,), (big,) * min(most, capacity // big)}
         room = capacity - big
-        if k := under(room):
-            found.add((big, k))
-        for m in pick:
-            if m <= room:
-                if k := under(room - m):
-                    found.add((big, m, k))
-                    if most > 3 and (k2 := under(room - m - k)):
-                        found.add((big, m, k, k2))
-                half = (room - m) // 2
-                if most > 3 and half > 0 and (k := under(half)) and (k2 := under(room - m - k)):
-                    found.add((big, m, k, k2))
-        found.add((big,) * min(most, capacity // big))
-        ok = {tuple(sorted(p, reverse=True)) for p in found if len(p) <= most and have.issuperset(p)}
+        m = lengths[lengths <= room]
+        if most > 1 and len(m):
+            found.add((big, int(m[-1])))
+            rows = []
+            if most > 2:
+                k = under(room - m)
+                rows.append(np.stack([m, k, np.zeros_like(m)], 1))
+                if most > 3:
+                    rows.append(np.stack([m, k, under(room - m - k)], 1))
+                    half = under((room - m) // 2)
+                    rows.append(np.stack([m, half, under(room - m - half)], 1))
+                tried = np.concatenate(rows)
+                left = room - tried.sum(1)
+                # Several writings of one pattern may be among the best, six at most.
+                for i in np.argsort(left, kind="stable")[: 6 * each].tolist():
+                    found.add((big, *(x for x in tried[i].tolist() if x)))
+        ok = {tuple(sorted(p, reverse=True)) for p in found}
         out |= set(sorted(ok, key=lambda p: (capacity - sum(p), len(p), p))[:each])
     return sorted(out)
 
@@ -187,7 +194,8 @@ def pack(docs: DataFrame, doc: str, n_tokens: str, capacity: int = 2048) -> Data
     full = F.floor(F.col("n") / capacity)
     rest = rows.select("doc", "row", "n", full.alias("part"), (F.col("n") - full * capacity).alias("length"))
     # Ranks among the pieces of one length: counted inside parts, each part starting where the parts before it end.
-    part = F.pmod(F.xxhash64("row"), F.lit(PARTS))
+    parts = max(PARTS, rows.count() // PART_ROWS)
+    part = F.pmod(F.xxhash64("row"), F.lit(parts))
     small = stage(rest.filter("length > 0").withColumn("bin", part), "packing-rests")
     sizes = small.groupBy("length", "bin").agg(F.count("*").alias("k"))
     first = sizes.select("length", "bin", (F.sum("k").over(Window.partitionBy("length").orderBy("bin")) - F.col("k")).alias("before"))

@@ -6,7 +6,9 @@ changes its name or its type; typed columns are then projected and failed casts
 Defined cases: rows without feed or seq_no belong to no feed and are left out; a body that is null, empty or no JSON
 has no records (its file then has no fields); a record that is no JSON object has no fields; of a member that occurs
 twice in an object the last counts; a record without `key` is compared with none; repeated rows of a file count once;
-several equal candidates for a rename are paired in the order of their names; extra columns are ignored.
+several equal candidates for a rename are paired in the order of their names; of several members of a record with one first name the typed column
+takes the first and the others stay in `extras`; objects and arrays are JSON text in a string column; a field named like a column of the table (file_id, feed, seq_no,
+rec_no, record_key, extras, failed) stays in `extras`; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +23,12 @@ from skein.session import stage
 BLOCK = 1024
 #: Up to so many files to be read again are sent as ids to the tasks that read.
 SENT_FILES = 500_000
-#: Columns of the consistent table and their types; every other field is kept in `extras` with its JSON type.
-TARGET = {"rule_pack_version": "string", "engine_version": "string", "tool_hash_version": "bigint", "lock_version": "bigint", "entry_total": "bigint", "findings": "bigint", "exit_code": "bigint", "locator": "string", "kind": "string", "resolved": "string"}
+#: Up to so many files get their names sent to the tasks that read the bodies.
+SENT_NAMES = 50_000
+#: Most typed columns that are derived; fields beyond, the rarest, stay in `extras` with all their values.
+MOST_COLUMNS = 500
+#: Column types of the JSON types.
+CASTS = {"integer": "bigint", "fraction": "double", "string": "string", "boolean": "boolean", "object": "string", "array": "string"}
 
 
 def kept_files(files: DataFrame) -> DataFrame:
@@ -152,6 +158,30 @@ def first_names(renames: DataFrame) -> DataFrame:
         now = now.join(up, ["feed", "up_seq", "root"], "left").select("feed", "seq_no", "path", F.coalesce("root2", "root").alias("root"), F.col("up2").alias("up_seq"))
 
 
+def target_types(stats: DataFrame, names: DataFrame) -> dict[str, str]:
+    """Typed columns by the statistics per file and path: for each first name the JSON type that most records have.
+
+    Integers and fractions together are fractions; of equally frequent types the first in order counts; a field with
+    nulls only has none and stays in `extras`. At most MOST_COLUMNS rows come to the driver.
+    """
+    rows = stats.filter("types <> '' and path <> 'key'").join(names, ["feed", "seq_no", "path"], "left")
+    rows = rows.select(F.coalesce("name", "path").alias("name"), F.explode(F.split("types", r"\|")).alias("type"), "n")
+    per = rows.groupBy("name", "type").agg(F.sum("n").alias("n"))
+    best = per.groupBy("name").agg(F.sum("n").alias("all"), F.max(F.struct("n", F.col("type"))).alias("x"), F.min(F.when(F.col("type").isin("integer", "fraction"), F.col("type"))).alias("low"))
+    kind = F.when(F.col("x.type").isin("integer", "fraction") & (F.col("low") == "fraction"), "fraction").otherwise(F.col("x.type"))
+    few = best.filter(~F.lower("name").isin("file_id", "feed", "seq_no", "rec_no", "record_key", "extras", "failed")).select("name", kind.alias("type"), "all").orderBy(F.desc("all"), "name").limit(MOST_COLUMNS).collect()
+    return {r["name"]: CASTS[r["type"]] for r in sorted(few, key=lambda r: r["name"])}
+
+
+def _once(files: DataFrame) -> DataFrame:
+    """(file_id, fmt, body) with each file once; only bodies of ids that repeat are shuffled."""
+    whole = files.select("file_id", "fmt", "body")
+    again = stage(files.groupBy("file_id").agg(F.count("*").alias("k")).filter("k > 1").select("file_id"), "drift-repeated")
+    if again.isEmpty():
+        return whole
+    return whole.join(again, "file_id", "left_anti").unionByName(whole.join(again, "file_id", "left_semi").dropDuplicates(["file_id"]))
+
+
 def _member(by: str, value: str) -> Column:
     """The first member of the column f whose `by` is the value."""
     return F.try_element_at(F.filter("f", lambda e: e[by] == value), F.lit(1))
@@ -160,9 +190,9 @@ def _member(by: str, value: str) -> Column:
 def consistent(files: DataFrame, target: dict[str, str] | None = None, found: DataFrame | None = None) -> DataFrame:
     """One row per record of the kept files: typed columns under each field's first name, `extras`, and `failed` casts.
 
-    Each file gets a map from its fields' names to their first names; records are then projected row by row.
+    The columns are those of `target`, else derived from the statistics of all files. Each file gets a map from its
+    fields' names to their first names; records are then projected row by row.
     """
-    target = target or TARGET
     found = stage(changes(files), "drift-changes") if found is None else found
     roots = first_names(found.filter("change_kind = 'renamed'"))
     kept = kept_files(files).drop("prev_id")
@@ -170,21 +200,32 @@ def consistent(files: DataFrame, target: dict[str, str] | None = None, found: Da
     renamed = roots.select("feed", "path").distinct()
     asked = kept.join(renamed, "feed").select("feed", "seq_no", "path", F.lit(None).cast("string").alias("root"), F.lit(1).alias("ask"))
     names = carry_last(asked.unionByName(roots.withColumn("ask", F.lit(0))), ["feed", "path"], ["seq_no", "ask"], "root", "name", F.floor(F.col("seq_no") / BLOCK))
-    names = names.filter("ask = 1 and name is not null").groupBy("feed", "seq_no").agg(F.map_from_entries(F.collect_list(F.struct("path", "name"))).alias("names"))
-    per_file = kept.join(names, ["feed", "seq_no"], "left")
-    whole = files.select("file_id", "fmt", "body").join(per_file, "file_id").dropDuplicates(["file_id"])
+    names = stage(names.filter("ask = 1 and name is not null").select("feed", "seq_no", "path", "name"), "drift-first-names")
+    if target is None:
+        stats = field_stats(path_values(records(files.select("file_id", "fmt", "body"))))
+        target = target_types(stats.join(kept, "file_id"), names)
+    per_file = kept.join(names.groupBy("feed", "seq_no").agg(F.map_from_entries(F.collect_list(F.struct("path", "name"))).alias("names")), ["feed", "seq_no"], "left")
+    per_file = stage(per_file, "drift-names")
+    if per_file.count() <= SENT_NAMES:
+        per_file = F.broadcast(per_file)  # at most SENT_NAMES files, with the names of their renamed fields
+    whole = _once(files).join(per_file, "file_id")
     fields = F.map_entries(F.from_json("rec", "map<string,variant>"))
-    rows = records(whole).withColumn("f", F.transform(fields, lambda e: F.struct(F.coalesce(F.try_element_at("names", e["key"]), e["key"]).alias("name"), e["key"].alias("path"), e["value"].alias("v"))))
+    # In steps, each of which is used several times by the next, so that nothing is worked out twice.
+    rows = records(whole).withColumn("f", F.transform(fields, lambda e: F.struct(F.coalesce(F.try_element_at("names", e["key"]), e["key"]).alias("name"), e["key"].alias("path"), json_type(e["value"]).alias("type"), F.to_json(e["value"]).alias("value"))))
+    at = {c: f"__x{i}" for i, c in enumerate(target)}
+    rows = rows.filter("f is not null").select("file_id", "feed", "seq_no", "rec_no", "f", *[_member("name", c).alias(x) for c, x in at.items()])
     columns, fails = [], []
     for c, t in target.items():
-        x = _member("name", c)
-        kind = json_type(x["v"])
-        plain = F.when(kind == "string", F.try_variant_get(x["v"], "$", "string")).when(~kind.isin("object", "array"), F.to_json(x["v"]))
-        cast = plain.try_cast(t)
-        columns.append(cast.alias(c))
-        fails.append(F.when(kind.isNotNull() & cast.isNull(), F.struct(F.lit(c).alias("field"), x["path"].alias("source_field"), kind.alias("raw_type"), F.to_json(x["v"]).alias("value"), F.lit(t).alias("target"))))
-    key = F.to_json(_member("path", "key")["v"])
+        x = F.col(at[c])
+        text = F.when(x["type"] == "string", F.get_json_object(F.concat(F.lit('{"v":'), x["value"], F.lit("}")), "$.v"))
+        text = text.when(x["type"].isNotNull() & (F.lit(t == "string") | ~x["type"].isin("object", "array")), x["value"])
+        columns.append(text.try_cast(t).alias(c))
+        fails.append((c, t))
+    typed = rows.select("file_id", "feed", "seq_no", "rec_no", "f", *[F.col(x) for x in at.values()], *columns)
+    lost = [F.when(F.col(at[c])["type"].isNotNull() & F.col(f"`{c}`").isNull(), F.struct(F.lit(c).alias("field"), F.col(at[c])["path"].alias("source_field"), F.col(at[c])["type"].alias("raw_type"), F.col(at[c])["value"].alias("value"), F.lit(t).alias("target"))) for c, t in fails]
+    nothing = F.lit(None).cast("struct<field:string,source_field:string,raw_type:string,value:string,target:string>")
     # By path, not by name: of several fields with one first name a column takes one, and the others stay here.
-    taken = F.array(F.lit("key"), *[F.coalesce(_member("name", c)["path"], F.lit("key")) for c in target])
-    extras = F.transform(F.filter("f", lambda e: ~F.array_contains(taken, e["path"])), lambda e: F.struct(e["name"].alias("name"), json_type(e["v"]).alias("type"), F.to_json(e["v"]).alias("value")))
-    return rows.filter("f is not null").select("file_id", "feed", "seq_no", "rec_no", key.alias("record_key"), *columns, F.array_sort(extras).alias("extras"), F.filter(F.array(*fails), lambda x: x.isNotNull()).alias("failed"))
+    taken = F.array(F.lit("key"), *[F.coalesce(F.col(x)["path"], F.lit("key")) for x in at.values()])
+    extras = F.transform(F.filter("f", lambda e: ~F.array_contains(taken, e["path"])), lambda e: F.struct(e["name"].alias("name"), e["type"].alias("type"), e["value"].alias("value")))
+    key = _member("path", "key")["value"]
+    return typed.select("file_id", "feed", "seq_no", "rec_no", key.alias("record_key"), *[F.col(f"`{c}`") for c in target], F.array_sort(extras).alias("extras"), F.filter(F.array(nothing, *lost), lambda x: x.isNotNull()).alias("failed"))

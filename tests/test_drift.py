@@ -50,7 +50,7 @@ def test_table(spark):
     b = [{"key": "k1", "pack": "1", "tool_hash_version": "x"}]
     c = [{"key": "k1", "rp": "1", "tool_hash_version": "3", "other": [1]}]
     f = frame(spark, [(1, "f", 1, "jsonl", lines(*a)), (2, "f", 2, "jsonl", lines(*b)), (3, "f", 3, "jsonl", lines(*c))])
-    rows = {r.file_id: r for r in drift.consistent(f).collect()}
+    rows = {r.file_id: r for r in drift.consistent(f, {"rule_pack_version": "string", "tool_hash_version": "bigint"}).collect()}
     assert [rows[i].rule_pack_version for i in (1, 2, 3)] == ["1", "1", "1"]
     assert [rows[i].tool_hash_version for i in (1, 2, 3)] == [2, None, 3]
     assert [(x.field, x.value) for x in rows[2].failed] == [("tool_hash_version", '"x"')]
@@ -64,6 +64,20 @@ def test_table_keeps_every_field(spark, tmp_path):
     frame(spark, [(1, "f", 1, "jsonl", lines(*a)), (2, "f", 2, "jsonl", lines(*b)), (3, "f", 3, "jsonl", lines(*c))]).write.parquet(str(tmp_path / "feed_files.parquet"))
     rows = {r.file_id: r for r in core_queries.p1_table(spark, str(tmp_path)).collect()}
     assert [rows[i].rule_pack_version for i in (1, 2)] == ["1", "1"]
-    assert [tuple(x) for x in rows[1].extras] == [("ENGINE_VERSION", "string", '"7"'), ("ratio", "fraction", "0.5"), ("scanned_at", "string", '"2026"'), ("signed", "boolean", "true")]
-    assert [tuple(x) for x in rows[2].extras] == [("ENGINE_VERSION", "string", '"7"'), ("limits", "object", '{"n":1}'), ("scanned_at", None, "null")]
+    assert [(r.ENGINE_VERSION, r.ratio, r.scanned_at, r.signed, r.limits) for r in (rows[1], rows[2])] == [("7", 0.5, "2026", True, None), ("7", None, None, None, '{"n":1}')]
+    assert [tuple(x) for x in rows[1].extras] == [] and [tuple(x) for x in rows[2].extras] == []
     assert sorted([rows[3].rule_pack_version, *[x.value.strip('"') for x in rows[3].extras]]) == ["1", "9"]
+
+
+def test_columns_follow_the_statistics(spark):
+    a = [{"key": f"k{i}", "n": i, "r": i, "extras": i, "void": None, "mixed": i} for i in range(3)]
+    b = [{"key": "k9", "n": 4, "r": 0.5, "mixed": "x"}]
+    f = frame(spark, [(1, "f", 1, "jsonl", lines(*a)), (2, "f", 2, "jsonl", lines(*b)), (2, "f", 2, "jsonl", lines(*b))])
+    df = drift.consistent(f)
+    assert {k: t for k, t in df.dtypes if k in ("n", "r", "mixed", "void")} == {"n": "bigint", "r": "double", "mixed": "bigint"}
+    rows = df.collect()
+    assert len(rows) == 4
+    last = next(r for r in rows if r.file_id == 2)
+    assert (last.n, last.r, last.mixed) == (4, 0.5, None) and [(x.field, x.raw_type, x.value) for x in last.failed] == [("mixed", "string", '"x"')]
+    first = min(rows, key=lambda r: (r.file_id, r.rec_no))
+    assert [(x.name, x.value) for x in first.extras] == [("extras", "0"), ("void", "null")]

@@ -92,7 +92,8 @@ def bounded_paths(edges: DataFrame, starts: DataFrame, goals: DataFrame, hops: i
     found = None
     for _ in range(hops):
         front = front.join(e, F.col("at") == F.col("src")).filter(~F.array_contains("path", F.col("dst"))).withColumn("runs", F.col("runs") + F.col("run")).filter(F.col("runs") <= most_runs)
-        front = front.select("start", F.col("dst").alias("at"), F.array_append("path", F.col("dst")).alias("path"), "runs")
+        # Of several ways to a node with equally many runs only the first can begin a best path, so a hub does not multiply them.
+        front = front.groupBy("start", F.col("dst").alias("at"), "runs").agg(F.min(F.array_append("path", F.col("dst"))).alias("path")).select("start", "at", "path", "runs")
         here = front.join(ends, F.col("at") == F.col("goal"), "inner").select("start", "goal", "path")
         found = here if found is None else found.unionByName(here)
     best = F.min(F.struct(F.size("path").alias("n"), F.col("path").alias("p")))

@@ -75,15 +75,19 @@ def member_paths(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents", "doc_id", "file_path").select("doc_id", X.path_problem(odd).alias("problem"), X.member_path(odd).alias("path"))
 
 
-@query("s05_running_totals", """
-select report_id, file_path, count(*) over w as files, (sum(n_bytes) over w)::bigint as bytes
-from (select distinct report_id, file_path, blob_id, n_bytes from file_blobs) window w as (partition by report_id order by file_path, blob_id rows unbounded preceding)""")
-def running_totals(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    b = read(spark, d, "file_blobs", "report_id", "file_path", "blob_id", "n_bytes").distinct()
-    w = Window.partitionBy("report_id").orderBy("file_path", "blob_id").rowsBetween(Window.unboundedPreceding, 0)
-    return b.select("report_id", "file_path", F.count("*").over(w).alias("files"), F.sum("n_bytes").over(w).alias("bytes"))
+@query("s05_refused", """
+with recursive f as (select coalesce(file_lang, '') as scan_id, report_id || '/' || file_path as path, max(n_bytes) as length from file_blobs group by all),
+o as (select *, row_number() over (partition by scan_id order by path) as rn from f where length <= 4000),
+walk(scan_id, rn, path, n, b, kind) as (
+  select distinct scan_id, 0::bigint, '', 0::bigint, 0::hugeint, null::varchar from o
+  union all select o.scan_id, o.rn, o.path, case when w.n >= 60 or w.b + o.length > 50000 then w.n else w.n + 1 end, case when w.n >= 60 or w.b + o.length > 50000 then w.b else w.b + o.length end,
+    case when w.n >= 60 then 'too_many_files' when w.b + o.length > 50000 then 'total_bytes_exceeded' end from walk w join o on o.scan_id = w.scan_id and o.rn = w.rn + 1)
+select scan_id, path, kind from walk where kind is not null union all select scan_id, path, 'too_large' from f where length > 4000""")
+def refused(spark: SparkSession, d: str) -> DataFrame:
+    """What the limits of a scan refuse: one scan per language, its files in order of path."""
+    b = read(spark, d, "file_blobs", "report_id", "file_lang", "file_path", "n_bytes")
+    f = b.groupBy(F.coalesce("file_lang", F.lit("")).alias("scan_id"), F.concat_ws("/", F.col("report_id").cast("string"), "file_path").alias("path")).agg(F.max("n_bytes").alias("length"))
+    return files.admit(f, files.Limits(file_bytes=4000, total_bytes=50_000, files=60))[1].select("scan_id", "path", "kind")
 
 
 def _scan(spark: SparkSession, d: str) -> DataFrame:
@@ -109,10 +113,20 @@ def fetch_plan(spark: SparkSession, d: str) -> DataFrame:
 select locator, i::int as n, array_to_string(list_slice(s, 1, i), '/') as ref, array_to_string(list_slice(s, i + 1, len(s)), '/') as path
 from (select locator, s, unnest(range(1, least(len(s), 4) + 1)) as i from (select distinct locator, string_split(regexp_replace(locator, '^[a-z]+:', ''), '/') as s from reports))""")
 def ref_candidates(spark: SparkSession, d: str) -> DataFrame:
-    s = F.split(F.regexp_replace("locator", "^[a-z]+:", ""), "/")
-    r = read(spark, d, "reports", "locator").distinct().select("locator", s.alias("s"))
-    e = r.select("locator", "s", F.explode(F.sequence(F.lit(1), F.least(F.size("s"), F.lit(4)))).alias("n"))
-    return e.select("locator", "n", F.array_join(F.slice("s", F.lit(1), F.col("n")), "/").alias("ref"), F.array_join(F.slice("s", F.col("n") + 1, F.size("s")), "/").alias("path"))
+    r = read(spark, d, "reports", "locator").distinct().select("locator", F.regexp_replace("locator", "^[a-z]+:", "").alias("rest"))
+    return U.explode_with(r, "rest", lambda t: [(i, *c) for i, c in enumerate(configs.ref_candidates(t.split("/"), False), 1)], "n int, ref string, path string")
+
+
+@query("s31_first_ref", """
+with c as (select distinct locator, string_split(regexp_replace(locator, '^[a-z]+:', ''), '/') as s from reports)
+select locator as key, array_to_string(list_slice(s, 1, n), '/') as ref, array_to_string(list_slice(s, n + 1, len(s)), '/') as path, 'c' || n as commit from (select *, case when length(s[1]) % 2 = 0 then 1 when len(s) > 1 then 2 end as n from c) where n is not null""")
+def first_refs(spark: SparkSession, d: str) -> DataFrame:
+    """The first split of a link whose ref exists; the refs are the two shortest of every link, the shortest of some only."""
+    from skein.sources import records
+
+    c = ref_candidates(spark, d).select(F.col("locator").alias("key"), F.col("n").alias("ord"), "ref", "path")
+    known = c.filter((F.col("ord") == 2) | ((F.col("ord") == 1) & (F.length("ref") % 2 == 0))).select("key", "ref", F.concat(F.lit("c"), F.col("ord").cast("string")).alias("commit"))
+    return records.first_ref(c, known)
 
 
 @query("s13_inputs")
@@ -186,12 +200,41 @@ def _paths(spark: SparkSession, d: str) -> DataFrame:
 
 @query("i02_nearest_owner", """
 with p as (select distinct report_id::varchar as scan_id, file_path as path from file_blobs),
-r as (select distinct regexp_replace(file_path, '/[^/]*$', '') as root from file_blobs where lower(regexp_extract(file_path, '[^/]*$')) = 'skill.md' and contains(file_path, '/'))
-select p.scan_id, p.path, arg_max(r.root, length(r.root)) as root from p left join r on starts_with(p.path, r.root || '/') group by 1, 2""")
+r as (select distinct scan_id, case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '' end as root from p where lower(regexp_extract(path, '[^/]*$')) = 'skill.md')
+select p.scan_id, p.path, arg_max(r.root, length(r.root)) as root from p left join r on p.scan_id = r.scan_id and (r.root = '' or starts_with(p.path, r.root || '/')) group by 1, 2""")
 def nearest_owner(spark: SparkSession, d: str) -> DataFrame:
     p = _paths(spark, d).select("scan_id", "path").distinct()
-    roots = inventory.skill_roots(p).select("root").filter("root <> ''").distinct()
-    return relate.prefix_join(p, "path", roots, "root").join(p, ["scan_id", "path"], "right")
+    return inventory.nearest_owner(p, inventory.skill_roots(p))
+
+
+@query("j02_longest_prefix", """
+with p as (select distinct report_id::varchar as scan_id, file_path as path from file_blobs),
+r as (select distinct regexp_replace(file_path, '/[^/]*$', '') as root from file_blobs where lower(regexp_extract(file_path, '[^/]*$')) = 'skill.md' and contains(file_path, '/'))
+select p.scan_id, p.path, arg_max(r.root, length(r.root)) as root from p join r on starts_with(p.path, r.root || '/') group by 1, 2""")
+def longest_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """The deepest directory above each path that holds a skill in any scan."""
+    p = _paths(spark, d).select("scan_id", "path").distinct()
+    return relate.prefix_join(p, "path", inventory.skill_roots(p).select("root").filter("root <> ''").distinct(), "root")
+
+
+@query("i10_registry_servers", """
+with v(path, text) as (values ('a/server.json', '{"name":"io.x/files","version":"1.2","repository":{"url":"https://h.example/r"}}'), ('b/Server.JSON', '{"version_detail":{"version":"3"}}'), ('server.json', 'no json'), ('c/server.json', '{"name":""}'), ('c/other.json', '{"name":"x"}'))
+select path, coalesce(nullif(j->>'$.name', ''), nullif(regexp_extract(path, '([^/]+)/[^/]*$', 1), ''), 'server') as name, coalesce(j->>'$.version', j->>'$.version_detail.version') as version, case when contains(j->>'$.name', '/') then split_part(j->>'$.name', '/', 1) end as publisher, coalesce(j->>'$.repository.url', '') as repository
+from (select *, case when json_valid(text) then text::json end as j from v) where lower(regexp_extract(path, '[^/]*$')) = 'server.json'""")
+def registry_servers(spark: SparkSession, d: str) -> DataFrame:
+    """Planted files: the test tables hold no registry files."""
+    rows = [("a/server.json", '{"name":"io.x/files","version":"1.2","repository":{"url":"https://h.example/r"}}'), ("b/Server.JSON", '{"version_detail":{"version":"3"}}'), ("server.json", "no json"), ("c/server.json", '{"name":""}'), ("c/other.json", '{"name":"x"}')]
+    return configs.registry_servers(spark.createDataFrame([("s", *r) for r in rows], "scan_id string, path string, text string")).drop("scan_id")
+
+
+@query("i12_resource_texts", "select tool_id, description as text from tools where description is not null and tool_id % 3 <> 2")
+def resource_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Descriptions as resources: as text, as an HTML blob, or as a blob of another kind, which gives none."""
+    t = read(spark, d, "tools", "tool_id", "description").filter("description is not null")
+    part = F.col("tool_id") % 3
+    blob = F.replace(F.base64(F.encode("description", "utf-8")), F.lit("\r\n"), F.lit(""))
+    text = configs.resource_text(F.when(part == 0, F.col("description")), F.when(part > 0, blob), F.when(part == 1, "text/html;charset=utf-8").otherwise("image/png"))
+    return t.select("tool_id", text.alias("text")).filter("text is not null")
 
 
 @query("i05_i06_roles")
@@ -274,19 +317,19 @@ def bidi_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("t06_mixed_script", """
-select run_id, word from (select run_id, unnest(list_distinct(string_split(text, ' '))) as word from text_runs)
+select distinct run_id, word from (select run_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]{2,}')) as word from text_runs)
 where regexp_matches(word, '\\p{Latin}') and regexp_matches(word, '[\\p{Cyrillic}\\p{Greek}\\p{Armenian}\\p{Cherokee}]')""")
 def mixed_script(spark: SparkSession, d: str) -> DataFrame:
-    w = read(spark, d, "text_runs", "run_id", "text").select("run_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    return w.filter(F.col("word").rlike("\\p{IsLatin}") & F.col("word").rlike("[\\p{IsCyrillic}\\p{IsGreek}\\p{IsArmenian}\\p{IsCherokee}]"))
+    words = lambda t: [(t[s:e],) for s, e, kind, _ in U.hidden_runs(t) if "LATIN" in kind]
+    return U.explode_with(read(spark, d, "text_runs", "run_id", "text"), "text", words, "word string").distinct()
 
 
-@query("t07_base64_blobs", "select report_id, substr(regexp_replace(json_extract_string(report_json, '$.summary'), '[^\\x20-\\x7e]', '', 'g'), 1, 200) as decoded from (select distinct report_id, report_json from reports) where length(decoded) >= 18")
+@query("t07_base64_blobs", "select report_id, regexp_replace(json_extract_string(report_json, '$.summary'), '[^\\x20-\\x7e]', '', 'g') as decoded from (select distinct report_id, report_json from reports) where length(decoded) >= 18")
 def base64_blobs(spark: SparkSession, d: str) -> DataFrame:
-    """Summaries are encoded, set into a sentence, and found and decoded again."""
-    plain = F.substring(F.regexp_replace(F.get_json_object("report_json", "$.summary"), "[^\\x20-\\x7e]", ""), 1, 200)
+    """Summaries are encoded whole, set into a sentence, and found and decoded again."""
+    plain = F.regexp_replace(F.get_json_object("report_json", "$.summary"), "[^\\x20-\\x7e]", "")
     r = read(spark, d, "reports", "report_id", "report_json").distinct().select("report_id", F.concat(F.lit("see "), F.replace(F.base64(plain.cast("binary")), F.lit("\r\n"), F.lit("")), F.lit(" for it")).alias("t"))
-    return r.select("report_id", F.explode(X.base64_blobs(F.col("t"))).alias("decoded"))
+    return U.explode_with(r, "t", lambda t: [(b[3],) for b in U.blobs(t) if b[2] == "base64"], "decoded string")
 
 
 @query("t07_nested_blobs")
@@ -319,11 +362,32 @@ def doc_fences(spark: SparkSession, d: str) -> DataFrame:
     return U.explode_with(read(spark, d, "documents", "doc_id", "text"), "text", U.fences, "start int, end int, language string")
 
 
+@query("t11_planted_regions", """
+with v(id, text) as (values (1, 'a <!-- one --> b <!-- two'), (2, '[//]: # (seen by none)'), (3, '![' || repeat('long words ', 3) || '](x.png)'), (4, '<p style="display:none">gone</p> <p style="color: red">here</p>'), (5, 'plain ![alt](y.png)'), (6, 'x' || repeat(' ', 90) || 'pushed far'))
+select id, 'comment' as kind, unnest(regexp_extract_all(text, '<!--(.*?)(?:-->|$)', 1)) as content from v union all select id, 'link_reference', regexp_extract(text, '^\\[//\\]: # \\((.*)\\)$', 1) from v where starts_with(text, '[//]') union all select id, 'image_text', regexp_extract(text, '!\\[([^\\]]{20,})\\]', 1) from v where regexp_matches(text, '!\\[[^\\]]{20,}\\]')
+union all select id, 'css', regexp_extract(text, 'display:none">(.*?)</p>', 1) from v where contains(text, 'display:none') union all select id, 'pushed', regexp_extract(text, ' {80,}(\\S.*)', 1) from v where regexp_matches(text, ' {80,}\\S')""")
+def planted_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Planted texts: the documents hide nothing in this way."""
+    texts = ["a <!-- one --> b <!-- two", "[//]: # (seen by none)", "![" + "long words " * 3 + "](x.png)", '<p style="display:none">gone</p> <p style="color: red">here</p>', "plain ![alt](y.png)", "x" + " " * 90 + "pushed far"]
+    df = spark.createDataFrame(list(enumerate(texts, 1)), "id int, text string")
+    return U.explode_with(df, "text", lambda t: [r[2:] for r in U.hidden_regions(t)], "kind string, content string")
+
+
 @query("t11_hidden_regions")
 def hidden_regions(spark: SparkSession, d: str) -> DataFrame:
     return U.explode_with(read(spark, d, "documents", "doc_id", "text"), "text", U.hidden_regions, "start int, end int, kind string, content string")
 
 
+@query("fp13_rule_export", """
+with r(rule_id, severity, n) as (values ('R-1', 'high', 2), ('R-2', 'low', 0)), e as (select rule_id, '{"id":"' || rule_id || '","version":1,"title":"t","description":"","severity":"' || severity || '","confidence":"medium","remediation":"","match_type":"' || case when n > 0 then 'regex' else 'analyzer' end || '","patterns":' || case when n > 0 then '["a+","b"]' else '[]' end || ',"mappings":' || case when n > 0 then '[{"framework":"F","ref":"1"},{"framework":"G","ref":"2"}]' else '[]' end || '}' as entry from r) select * from e""")
+def rule_export(spark: SparkSession, d: str) -> DataFrame:
+    from skein import sinks
+
+    pack = [{"id": "R-1", "title": "t", "severity": "high", "match": {"type": "regex", "patterns": ["a+", "b"]}}, {"id": "R-2", "title": "t", "severity": "low"}]
+    maps = spark.createDataFrame([("R-1", "G", "2"), ("R-1", "F", "1"), ("R-1", "F", "1"), ("R-9", "F", "1")], "rule_id string, framework string, ref string")
+    return sinks.export_rules(*configs.rule_tables(spark, pack), maps)
+
+
 @query("t12_commands")
 def commands(spark: SparkSession, d: str) -> DataFrame:
     """Command injections set into the texts of skills are found again."""
@@ -575,14 +639,12 @@ def changed_only(spark: SparkSession, d: str) -> DataFrame:
     return FI.changed_only(_final(spark, d), art, changed).select("scan_id", "fingerprint")
 
 
-@query("k06_listing", f"with {_FINAL_SQL} select scan_id, rule_id, fingerprint, row_number() over (order by r desc, rule_id, path nulls first, scan_id, fingerprint)::int as place from fin qualify place <= 50")
+@query("k06_listing", f"with {_FINAL_SQL} select rule_id, path, r::int as r from fin order by r desc, rule_id, path nulls first limit 50")
 def listing(spark: SparkSession, d: str) -> DataFrame:
-    """The top 50 of a report page."""
-    from pyspark.sql import Window
+    """The top 50 of a report page, in the order of a report."""
+    from skein.sinks import LISTED
 
-    top = _final(spark, d).orderBy(F.desc(FI.rank(F.col("severity"))), "rule_id", "path", "scan_id", "fingerprint").limit(50)
-    w = Window.orderBy(F.desc(FI.rank(F.col("severity"))), "rule_id", "path", "scan_id", "fingerprint")
-    return top.select("scan_id", "rule_id", "fingerprint", F.row_number().over(w).alias("place"))
+    return FI.in_order(_final(spark, d)).limit(LISTED).select("rule_id", "path", FI.rank(F.col("severity")).cast("int").alias("r"))
 
 
 @query("fp06_reports")
@@ -620,9 +682,11 @@ def near_names(spark: SparkSession, d: str) -> DataFrame:
     return relate.near_names(read(spark, d, "part", "p_name"), "p_name")
 
 
-@query("j10_near_tools", "with n as (select distinct tool_name as x from tools where length(tool_name) >= 5) select a.x as a, b.x as b from n a, n b where a.x < b.x and damerau_levenshtein(a.x, b.x) = 1")
+@query("j10_near_tools", "with n as (select distinct tool_name as x from tools where length(tool_name) >= 5 union select distinct replace(tool_name, '_', '-') from tools where length(tool_name) >= 5) select a.x as a, b.x as b from n a, n b where a.x < b.x and damerau_levenshtein(a.x, b.x) = 1")
 def near_tools(spark: SparkSession, d: str) -> DataFrame:
-    return relate.near_names(read(spark, d, "tools", "tool_name"), "tool_name", least=5)
+    """Tool names, and the same names with another joint, as a second server may write them."""
+    t = read(spark, d, "tools", "tool_name")
+    return relate.near_names(t.unionByName(t.select(F.replace("tool_name", F.lit("_"), F.lit("-")).alias("tool_name"))), "tool_name", least=5)
 
 
 @query("j11_mentions", """
@@ -671,9 +735,11 @@ def domain_indicators(spark: SparkSession, d: str) -> DataFrame:
     return relate.suffix_join(h, "host", listed, "domain").select("server_name", "host", "domain")
 
 
-@query("j19_typosquats")
+@query("j19_typosquats", """
+with n as (select distinct p_name as name from part), p as (select unnest(['small rings', 'red widgte', 'blue bolt', 'hot gaer', 'smal gizmo']) as popular), c as (select name, popular, damerau_levenshtein(name, popular) as distance from n, p where not list_contains(['small rings', 'red widgte', 'blue bolt', 'hot gaer', 'smal gizmo'], name))
+select name, popular, distance::int as distance from (select *, row_number() over (partition by name order by distance, popular) as n from c where distance <= case when length(popular) < 8 then 1 else 2 end) where n = 1""")
 def typosquats(spark: SparkSession, d: str) -> DataFrame:
-    return relate.typosquats(read(spark, d, "tools", "tool_name"), "tool_name", ["report_finding", "collect_inbox", "list_calendar", "merge_client", "flag_server"])
+    return relate.typosquats(read(spark, d, "part", "p_name"), "p_name", ["small rings", "red widgte", "blue bolt", "hot gaer", "smal gizmo"])
 
 
 @query("j07_bounded_paths", """
@@ -983,13 +1049,15 @@ def key_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("s21_clients", """
-select spec_id, case client when 'cursor' then 'cursor' when 'vscode' then 'vscode' when 'claude-desktop' then 'claude-desktop' when 'gemini-cli' then 'gemini-cli' else 'unknown' end as client, case client when 'cursor' then 'project' when 'vscode' then 'project' when 'claude-desktop' then 'user' when 'gemini-cli' then 'user' else 'unknown' end as scope from (select distinct spec_id, client from server_specs)""")
+with p as (select distinct spec_id, case spec_id % 12 when 0 then 'a/.vscode/mcp.json' when 1 then '.gemini/settings.json' when 2 then 'x/Code/User/profiles/p1/mcp.json' when 3 then 'etc/managed-mcp.json' when 4 then 'h/.copilot/mcp-config.json' when 5 then 'devin/mcp_config.json' when 6 then '.zed/settings.json' when 7 then 'h/zed/settings.json' when 8 then 'x/.cline/mcp.json' when 9 then 'some/MCP.json' when 10 then 'a/.cursor/mcp.json' else config_path end as path from server_specs),
+v(like_, client, scope) as (values ('%.vscode/mcp.json', 'vscode', 'workspace'), ('%.gemini/settings.json', 'gemini-cli', 'project'), ('%/profiles/%', 'vscode', 'user'), ('%managed-mcp.json', 'claude-code', 'enterprise'), ('%.copilot/%', 'copilot', 'user'), ('devin/%', 'windsurf', 'user'), ('.zed/%', 'zed', 'project'), ('h/zed/%', 'zed', 'user'), ('%.cline/%', 'cline', 'user'), ('some/%', 'generic', 'project'), ('%.cursor/%', 'cursor', 'project'))
+select spec_id, path, coalesce(client, 'unknown') as client, coalesce(scope, 'unknown') as scope from p left join v on path like like_""")
 def clients(spark: SparkSession, d: str) -> DataFrame:
-    """Paths written for each stored client are read as that client's again."""
-    s = read(spark, d, "server_specs", "spec_id", "client").distinct()
-    c = F.col("client")
-    path = F.when(c == "cursor", "x/.cursor/mcp.json").when(c == "vscode", "x/.vscode/mcp.json").when(c == "claude-desktop", "a/claude_desktop_config.json").when(c == "gemini-cli", ".gemini/settings.json").otherwise("config/x.json")
-    return s.select("spec_id", configs.client_of(path)["client"].alias("client"), configs.client_of(path)["scope"].alias("scope"))
+    """Paths of configurations, planted and as stored."""
+    planted = ["a/.vscode/mcp.json", ".gemini/settings.json", "x/Code/User/profiles/p1/mcp.json", "etc/managed-mcp.json", "h/.copilot/mcp-config.json", "devin/mcp_config.json", ".zed/settings.json", "h/zed/settings.json", "x/.cline/mcp.json", "some/MCP.json", "a/.cursor/mcp.json"]
+    path = F.coalesce(F.try_element_at(F.array(*map(F.lit, planted)), (F.col("spec_id") % 12 + 1).cast("int")), F.col("config_path"))
+    s = read(spark, d, "server_specs", "spec_id", "config_path").select("spec_id", path.alias("path")).distinct()
+    return s.select("spec_id", "path", configs.client_of(F.col("path"))["client"].alias("client"), configs.client_of(F.col("path"))["scope"].alias("scope"))
 
 
 @query("s32_digests", "select blob_id, sha256(data) = sha256 as matches from (select distinct blob_id, data, sha256 from file_blobs)")
@@ -1010,11 +1078,16 @@ def maintainer_responses(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("s31_file_choice", """
-select entry_name as package, arg_min(entry_version, (kind <> 'package', not starts_with(entry_version, '1.'), entry_version)) as filename from lock_entries where entry_version is not null group by 1""")
+with f as (select distinct entry_name as package, kind <> 'package' as late, entry_version || case when kind = 'package' then '.tar.gz' when entry_version like '1.%' then '-py3-none-any.whl' else '-cp312-x.whl' end as filename from lock_entries where entry_version is not null and entry_version not like '%9')
+select package, filename from f qualify row_number() over (partition by package order by late, not ends_with(filename, '-none-any.whl'), filename) = 1""")
 def file_choice(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "lock_entries", "entry_name", "kind", "entry_version").filter("entry_version is not null")
-    best = F.min(F.struct((F.col("kind") != "package").alias("a"), (~F.startswith("entry_version", F.lit("1."))).alias("b"), "entry_version"))
-    return e.groupBy(F.col("entry_name").alias("package")).agg(best["entry_version"].alias("filename"))
+    """The file to fetch of each package, in a registry's answer made of the locked versions."""
+    from skein.sources import records
+
+    e = read(spark, d, "lock_entries", "entry_name", "kind", "entry_version").filter("entry_version is not null").distinct()
+    end = F.when(F.col("kind") == "package", ".tar.gz").when(F.startswith("entry_version", F.lit("1.")), "-py3-none-any.whl").otherwise("-cp312-x.whl")
+    answer = e.select(F.col("entry_name").alias("package"), F.concat("entry_version", end).alias("filename"), F.when(F.col("kind") == "package", "sdist").otherwise("wheel").alias("kind"), F.endswith("entry_version", F.lit("9")).alias("yanked"))
+    return records.resolve_versions(answer).select("package", "filename")
 
 
 @query("t14_redacted_names", f"""
@@ -1031,11 +1104,13 @@ def visible(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("t20_quoted", """
-with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents), p as (select doc_id, line, strpos(line, 'SKILL.md') as p from l)
-select doc_id, count(*) as n, count(*) filter ((length(left(line, p - 1)) - length(replace(left(line, p - 1), '"', ''))) % 2 = 1 and contains(substr(line, p), '"') or (length(left(line, p - 1)) - length(replace(left(line, p - 1), '`', ''))) % 2 = 1 and contains(substr(line, p), '`')) as quoted from p where p > 0 group by 1""")
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents), q as (select doc_id, left(line, strpos(line, 'SKILL.md') - 1) as b, substr(line, strpos(line, 'SKILL.md') + 8) as a from l where contains(line, 'SKILL.md'))
+select doc_id, count(*) as n, count(*) filter ((length(b) - length(replace(b, '"', ''))) % 2 = 1 and contains(a, '"') or (length(b) - length(replace(b, '`', ''))) % 2 = 1 and contains(a, '`') or ends_with(b, chr(39)) and starts_with(a, chr(39))
+ or contains(a, '”') and contains(b, '“') and not contains(regexp_extract(b, '“([^“]*)$', 1), '”') or contains(a, '»') and contains(b, '«') and not contains(regexp_extract(b, '«([^«]*)$', 1), '»')) as quoted from q group by 1""")
 def quoted(spark: SparkSession, d: str) -> DataFrame:
-    lines = read(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("p", F.instr("line", "SKILL.md")).filter("p > 0")
-    return lines.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(X.in_double_quotes(F.col("line"), F.col("p"))).alias("quoted"))
+    lines = read(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.contains("line", F.lit("SKILL.md")))
+    test = lambda t: [(U.is_quoted(t, t.find("SKILL.md"), t.find("SKILL.md") + 8),)]
+    return U.explode_with(lines, "line", test, "quoted boolean").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("quoted").alias("quoted"))
 
 
 @query("t23_heuristics", """
@@ -1060,8 +1135,11 @@ def canonical_paths(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t33_pointers", "select tool_id, json_type(input_schema::json, '/properties') as kind, len(json_keys(input_schema::json, '/properties'))::int as n from tools where json_valid(input_schema) and json_type(input_schema::json) = 'OBJECT' and json_type(input_schema::json, '/properties') = 'OBJECT'")
 def pointers(spark: SparkSession, d: str) -> DataFrame:
-    v = F.try_variant_get(F.try_parse_json("input_schema"), "$.properties", "map<string,variant>")
-    return read(spark, d, "tools", "tool_id", "input_schema").select("tool_id", F.lit("OBJECT").alias("kind"), F.when(v.isNotNull(), F.size(v)).alias("n")).filter("n is not null")
+    def at(text: str) -> list[tuple]:
+        value = U.pointer(U.parse_json(text)[0], "#/properties")
+        return [("OBJECT", len(value))] if isinstance(value, dict) else []
+
+    return U.explode_with(read(spark, d, "tools", "tool_id", "input_schema"), "input_schema", at, "kind string, n int")
 
 
 @query("t40_definition_diffs")
@@ -1096,28 +1174,46 @@ def facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("r25_namespaces", """
-with r as (select distinct locator, split_part(regexp_replace(locator, '^[a-z]+:', ''), '/', 2) as owner, split_part(regexp_replace(locator, '^[a-z]+:', ''), '/', 3) as repo from reports)
-select a.owner || '/' || a.repo as name, a.owner as namespace, b.owner from r a join r b on a.repo = b.repo and a.owner <> b.owner""")
+with r as (select distinct split_part(regexp_replace(locator, '^[a-z]+:', ''), '/', 2) as owner, split_part(regexp_replace(locator, '^[a-z]+:', ''), '/', 3) as repo from reports)
+select 'io.github.' || owner || '/' || repo as name, lower(owner) as namespace, lower('team-' || owner) as owner from r where owner <> '' and repo <> '' and length(repo) % 2 = 0""")
 def namespaces(spark: SparkSession, d: str) -> DataFrame:
+    """Registry names of the repositories, half of which point to the repository of another owner."""
     from skein.operators import predicates
 
     bare = F.split(F.regexp_replace("locator", "^[a-z]+:", ""), "/")
-    r = read(spark, d, "reports", "locator").distinct().select(bare[1].alias("owner"), bare[2].alias("repo"))
-    j = r.alias("a").join(r.alias("b"), "repo").select(F.concat_ws("/", "a.owner", "repo").alias("name"), F.concat(F.lit("https://github.com/"), F.col("b.owner"), F.lit("/"), "repo").alias("repository"))
-    return predicates.namespace_mismatch(j)
+    r = read(spark, d, "reports", "locator").select(F.get(bare, 1).alias("owner"), F.get(bare, 2).alias("repo")).distinct().filter("owner <> '' and repo <> ''")
+    owner = F.when(F.length("repo") % 2 == 0, F.concat(F.lit("team-"), "owner")).otherwise(F.col("owner"))
+    return predicates.namespace_mismatch(r.select(F.concat(F.lit("io.github."), "owner", F.lit("/"), "repo").alias("name"), F.concat(F.lit("https://github.com/"), owner, F.lit("/"), "repo").alias("repository")))
 
 
 @query("j06_same_source", """
 with a as (select distinct coalesce(source, '') as component, file_path as path from documents where contains(text, 'private_data')), b as (select distinct coalesce(source, '') as component, file_path as path from documents where contains(text, 'external_egress')), i as (select * from a intersect select * from b)
-select component, path from (select *, row_number() over (partition by component order by path nulls first) as n from i) where n <= 3""")
+select component, path, 'same file' as via from (select *, row_number() over (partition by component order by path nulls first) as n from i) where n <= 3""")
 def same_source(spark: SparkSession, d: str) -> DataFrame:
     """Up to three examples per source, as the report shows them."""
-    from pyspark.sql import Window
-
     t = read(spark, d, "documents", "source", "file_path", "text").select(F.coalesce("source", F.lit("")).alias("component"), F.col("file_path").alias("path"), "text")
     part = lambda w: t.filter(F.contains("text", F.lit(w))).select("component", "path")
-    w = Window.partitionBy("component").orderBy("path")
-    return part("private_data").intersect(part("external_egress")).withColumn("n", F.row_number().over(w)).filter("n <= 3").drop("n")
+    return flows.same_file_or_linked(part("private_data"), part("external_egress"), spark.createDataFrame([], "component string, src string, dst string, via string")).filter("via = 'same file'")
+
+
+@query("g08_linked_files", """
+with link(c, s, d) as (values ('x', 'a', 'b'), ('x', 'b', 'e'), ('y', 'a', 'b'), ('y', 'b', 'c'), ('y', 'c', 'd'), ('y', 'd', 'e'), ('z', 'a', 'e'), ('z', 'a', 'm'), ('z', 'm', 'e')), cred(c, p) as (values ('x', 'a'), ('y', 'a'), ('y', 'b'), ('z', 'a'), ('w', 'k')), egress(c, p) as (values ('x', 'e'), ('y', 'e'), ('z', 'e'), ('w', 'k')),
+same as (select c, p from cred intersect select c, p from egress),
+way as (select c.c, c.p, l1.d as a, null as b, null as e from cred c join link l1 on l1.c = c.c and l1.s = c.p union all select c.c, c.p, l1.d, l2.d, null from cred c join link l1 on l1.c = c.c and l1.s = c.p join link l2 on l2.c = c.c and l2.s = l1.d union all select c.c, c.p, l1.d, l2.d, l3.d from cred c join link l1 on l1.c = c.c and l1.s = c.p join link l2 on l2.c = c.c and l2.s = l1.d join link l3 on l3.c = c.c and l3.s = l2.d),
+best as (select w.c, w.p, concat_ws(' > ', w.p, a, b, e) as via, row_number() over (partition by w.c, w.p order by (b is not null)::int + (e is not null)::int) as n from way w join egress g on g.c = w.c and g.p = coalesce(w.e, w.b, w.a) where w.c not in (select c from same))
+select c as component, p as path, 'same file' as via from same union all select c, p, via from best where n = 1""")
+def linked_files(spark: SparkSession, d: str) -> DataFrame:
+    """Planted components: met in one file, over one to three links, and beyond reach."""
+    links = spark.createDataFrame([("x", "a", "b"), ("x", "b", "e"), ("y", "a", "b"), ("y", "b", "c"), ("y", "c", "d"), ("y", "d", "e"), ("z", "a", "e"), ("z", "a", "m"), ("z", "m", "e")], "component string, src string, dst string").withColumn("via", F.lit("import"))
+    pair = lambda *rows: spark.createDataFrame(rows, "component string, path string")
+    return flows.same_file_or_linked(pair(("x", "a"), ("y", "a"), ("y", "b"), ("z", "a"), ("w", "k")), pair(("x", "e"), ("y", "e"), ("z", "e"), ("w", "k")), links)
+
+
+@query("j15_first_facts", "select distinct r.kind, r.entry_name, f.first_version from lock_entries r join (select kind, entry_name, min(entry_version) as first_version from lock_entries where entry_version is not null group by 1, 2) f using (kind, entry_name)")
+def first_facts(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "lock_entries", "kind", "entry_name", "entry_version")
+    facts = e.filter("entry_version is not null").groupBy("kind", "entry_name").agg(F.min("entry_version").alias("first_version"))
+    return relate.first_fact(e.select("kind", "entry_name"), facts, ["kind", "entry_name"])
 
 
 @query("j16_judge_items")

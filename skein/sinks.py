@@ -26,6 +26,16 @@ def to_json(findings: DataFrame) -> DataFrame:
     return findings.groupBy("scan_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), f.alias("f")))), lambda x: x["f"])).alias("findings")).select("scan_id", F.concat(F.lit('{"schema_version":"1.0","findings":'), F.col("findings"), F.lit("}")).alias("report"))
 
 
+def export_rules(rules: DataFrame, patterns: DataFrame, mappings: DataFrame) -> DataFrame:
+    """(rule_id, entry): every rule of a pack as a JSON object with its patterns and its mappings (rule_id, framework, ref), in order."""
+    pats = patterns.groupBy("rule_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_ord", "pattern"))), lambda x: x["pattern"]).alias("patterns"))
+    maps = mappings.groupBy("rule_id").agg(F.array_sort(F.collect_set(F.struct("framework", "ref"))).alias("mappings"))
+    j = rules.join(pats, "rule_id", "left").join(maps, "rule_id", "left")
+    nothing = F.array()
+    parts = [F.col("rule_id").alias("id"), "version", "title", "description", "severity", "confidence", "remediation", F.col("kind").alias("match_type"), F.coalesce("patterns", nothing.cast("array<string>")).alias("patterns"), F.coalesce("mappings", nothing.cast("array<struct<framework:string,ref:string>>")).alias("mappings")]
+    return j.select("rule_id", F.to_json(F.struct(*parts)).alias("entry"))
+
+
 def sarif(findings: DataFrame, rules: DataFrame, tool: str = "skein") -> str:
     """A SARIF 2.1.0 log of one scan; findings stream through the driver."""
     order = {r["rule_id"]: i for i, r in enumerate(rules.select("rule_id").distinct().orderBy("rule_id").collect())}

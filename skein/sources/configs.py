@@ -16,12 +16,29 @@ from skein.functions import units as U
 
 #: Keys under which client configurations keep their servers.
 SERVER_MAPS = ("mcpServers", "mcp_servers", "context_servers", "servers")
-# Which client a configuration belongs to, by its path; the first that fits counts.
+# Which client and scope a configuration belongs to, by its path in any case; the first that fits counts.
 CLIENTS = [
-    (r"claude_desktop_config\.json$", "claude-desktop", "user"), (r"(?:^|/)\.claude\.json$", "claude-code", "user"), (r"(?:^|/)\.claude/settings(?:\.local)?\.json$", "claude-code", "project"), (r"(?:^|/)\.mcp\.json$", "claude-code", "project"),
-    (r"(?:^|/)\.cursor/mcp\.json$", "cursor", "project"), (r"(?:^|/)\.vscode/mcp\.json$", "vscode", "project"), (r"(?:^|/)code/user/(?:mcp|settings)\.json$", "vscode", "user"), (r"windsurf/mcp_config\.json$", "windsurf", "user"),
-    (r"(?:^|/)\.gemini/settings\.json$", "gemini-cli", "user"), (r"(?:^|/)\.codex/config\.toml$", "codex", "user"), (r"(?:^|/)zed/settings\.json$", "zed", "user"), (r"cline_mcp_settings\.json$", "cline", "user"), (r"(?:^|/)\.openclaw/", "openclaw", "user"),
-]
+    (r"(^|/)claude_desktop_config\.json$", "claude-desktop", "user"),
+    (r"(^|/)\.claude\.json$", "claude-code", "user"),
+    (r"(^|/)\.mcp\.json$", "claude-code", "project"),
+    (r"(^|/)\.claude/settings(\.local)?\.json$", "claude-code", "project"),
+    (r"(^|/)managed-(?:settings|mcp)\.json$", "claude-code", "enterprise"),
+    (r"(^|/)\.cursor/mcp\.json$", "cursor", "project"),
+    (r"(^|/)\.vscode/mcp\.json$", "vscode", "workspace"),
+    (r"(^|/)\.vscode/settings\.json$", "vscode", "workspace"),
+    (r"(^|/)Code/User/(settings|mcp)\.json$", "vscode", "user"),
+    (r"(^|/)Code/User/profiles/[^/]+/(settings|mcp)\.json$", "vscode", "user"),
+    (r"(^|/)\.copilot/mcp-config\.json$", "copilot", "user"),
+    (r"(^|/)(?:devin|windsurf)/mcp_config\.json$", "windsurf", "user"),
+    (r"(^|/)\.gemini/settings\.json$", "gemini-cli", "project"),
+    (r"(^|/)gemini-?cli/settings\.json$", "gemini-cli", "enterprise"),
+    (r"(^|/)\.codex/config\.toml$", "codex", "user"),
+    (r"(^|/)\.zed/settings\.json$", "zed", "project"),
+    (r"(^|/)zed/settings\.json$", "zed", "user"),
+    (r"(^|/)cline_mcp_settings\.json$", "cline", "user"),
+    (r"(^|/)\.cline/mcp\.json$", "cline", "user"),
+    (r"(^|/)mcp\.json$", "generic", "project"),
+]
 
 
 def client_of(path: Column) -> Column:
@@ -29,7 +46,7 @@ def client_of(path: Column) -> Column:
     out = None
     for rx, client, scope in CLIENTS:
         value = F.struct(F.lit(client).alias("client"), F.lit(scope).alias("scope"))
-        hit = F.lower(path).rlike(rx)
+        hit = path.rlike("(?i)" + rx)
         out = F.when(hit, value) if out is None else out.when(hit, value)
     return out.otherwise(F.struct(F.lit("unknown").alias("client"), F.lit("unknown").alias("scope")))
 
@@ -87,6 +104,29 @@ def client_servers(files: DataFrame) -> DataFrame:
     return rows.withColumn("client", c["client"]).withColumn("config_scope", F.when(F.col("project") != "", "project").otherwise(c["scope"]))
 
 
+#: Longest base64 text of a resource that is read.
+BLOB_CHARS = 4_000_000
+
+
+def resource_text(text: Column, blob: Column, mime: Column) -> Column:
+    """The text of a resource: its own, else that of an HTML blob in base64; null for other or broken blobs."""
+    html = F.startswith(F.coalesce(mime, F.lit("")), F.lit("text/html")) & (F.length(blob) <= BLOB_CHARS)
+    return F.coalesce(text, F.when(html, F.decode(F.try_to_binary(blob, F.lit("base64")), "utf-8")))
+
+
+def registry_servers(files: DataFrame) -> DataFrame:
+    """(scan_id, path, name, version, publisher, repository): the package of every server.json of a registry.
+
+    Without a name the folder's name counts, else `server`; text that is no JSON object gives such a row too.
+    """
+    v = F.try_parse_json("text")
+    field = lambda way: F.try_variant_get(v, way, "string")
+    folder = F.nullif(F.regexp_extract("path", r"([^/]+)/[^/]*$", 1), F.lit(""))
+    rows = files.filter(F.lower(F.regexp_extract("path", r"[^/]*$", 0)) == "server.json")
+    rows = rows.select("scan_id", "path", F.coalesce(F.nullif(field("$.name"), F.lit("")), folder, F.lit("server")).alias("name"), F.coalesce(field("$.version"), field("$.version_detail.version")).alias("version"), F.coalesce(field("$.repository.url"), F.lit("")).alias("repository"))
+    return rows.withColumn("publisher", F.when(F.contains("name", F.lit("/")), F.substring_index("name", "/", 1)))
+
+
 MANIFEST = "list string, name string, title string, description string, body string, problem string"
 
 

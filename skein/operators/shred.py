@@ -2,6 +2,8 @@
 
 `adjacency` stores each JSON node as (node, parent, label, ordinal, kind, scalar); schema nodes also carry their path.
 `schema_nodes` joins the object nodes with their scalar children and pivots them into one row per schema node.
+`nodes` and `entity_table` do the same for any nested record: every JSON node with its parent and the kind of thing it
+belongs to, and from these one flat table per kind, each row with its own key and that of the row above it.
 
 Defined cases: null, empty, cut-off or other text that is no JSON has no nodes; a schema stored as a JSON string is
 read as what it spells, however often; of a repeated member the last counts; a root that is no object is a node
@@ -186,3 +188,69 @@ def schema_nodes(tools: DataFrame) -> DataFrame:
     )
     kind = F.coalesce("t1", F.array_join(F.transform("tn", lambda x: x["scalar"]), "|"))
     return nodes.select("tool_id", "side", "node_path", "parent_path", kind.alias("node_type"))
+
+
+NODES = "node int, parent int, label string, ordinal int, kind string, scalar string, entity string, above int"
+
+
+def walk(value) -> Iterator[tuple]:  # noqa: ANN001
+    """(node, parent, label, ordinal, kind, scalar, entity, above) of every JSON node, parents first.
+
+    `entity` is the way from the root without positions: names behind `/` (`~` and `/` written `~0` and `~1`), `[]` for
+    any element. `above` is the nearest object that encloses the node, null for the root.
+    """
+    todo: list[tuple] = [(value, None, "", 0, "", None)]
+    n = 0
+    while todo:
+        v, parent, label, ordinal, entity, above = todo.pop()
+        me, n = n, n + 1
+        kind = _KIND[type(v)]
+        yield me, parent, label, ordinal, kind, v if kind == "string" else None if kind in ("object", "array") else json.dumps(v), entity, above
+        items = list(v.items()) if kind == "object" else list(enumerate(v)) if kind == "array" else []
+        inside = me if kind == "object" else above
+        for i, (name, x) in reversed(list(enumerate(items))):
+            step = "/" + str(name).replace("~", "~0").replace("/", "~1") if kind == "object" else "/[]"
+            todo.append((x, me, str(name), i, entity + step, inside))
+
+
+def nodes(records: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, doc, node, parent, label, ordinal, kind, scalar, entity, above): the adjacency table of JSON texts.
+
+    `doc` tells the texts of one key apart; texts that are no JSON have no nodes; rows that repeat give repeated rows.
+    """
+    head = records.schema[key].dataType.simpleString()
+    names = [x.split()[0] for x in NODES.split(", ")]
+    kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first = b.schema.field(0).type
+            rows: list[tuple] = []
+
+            def flush(rows: list[tuple], first: pa.DataType = first) -> pa.RecordBatch:
+                cols = list(zip(*rows, strict=True)) or [()] * (2 + len(names))
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [first, pa.int64(), *kinds], strict=True)], names=[key, "doc", *names])
+
+            for k, t, doc in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                ok, value = parse_schema(t)
+                for r in walk(value) if ok else ():
+                    rows.append((k, doc, *r))
+                    if len(rows) >= 20_000:
+                        yield flush(rows)
+                        rows = []
+            if rows:
+                yield flush(rows)
+
+    return records.filter(F.col(text).isNotNull()).select(key, text, F.xxhash64(text).alias("__doc")).mapInArrow(run, f"`{key}` {head}, doc bigint, {NODES}")
+
+
+def entity_table(adjacency_: DataFrame, key: str, entity: str, columns: list[str]) -> DataFrame:
+    """(key, doc, node, above, entity, label, ordinal, columns…): one flat row per object whose `entity` matches the pattern.
+
+    The objects are joined with their scalar children, which become the columns `c_<label>`. `above` is the `node` of the row of the table above it, so that tables join on (key, doc, above = node).
+    """
+    objects = adjacency_.filter((F.col("kind") == "object") & F.col("entity").rlike(entity)).select(key, "doc", "node", "above", "entity", "label", "ordinal")
+    wanted = adjacency_.filter(F.col("label").isin(columns) & ~F.col("kind").isin("object", "array")).select(F.col(key).alias("__k"), F.col("doc").alias("__d"), F.col("parent").alias("__n"), F.col("label").alias("__l"), "scalar")
+    met = objects.join(wanted, F.col(key).eqNullSafe(F.col("__k")) & (F.col("doc") == F.col("__d")) & (F.col("node") == F.col("__n")), "left")
+    own = [key, "doc", "node", "above", "entity", "label", "ordinal"]
+    return met.groupBy(*own).agg(*[F.max(F.when(F.col("__l") == c, F.col("scalar"))).alias(f"c_{c}") for c in columns])

@@ -36,7 +36,14 @@ def p5_adjacency(spark: SparkSession, d: str) -> DataFrame:
     return shred.adjacency(spread(read(spark, d, "tools", "tool_id", "input_schema", "output_schema"))).drop("doc")
 
 
-QUERIES = {"p1_found": p1_found, "p1_table": p1_table, "p1_casts": p1_casts, "p4_found": p4_found, "p5_found": p5_found, "p5_adjacency": p5_adjacency}
+def p5_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """The parameters of every tool as a flat table, each linked to the schema that holds it."""
+    adj = shred.nodes(spread(read(spark, d, "tools", "tool_id", "input_schema")), "tool_id", "input_schema")
+    rows = shred.entity_table(adj, "tool_id", "^/properties/[^/]+$", ["type", "description", "format"])
+    return rows.select("tool_id", "label", F.col("c_type").alias("type"), F.col("c_description").alias("description"), F.col("c_format").alias("format")).distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_table": p1_table, "p1_casts": p1_casts, "p4_found": p4_found, "p5_found": p5_found, "p5_adjacency": p5_adjacency, "p5_parameters": p5_parameters}
 SQL: dict[str, str] = {}
 SQL["p4_found"] = r"""
 with rep as (select distinct report_id, locator, lock_path, scanned_at from reports),
@@ -92,3 +99,9 @@ ret as (select *, last_value(t ignore nulls) over (partition by feed, path order
 select file_id, path as field, 'removed' as change_kind, '' as new_field from gone g where not exists (select 1 from ren r where r.file_id = g.file_id and r.old = g.path)
 union all select file_id, path, 'added', '' from fresh g where not exists (select 1 from ren r where r.file_id = g.file_id and r.new = g.path)
 union all select file_id, old, 'renamed', new from ren union all select file_id, path, 'retyped', '' from ret where file_id is not null and t is not null and before is not null and t <> before"""
+SQL["p5_parameters"] = """
+with one as (select tool_id, case when json_valid(input_schema) then case when json_type(input_schema) = 'VARCHAR' then input_schema::json->>'$' else input_schema end end as s from tools), j as (select tool_id, s::json as j from one where json_valid(s)),
+m as (select tool_id, j, unnest(json_keys(j, '/properties')) as label from j where json_type(j) = 'OBJECT' and json_type(j, '/properties') = 'OBJECT'),
+v as (select tool_id, label, j->('/properties/' || replace(replace(label, '~', '~0'), '/', '~1')) as v from m)
+select distinct tool_id, label, case when json_type(v, '/type') not in ('OBJECT', 'ARRAY') then v->>'/type' end as type, case when json_type(v, '/description') not in ('OBJECT', 'ARRAY') then v->>'/description' end as description, case when json_type(v, '/format') not in ('OBJECT', 'ARRAY') then v->>'/format' end as format
+from v where json_type(v) = 'OBJECT'"""

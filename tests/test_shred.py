@@ -36,3 +36,15 @@ def test_very_deep():
 
 def test_empty(spark):
     assert nodes(spark) == []
+
+
+def test_any_record_as_related_tables(spark):
+    order = '{"id": 7, "who": {"name": "a"}, "lines": [{"sku": "x", "n": 1, "tags": ["p"]}, {"sku": "y"}], "a/b": {"c": null}}'
+    df = spark.createDataFrame([(1, order), (2, "{"), (3, None), (4, "[]"), (5, '{"lines": [1, {}]}')], "k bigint, t string")
+    adj = shred.nodes(df, "k", "t")
+    lines = {(r.k, r.ordinal): r for r in shred.entity_table(adj, "k", r"^/lines/\[\]$", ["sku", "n"]).collect()}
+    assert {x: (r.c_sku, r.c_n) for x, r in lines.items()} == {(1, 0): ("x", "1"), (1, 1): ("y", None), (5, 1): (None, None)}
+    top = {r.k: r for r in shred.entity_table(adj, "k", "^$", ["id"]).collect()}
+    assert set(top) == {1, 5} and lines[1, 0].above == top[1].node and top[1].c_id == "7" and top[1].above is None
+    assert [r.c_c for r in shred.entity_table(adj, "k", "^/a~1b$", ["c"]).collect()] == ["null"]
+    assert shred.entity_table(shred.nodes(df.filter("false"), "k", "t"), "k", "", ["id"]).count() == 0

@@ -247,10 +247,10 @@ def nodes(records: DataFrame, key: str, text: str) -> DataFrame:
 def entity_table(adjacency_: DataFrame, key: str, entity: str, columns: list[str]) -> DataFrame:
     """(key, doc, node, above, entity, label, ordinal, columns…): one flat row per object whose `entity` matches the pattern.
 
-    The objects are joined with their scalar children, which become the columns `c_<label>`. `above` is the `node` of the row of the table above it, so that tables join on (key, doc, above = node).
+    The objects are joined with their scalar children, which become the columns `c_<label>` (JSON null is null). `above` is the `node` of the row of the table above it, so that tables join on (key, doc, above = node).
     """
     objects = adjacency_.filter((F.col("kind") == "object") & F.col("entity").rlike(entity)).select(key, "doc", "node", "above", "entity", "label", "ordinal")
-    wanted = adjacency_.filter(F.col("label").isin(columns) & ~F.col("kind").isin("object", "array")).select(F.col(key).alias("__k"), F.col("doc").alias("__d"), F.col("parent").alias("__n"), F.col("label").alias("__l"), "scalar")
+    wanted = adjacency_.filter(F.col("label").isin(columns) & ~F.col("kind").isin("object", "array", "null")).select(F.col(key).alias("__k"), F.col("doc").alias("__d"), F.col("parent").alias("__n"), F.col("label").alias("__l"), "scalar")
     met = objects.join(wanted, F.col(key).eqNullSafe(F.col("__k")) & (F.col("doc") == F.col("__d")) & (F.col("node") == F.col("__n")), "left")
     own = [key, "doc", "node", "above", "entity", "label", "ordinal"]
     return met.groupBy(*own).agg(*[F.max(F.when(F.col("__l") == c, F.col("scalar"))).alias(f"c_{c}") for c in columns])

@@ -46,5 +46,5 @@ def test_any_record_as_related_tables(spark):
     assert {x: (r.c_sku, r.c_n) for x, r in lines.items()} == {(1, 0): ("x", "1"), (1, 1): ("y", None), (5, 1): (None, None)}
     top = {r.k: r for r in shred.entity_table(adj, "k", "^$", ["id"]).collect()}
     assert set(top) == {1, 5} and lines[1, 0].above == top[1].node and top[1].c_id == "7" and top[1].above is None
-    assert [r.c_c for r in shred.entity_table(adj, "k", "^/a~1b$", ["c"]).collect()] == ["null"]
+    assert [r.c_c for r in shred.entity_table(adj, "k", "^/a~1b$", ["c"]).collect()] == [None]
     assert shred.entity_table(shred.nodes(df.filter("false"), "k", "t"), "k", "", ["id"]).count() == 0

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from skein.functions.units import fences, headings_at, is_quoted
 
-#: Longest match, and the time that one pattern may take on one text.
-LONGEST, SECONDS = 20_000, 0.5
+#: Seconds that one pattern may take on one text; a pattern that takes longer gives a row of TOO_SLOW instead of hits.
+SECONDS = 0.5
+TOO_SLOW = "PATTERN-TOO-SLOW"
 #: Rules are sent to the tasks up to so many; a larger table of rules is refused.
 MOST_RULES = 10_000
 RANK = {"info": 1, "low": 2, "medium": 3, "high": 4, "critical": 5}
@@ -67,11 +68,10 @@ def hits(rule: Compiled, text: str, role: str, description: str | None = None) -
         try:
             found = list(rx.finditer(text, timeout=SECONDS))
         except TimeoutError:
+            yield TOO_SLOW, p_ord, 0, 0, 1, r["rule_id"].lower(), f"pattern {p_ord} of {r['rule_id']} took too long", "low", "high"
             continue
         for m in found:
             s, e = m.span()
-            if e - s > LONGEST:
-                continue
             if rule.sections and not any(_search(x, h) for x in rule.sections for h in headings_at(text, s)):
                 continue
             near = around(s, e, r["window"])
@@ -141,9 +141,11 @@ def match(units: DataFrame, rules: DataFrame, patterns: DataFrame) -> DataFrame:
 def thin(found: DataFrame, unit: list[str], rules: DataFrame) -> DataFrame:
     """One hit per unit, rule and line (the first pattern, then the first place), and at most `max_matches` of a rule in a unit."""
     order = [F.col("p_ord"), F.col("start")]
-    first = found.withColumn("__n", F.row_number().over(Window.partitionBy(*unit, "rule_id", "line").orderBy(*order))).filter("__n = 1")
+    line = Window.partitionBy(*unit, "rule_id", "line", F.when(F.col("rule_id") == TOO_SLOW, F.col("match")))
+    first = found.withColumn("__n", F.row_number().over(line.orderBy(*order))).filter("__n = 1")
     few = first.withColumn("__n", F.row_number().over(Window.partitionBy(*unit, "rule_id").orderBy(*order)))
-    return few.join(rules.select("rule_id", "max_matches"), "rule_id").filter("__n <= max_matches").drop("__n", "max_matches")
+    few = few.join(rules.select("rule_id", "max_matches"), "rule_id", "left")
+    return few.filter("max_matches is null or __n <= max_matches").drop("__n", "max_matches")
 
 
 def evaluate(units: DataFrame, rules: DataFrame, patterns: DataFrame, unit: list[str]) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.units import canonical_path
+from skein.functions.units import bracket_end, canonical_path
 
 #: How deep helpers are followed, and how many files one component may have.
 DEPTH, FILES = 3, 200
@@ -217,7 +217,8 @@ def js_taint(source: str) -> list[tuple[str, str, str, int, str]]:
                     names.add(a[1])
             for kind, rx in _JS_SINKS.items():
                 for s in re.finditer(rx, body):
-                    args = body[s.end() - (kind == "sql") : s.end() + 300].split(";")[0]
+                    opened = body.rfind("(", s.start(), s.end()) + 1
+                    args = body[opened : bracket_end(body, opened)]
                     if any(re.search(rf"\b{n}\b", args) for n in names) and not (kind == "path" and re.search(r"startsWith\(|path\.relative\(", body)):
                         out.append((m["n1"] or m["n2"] or "", p, "shell" if kind == "argv" and "shell: true" in args else kind, source.count("\n", 0, m.end() + s.start()) + 1, "high"))
     return sorted(set(out))

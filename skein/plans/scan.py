@@ -16,6 +16,7 @@ from skein.functions import text as X
 from skein.functions import units as U
 from skein.operators import findings as FI
 from skein.operators import inventory, predicates, rules
+from skein.sources import configs
 
 #: The rule of a failed analyzer.
 ERRORED = "ANALYZER-FAILED"
@@ -71,8 +72,10 @@ def regex_rules(c: Context) -> DataFrame:
     first = X.line_of(F.col("text"), F.col("unit_start") + 1)
     at = F.when(F.col("scope").isin("body", "code", "frontmatter", "hidden", "command"), first + F.col("line") - 1).otherwise(first)
     seq = F.concat_ws(":", F.lit("1"), "path", F.format_string("%010d", "unit_id"), "rule_id", F.format_string("%04d", "p_ord"), F.format_string("%010d", "line"))
+    none = F.array().cast("array<string>")
     title = c.rules.select("rule_id", "title", F.col("tags").alias("rule_tags"))
-    return j.join(title, "rule_id").select("scan_id", seq.alias("seq"), "rule_id", F.array("component").alias("components"), "path", at.cast("int").alias("line"), X.short_hash(F.col("match")).alias("match_key"), F.col("title").alias("message"), "severity", "confidence", "hidden", F.lit("static").alias("source"), F.col("rule_tags").alias("tags"), F.substring("snippet", 1, 240).alias("snippet"))
+    j = j.join(title, "rule_id", "left").withColumn("title", F.coalesce("title", "snippet")).withColumn("rule_tags", F.coalesce("rule_tags", none))
+    return j.select("scan_id", seq.alias("seq"), "rule_id", F.array("component").alias("components"), "path", at.cast("int").alias("line"), X.short_hash(F.col("match")).alias("match_key"), F.col("title").alias("message"), "severity", "confidence", "hidden", F.lit("static").alias("source"), F.col("rule_tags").alias("tags"), F.substring("snippet", 1, 240).alias("snippet"))
 
 
 def table_rows(found: DataFrame, order: int, severity: str = "medium", confidence: str = "medium") -> DataFrame:
@@ -82,10 +85,79 @@ def table_rows(found: DataFrame, order: int, severity: str = "medium", confidenc
 
 
 def bundle_rules(c: Context) -> DataFrame:
-    return table_rows(predicates.bundles(c.files), 2)
+    return graded(predicates.bundles(c.files), 2)
+
+
+#: Severities of the predicates' short names; medium where none is given.
+SEVERITY = {
+    "critical": ("docker_privileged", "docker_socket"),
+    "high": ("native_binary", "shell_expansion", "inline_code", "docker_root_mount", "secret_in_url", "loads_code_by_env", "hidden_instruction", "contradicting_hints", "bytecode_without_source"),
+    "low": ("no_frontmatter", "bad_name", "no_description", "open_schema", "old_transport", "long_description", "project_stdio", "namespace_mismatch"),
+    "info": ("capability", "no_schema"),
+}
+
+
+def graded(found: DataFrame, order: int) -> DataFrame:
+    """Rows (scan_id, path, rule, detail) of predicates as raw rows, each with the severity of its short name."""
+    names = F.create_map(*[F.lit(x) for level, rules_ in SEVERITY.items() for r in rules_ for x in (r, level)])
+    return table_rows(found, order).withColumn("severity", F.coalesce(F.try_element_at(names, F.substring_index("rule_id", ":", 1)), F.lit("medium")))
+
+
+_FRONT = "found boolean, error string, name string, description string, tools array<string>, repeated array<string>, keys array<string>"
+#: Keys that the format of a skill knows.
+SKILL_KEYS = ["name", "description", "license", "allowed-tools", "metadata", "version", "compatibility"]
+
+
+def _front(text: str) -> list[tuple]:
+    raw, _, err = U.frontmatter(text)
+    value, again, bad = U.load_yaml(raw) if raw else (None, [], None)
+    value = value if isinstance(value, dict) else {}
+    return [(raw is not None, err or bad or "", str(value.get("name") or ""), str(value.get("description") or ""), U.allowed_tools(str(value.get("allowed-tools") or "")), again, sorted(map(str, value)))]
+
+
+def skill_rules(c: Context) -> DataFrame:
+    front = U.explode_with(c.files.filter("role = 'skill_md'").select("scan_id", "path", "text"), "text", _front, _FRONT)
+    return graded(predicates.skills(front, ["scan_id", "path"], SKILL_KEYS), 3)
+
+
+def config_rules(c: Context) -> DataFrame:
+    servers = configs.client_servers(c.files.filter("role = 'client_config'").select("scan_id", "path", "text"))
+    found = predicates.servers(servers, ["scan_id", "path", "server_name"])
+    return graded(found.select("scan_id", "path", F.concat_ws(":", "rule", "server_name").alias("rule"), "detail"), 4)
+
+
+def manifest_rules(c: Context) -> DataFrame:
+    """Tools of the manifests among JSON files that are no configuration."""
+    rows = configs.manifests(c.files.filter("lower(path) like '%.json' and role not in ('client_config', 'package_manifest', 'server_json')").select("scan_id", "path", "text"))
+    tools = rows.filter("list = 'tools' and problem is null").select("scan_id", "path", F.col("name").alias("tool_name"), "description", F.get_json_object("body", "$.inputSchema").alias("input_schema"), F.get_json_object("body", "$.annotations").alias("annotations"))
+    found = predicates.tools(tools, ["scan_id", "path", "tool_name"])
+    return graded(found.select("scan_id", "path", F.concat_ws(":", "rule", "tool_name").alias("rule"), "detail"), 5)
+
+
+def code_rules(c: Context) -> DataFrame:
+    """What scripts and sources can do, at the first line that shows it."""
+    found = predicates.code_capabilities(c.files.filter("role in ('script', 'source') and text is not null"), ["scan_id", "path"])
+    rows = graded(found.select("scan_id", "path", F.concat_ws(":", F.lit("capability"), "label").alias("rule"), F.col("label").alias("detail")), 6)
+    at = found.select("scan_id", "path", F.col("label").alias("snippet"), F.col("line").alias("at"))
+    return rows.join(at, ["scan_id", "path", "snippet"]).withColumn("line", F.col("at").cast("int")).drop("at")
+
+
+def registry_rules(c: Context) -> DataFrame:
+    servers = configs.registry_servers(c.files.filter("role = 'server_json'").select("scan_id", "path", "text"))
+    odd = predicates.namespace_mismatch(servers.select("name", "repository").distinct())
+    found = servers.join(odd, "name").select("scan_id", "path", F.lit("namespace_mismatch").alias("rule"), F.concat_ws(" / ", "namespace", "owner").alias("detail"))
+    return graded(found, 7)
+
+
+def bytecode_rules(c: Context) -> DataFrame:
+    found = predicates.bytecode_without_source(c.files)
+    return graded(found.select("scan_id", "path", F.lit("bytecode_without_source").alias("rule"), "detail"), 8)
 
 
-DEFAULT = (Analyzer("regex", regex_rules), Analyzer("bundle", bundle_rules))
+DEFAULT = (
+    Analyzer("regex", regex_rules), Analyzer("bundle", bundle_rules), Analyzer("skill", skill_rules), Analyzer("config", config_rules), Analyzer("manifest", manifest_rules), Analyzer("code", code_rules),
+    Analyzer("registry", registry_rules), Analyzer("bytecode", bytecode_rules),
+)
 
 
 def run(c: Context, analyzers: tuple[Analyzer, ...] = DEFAULT, only: set[str] | None = None) -> tuple[DataFrame, list[tuple[str, str, str]]]:

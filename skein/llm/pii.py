@@ -253,6 +253,8 @@ _NOUN_END = re.compile(r"(?:ung|heit|keit|schaft|tion|tät|ismus|ness|ción|sió
 _JAPANESE = re.compile(r"(?:(?:氏名|名前|担当者?|連絡先|私は|署名)[はがも]?[:：\s]*(?P<a>[一-鿿々]{1,4}[ 　]?[一-鿿々ァ-ヶー]{1,4})(?![一-鿿々ァ-ヶー]))|(?<![一-鿿々])(?P<b>[一-鿿々]{1,3}[ 　][一-鿿々ぁ-んァ-ヶー]{1,4}|[一-鿿々]{3,5})(?=さん|様|氏(?!名))")
 #: Score from which a pair is a name, by the number of its words that the vocabulary does not hold in lower case.
 LEAST = {2: 2, 1: 3, 0: 5}
+#: Score from which a name is surer than one that may share a word with it.
+STRONG = 4
 #: Public vocabularies of which the words in lower case are taken as ordinary words.
 VOCABULARIES = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
 
@@ -290,7 +292,9 @@ def _names(text: str, others: list[tuple[int, int, str]]) -> list[tuple[int, int
         tries = [(False, _NAME.match(text, start.start()))]
         if start["comma"]:
             lead = _PARTICLES.search(text, max(0, start.start() - 24), start.start())
-            tries.append((True, _REVERSE.match(text, lead.start() if lead else start.start())))
+            tries.append((True, _REVERSE.match(text, start.start())))
+            if lead:  # the particle may belong to the surname or to what stands before the name
+                tries.append((True, _REVERSE.match(text, lead.start())))
         for reverse, m in tries:
             if not m:
                 continue
@@ -329,21 +333,19 @@ def _names(text: str, others: list[tuple[int, int, str]]) -> list[tuple[int, int
         k = "a" if m["a"] else "b"
         cand.append((m.start(k), m.end(k), 4, True, ("", "")))
     cand.sort(key=lambda c: (not c[3], -c[2], c[0]))
+    strong = [c for c in cand if c[3] or c[2] >= STRONG]
+    weak = [c for c in cand if not (c[3] or c[2] >= STRONG)]
     out: list = []
     spans: list[tuple[int, int]] = []
-    for c in cand:
-        i = bisect_left(spans, (c[0], c[1]))
-        if (i < len(spans) and spans[i][0] < c[1]) or (i and spans[i - 1][1] > c[0]):
-            continue
-        spans.insert(i, (c[0], c[1]))
-        out.append(c)
-    for c in sorted(close):  # one that falls just short is a name in a list with another
-        i = bisect_left(spans, (c[0], c[1]))
-        if (i < len(spans) and spans[i][0] < c[1]) or (i and spans[i - 1][1] > c[0]):
-            continue
-        if (i and _LISTED.fullmatch(text[spans[i - 1][1] : c[0]])) or (i < len(spans) and _LISTED.fullmatch(text[c[1] : spans[i][0]])):
-            spans.insert(i, (c[0], c[1]))
-            out.append(c)
+    # One that falls just short is a name in a list with another; beside a strong one it comes before weak ones.
+    for group, listed in ((strong, False), (sorted(close), True), (weak, False), (sorted(close), True)):
+        for c in group:
+            i = bisect_left(spans, (c[0], c[1]))
+            if (i < len(spans) and spans[i][0] < c[1]) or (i and spans[i - 1][1] > c[0]):
+                continue
+            if not listed or (i and _LISTED.fullmatch(text[spans[i - 1][1] : c[0]])) or (i < len(spans) and _LISTED.fullmatch(text[c[1] : spans[i][0]])):
+                spans.insert(i, (c[0], c[1]))
+                out.append(c)
     return sorted(out)
 
 

@@ -24,6 +24,8 @@ CASES += [
     ("mail jo plus x at foo dot example dot com, a (at) b (dot) org or k_at_c_dot_net", [("email", "jo plus x at foo dot example dot com"), ("email", "a (at) b (dot) org"), ("email", "k_at_c_dot_net")]),
     ("Reported by Grace Baker, +1 212 555 0101", [("name", "Grace Baker"), ("phone", "+1 212 555 0101")]),
     ("Автор: Иван Петров. 担当者: 田中 太郎です。山田花子さんへ", [("name", "Иван Петров"), ("name", "田中 太郎"), ("name", "山田花子")]),
+    ("El DNI 00025006-M de Tarnstedt, Ilse quedó", [("id_number", "00025006-M"), ("name", "Tarnstedt, Ilse")]),
+    ("cc Maribel R. Wickworth; Strandides, Bryony Tudisufilt and others", [("name", "Maribel R. Wickworth"), ("name", "Strandides, Bryony")]),
     ("983-11\n2233;Hrafn Ottesen;12 Old Mill Road", [("id_number", "983-11\n2233"), ("name", "Hrafn Ottesen"), ("address", "12 Old Mill Road")]),
 ]
 # Names that no list of the detector holds, of many languages, in plain sentences.

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Where intermediate tables go below the shared folder.
 STAGE_DIR = "skein-stage"
+_cleaned_at_end: set[str] = set()
 
 
 def get_spark(cpus: int | str = "*", memory: str = "8g", **conf: str) -> SparkSession:
@@ -50,14 +51,25 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back.
 
-    The files survive the loss of any executor. `clean` removes what a session wrote.
+    The files survive the loss of any executor. `clean` removes what a session wrote, and so does the end of the
+    program where the session is still there.
     """
     spark = df.sparkSession
+    if spark.sparkContext.applicationId not in _cleaned_at_end:
+        _cleaned_at_end.add(spark.sparkContext.applicationId)
+        atexit.register(_clean_quietly, spark)
     path = os.path.join(shared_dir(spark), STAGE_DIR, spark.sparkContext.applicationId, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _clean_quietly(spark: SparkSession) -> None:
+    try:
+        clean(spark)
+    except Exception:  # noqa: BLE001, S110
+        pass  # the session has ended before
+
+
 def clean(spark: SparkSession) -> None:
     """Remove the intermediate tables of this session."""
     jvm, sc = spark.sparkContext._jvm, spark.sparkContext

@@ -16,6 +16,7 @@ from skein.functions import text as X
 from skein.functions import units as U
 from skein.operators import findings as FI
 from skein.operators import inventory, predicates, rules
+from skein.session import stage
 from skein.sources import configs
 
 #: The rule of a failed analyzer.
@@ -47,7 +48,8 @@ class Analyzer:
 def prepare(files: DataFrame, rule_table: DataFrame, patterns: DataFrame, **extra: DataFrame) -> Context:
     """Files (scan_id, path, content) decoded, owned and cut into units."""
     decoded = files.select("scan_id", "path", "content", X.decode_text(F.col("content"))["text"].alias("text"), X.binary_kind(F.col("content")).alias("binary"))
-    owned = inventory.nearest_owner(decoded, inventory.skill_roots(decoded))
+    # One narrow row per file, read by every analyzer.
+    owned = stage(inventory.nearest_owner(decoded, inventory.skill_roots(decoded)), "scan-owners")
     full = decoded.join(owned.withColumnRenamed("root", "skill_root"), ["scan_id", "path"], "left")
     full = full.withColumn("role", inventory.file_role(F.col("path"), F.col("skill_root").isNotNull())).withColumn("component", F.coalesce("skill_root", X.dir_name(F.col("path")))).withColumn("language", X.language(F.col("path")))
     texts = full.filter("binary is null").select("scan_id", "component", "path", "role", "text")

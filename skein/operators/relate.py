@@ -120,7 +120,7 @@ def drift_from_lock(current: DataFrame, lock: DataFrame) -> DataFrame:
     j = c.join(o, F.col("c.key") == F.col("o.key"), "left")
     out = j.select(F.col("c.key").alias("key"), F.col("c.content_hash"), F.col("o.key"), F.col("o.content_hash"), changed("files").alias("files"), changed("tools").alias("tools"), new.alias("labels"))
     out = out.toDF("key", "ch", "okey", "och", "files", "tools", "labels")
-    state = F.when(F.col("okey").isNull(), "new").when(F.coalesce(F.col("ch") != F.col("och"), F.lit(False)) | (F.size("files") > 0) | (F.size("tools") > 0) | (F.size("labels") > 0), "changed").otherwise("same")
+    state = F.when(F.col("okey").isNull(), "new").when(~F.col("ch").eqNullSafe(F.col("och")) | (F.size("files") > 0) | (F.size("tools") > 0) | (F.size("labels") > 0), "changed").otherwise("same")
     return out.select("key", state.alias("state"), "files", "tools", "labels")
 
 

@@ -62,10 +62,12 @@ def entry_hashes(entries: DataFrame, content: Column | None = None) -> DataFrame
     return rows.groupBy("report_id", "entry_key").agg(F.max(F.struct("received_at", "vh"))["vh"].alias("vh")).select("report_id", "entry_key", F.xxhash64("entry_key").alias("kh"), "vh")
 
 
-def consecutive(reports: DataFrame, counts: DataFrame) -> DataFrame:
-    """(report_id, n, prev_report, n_prev): each report of a lock file and the one before it, with their numbers of entries (report_id, n)."""
+def consecutive(reports: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """(report_id, prev_report): each report of a lock file and the one before it; with `counts` (report_id, n) also their numbers of entries, as n and n_prev."""
     block = F.coalesce(F.floor(F.unix_seconds(F.col("scanned_at").cast("timestamp")) / (86400 * 30)), F.lit(-(1 << 40)))
     once = reports.filter(F.col("report_id").isNotNull()).groupBy("report_id").agg(F.min(F.struct("scanned_at", "locator", "lock_path")).alias("x")).select("report_id", "x.*")
+    if counts is None:
+        return carry_last(once, ["locator", "lock_path"], ["scanned_at", "report_id"], "report_id", "prev_report", block).select("report_id", "prev_report")
     once = once.join(counts, "report_id", "left").na.fill(0, ["n"]).withColumn("me", F.struct("report_id", "n"))
     prev = carry_last(once, ["locator", "lock_path"], ["scanned_at", "report_id"], "me", "before", block)
     return prev.select("report_id", "n", F.col("before.report_id").alias("prev_report"), F.coalesce("before.n", F.lit(0).cast("bigint")).alias("n_prev"))

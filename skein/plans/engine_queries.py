@@ -700,22 +700,23 @@ def mentions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j12_lock_drift")
 def lock_drift(spark: SparkSession, d: str) -> DataFrame:
-    """The last snapshot of each lock file against the one before."""
-    from skein.operators.snapshots import consecutive, plain_hash
-
-    r = read(spark, d, "reports", "report_id", "locator", "lock_path", "scanned_at")
-    last = r.groupBy("locator", "lock_path").agg(F.max_by("report_id", "scanned_at").alias("report_id")).select("report_id")
-    pairs = consecutive(r).join(last, "report_id").filter("prev_report is not null")
-    e = read(spark, d, "lock_entries", "report_id", "entry_key", "content_hash", "skill_files", "tools", "capability_labels", "received_at")
-    e = e.groupBy("report_id", "entry_key").agg(F.max_by(F.struct("content_hash", "skill_files", "tools", "capability_labels"), "received_at").alias("x"))
-    tools = F.when(F.col("x.tools").isNotNull(), F.transform_values("x.tools", lambda k, v: plain_hash(v["hash"])))
-    fs = F.when(F.col("x.skill_files").isNotNull(), F.transform_values("x.skill_files", lambda k, v: plain_hash(v)))
-    e = e.select("report_id", "entry_key", plain_hash(F.col("x.content_hash")).alias("content_hash"), fs.alias("files"), tools.alias("tools"), F.col("x.capability_labels").alias("labels"))
-    key = F.concat_ws("\x00", F.col("pair").cast("string"), "entry_key").alias("key")
-    cur = e.join(pairs.select("report_id", F.col("report_id").alias("pair")), "report_id").select(key, "content_hash", "files", "tools", "labels")
-    old = e.join(pairs.select(F.col("prev_report").alias("report_id"), F.col("report_id").alias("pair")), "report_id").select(key, "content_hash", "files", "tools", "labels")
-    out = relate.drift_from_lock(cur, old)
-    return out.select(F.substring_index("key", "\x00", 1).cast("bigint").alias("report_id"), F.substring_index("key", "\x00", -1).alias("entry_key"), "state", "files", "tools", "labels")
+    """The last snapshot of each lock file against the one before; of a repeated entry the row counts that p4 takes."""
+    from skein.operators.snapshots import consecutive, content_hash64, plain_hash
+
+    pairs = consecutive(read(spark, d, "reports", "report_id", "locator", "lock_path", "scanned_at"))
+    last = pairs.join(pairs.select(F.col("prev_report").alias("report_id")), "report_id", "left_anti").filter("prev_report is not null")
+    e = read(spark, d, "lock_entries", "report_id", "entry_key", "entry_version", "content_hash", "skill_files", "tools", "capability_labels", "received_at").filter("entry_key is not null")
+
+    def side(report: str) -> DataFrame:
+        of = last.select(F.col(report).alias("report_id"), F.col("report_id").alias("pair"))
+        latest = F.max_by(F.struct("content_hash", "skill_files", "tools", "capability_labels"), F.struct("received_at", content_hash64()))
+        x = e.join(of, "report_id").groupBy("pair", "entry_key").agg(latest.alias("x"))
+        fs = F.when(F.col("x.skill_files").isNotNull(), F.transform_values("x.skill_files", lambda k, v: plain_hash(v)))
+        tools = F.when(F.col("x.tools").isNotNull(), F.transform_values("x.tools", lambda k, v: plain_hash(v["hash"])))
+        return x.select(F.struct("pair", "entry_key").alias("key"), plain_hash(F.col("x.content_hash")).alias("content_hash"), fs.alias("files"), tools.alias("tools"), F.col("x.capability_labels").alias("labels"))
+
+    out = relate.drift_from_lock(side("report_id"), side("prev_report"))
+    return out.select(F.col("key.pair").alias("report_id"), F.col("key.entry_key").alias("entry_key"), "state", "files", "tools", "labels")
 
 
 @query("j13_hash_indicators", "with bad as (select distinct sha256 as hash from file_blobs where blob_id % 97 = 0) select distinct f.report_id, f.file_path, f.sha256 from file_blobs f join bad on bad.hash = f.sha256")
